@@ -29,17 +29,17 @@ def texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
 
 
-def map_columns(df: DataFrame, schema: StructType, fn: Callable[[list[pa.Array]], Iterable[dict]]) -> DataFrame:
+def map_columns(df: DataFrame, schema: StructType, fn: Callable[[list[pa.Array]], Iterable[dict]], column: int = 1) -> DataFrame:
     """mapInArrow where fn turns the columns of a slice of rows into dicts of output columns.
 
-    Slices hold at most SLICE_BYTES of text unless one row alone is longer; the text is the
-    second column.
+    Slices hold at most SLICE_BYTES of text unless one row alone is longer; the text (or
+    bytes) is the column of that number.
     """
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, column):
                 for out in fn(part.columns):
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
