@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, chat, html_text, near_dup, ogg, quality, secrets, suffix_dedup, token_counts
+from corpusloom.llm import byte_bpe, chat, html_text, mixing, near_dup, ogg, quality, secrets, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
 
 
+#: Sources by the square root of their size, topics evenly, languages by name; half of all tokens.
+MIX = mixing.Mix(targets={"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": 0.0}, fraction=0.5)
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.calibrated(table(spark, sf_dir, "documents"), MIX).withColumnRenamed("id", "doc_id")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return made.withColumnRenamed("id", "doc_id")
@@ -59,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_dup": op4_near_dup,
+    "op5_source_mix": op5_source_mix,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_chat_format": op8_chat_format,
