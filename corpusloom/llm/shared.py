@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from corpusloom.sources.scratch import folder, new_path, stored
 
-def folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where that is unset, as in local tests, a new temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+__all__ = ["folder", "new_path", "release", "stored"]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a DataFrame to the shared folder and gives the written table."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, whose plans are no longer referred to, before the next step writes its own."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.batches import bytes_of, map_columns, mixed, powers
-from corpusloom.llm.shared import stored
+from corpusloom.llm.shared import release, stored
 
 GRAM = 32
 _NONE = -(1 << 63)
@@ -92,11 +92,11 @@ def anchors(flat: np.ndarray, offsets: np.ndarray, size: int) -> dict[str, np.nd
     return {"row": row, "lo": lo - offsets[row], "hi": hi - offsets[row], "rank": grams[place].view(np.int64), "pair": pair.view(np.int64)}
 
 
-RANKS = T.StructType([T.StructField("rank", T.LongType()), T.StructField("pair", T.LongType()), T.StructField("n", T.LongType())])
+RANKS = T.StructType([T.StructField("rank", T.LongType()), T.StructField("n", T.IntegerType())])
 ANCHORS = T.StructType(
     [
         T.StructField("id", T.LongType()),
-        T.StructField("tag", T.LongType()),
+        T.StructField("tag", T.ShortType()),
         T.StructField("lo", T.IntegerType()),
         T.StructField("hi", T.IntegerType()),
         T.StructField("rank", T.LongType()),
@@ -107,10 +107,12 @@ ANCHORS = T.StructType(
 STRINGS = T.StructType(
     [
         T.StructField("id", T.LongType()),
-        T.StructField("tag", T.LongType()),
-        T.StructField("at", T.IntegerType()),
+        T.StructField("tag", T.ShortType()),
+        T.StructField("lo", T.IntegerType()),
+        T.StructField("hi", T.IntegerType()),
         T.StructField("rank", T.LongType()),
         T.StructField("next", T.LongType()),
+        T.StructField("again", T.BooleanType()),
     ]
 )
 RESULT = T.StructType(
@@ -127,29 +129,31 @@ RESULT = T.StructType(
 def _ranks(size: int):
     def run(columns):
         a = anchors(*bytes_of(columns[1]), size)
-        both, n = np.unique(np.stack([a["rank"], a["pair"]]), axis=1, return_counts=True) if len(a["row"]) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-        yield {"rank": both[0], "pair": both[1], "n": n}
+        rank, n = np.unique(a["rank"], return_counts=True)
+        yield {"rank": rank, "n": n}
 
     return run
 
 
+def _again(one: np.ndarray, two: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which positions have a pair of ranks that occurs earlier in these very rows; that needs no shuffle to be known."""
+    order = np.lexsort((at, ids, two, one))
+    out = np.zeros(len(order), bool)
+    if len(order) > 1:
+        x, y = order[1:], order[:-1]
+        same = np.append(False, (one[x] == one[y]) & (two[x] == two[y]))
+        head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+        out[order] = same & ((ids[order] != ids[head]) | (at[order] != at[head]))
+    return out
+
+
 def _anchors(size: int):
     def run(columns):
         ids, tags = columns[0].to_numpy(), columns[2].to_numpy()
         a = anchors(*bytes_of(columns[1]), size)
-        row, lo = a["row"], a["lo"]
-        # What occurs earlier in these very rows needs no shuffle to be known as a repeat.
-        order = np.lexsort((lo, ids[row], a["pair"], a["rank"]))
-        same = np.zeros(len(order), bool)
-        if len(order) > 1:
-            x, y = order[1:], order[:-1]
-            same[1:] = (a["rank"][x] == a["rank"][y]) & (a["pair"][x] == a["pair"][y])
-            start = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-            head = order[start]
-            same &= (ids[row[order]] != ids[row[head]]) | (lo[order] != lo[head])
-        again = np.zeros(len(order), bool)
-        again[order] = same
-        yield {"id": ids[row], "tag": tags[row], "lo": lo, "hi": a["hi"], "rank": a["rank"], "pair": a["pair"], "again": again}
+        row = a["row"]
+        again = _again(a["rank"], a["pair"], ids[row], a["lo"])
+        yield {"id": ids[row], "tag": tags[row], "lo": a["lo"], "hi": a["hi"], "rank": a["rank"], "pair": np.where(again, 0, a["pair"]), "again": again}
 
     return run
 
@@ -164,11 +168,33 @@ def _strings(size: int):
         los, his = columns[3], columns[4]
         row = np.repeat(np.arange(len(ids)), np.diff(los.offsets.to_numpy()))
         lo, hi = los.flatten().to_numpy().astype(np.int64), his.flatten().to_numpy().astype(np.int64)
+        order = np.lexsort((lo, row))
+        row, lo, hi = row[order], lo[order], hi[order]
         n = hi - lo + 1
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
         row = np.repeat(row, n)
         p = at + offsets[row]
-        yield {"id": ids[row], "tag": tags[row], "at": at, "rank": sums.of(p, p + half).view(np.int64), "next": sums.of(p + half, p + size).view(np.int64)}
+        rank, after = sums.of(p, p + half).view(np.int64), sums.of(p + half, p + size).view(np.int64)
+        again = _again(rank, after, ids[row], at)
+        # Repeats that are settled go on as runs; the others as single positions with their ranks.
+        run_of = again.copy()
+        run_of[1:] &= ~(again[:-1] & (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1))
+        first = np.flatnonzero(run_of)
+        stop = again.copy()
+        stop[:-1] &= ~(again[1:] & (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1))
+        last = np.flatnonzero(stop)
+        one = np.flatnonzero(~again)
+        rows = np.concatenate([row[one], row[first]])
+        none = np.zeros(len(first), np.int64)
+        yield {
+            "id": ids[rows],
+            "tag": tags[rows],
+            "lo": np.concatenate([at[one], at[first]]),
+            "hi": np.concatenate([at[one], at[last]]),
+            "rank": np.concatenate([rank[one], none]),
+            "next": np.concatenate([after[one], none]),
+            "again": np.concatenate([np.zeros(len(one), bool), np.ones(len(first), bool)]),
+        }
 
     return run
 
@@ -202,29 +228,35 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if size < 2 * GRAM:
         raise ValueError(f"size must be {2 * GRAM} at least")
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.withColumn("tag", F.xxhash64("text"))
-
-    # Round 1: ranks that occur twice, and whether with different pairs.
-    ranks = map_columns(docs.select("id", "text"), RANKS, _ranks(size)).groupBy("rank").agg(F.sum("n").alias("n"), F.min("pair").alias("least"), F.max("pair").alias("most"))
-    ranks = ranks.where("n > 1").select("rank", (F.col("least") != F.col("most")).alias("several"))
-    # Round 2: the first anchor of each pair; with only one pair to a rank, its strings are all decided.
-    found = map_columns(docs, ANCHORS, _anchors(size)).join(ranks, "rank")
-    by_pair = Window.partitionBy("rank", "pair", F.when(F.col("again"), F.xxhash64("id", "lo")))
-    place = F.struct("id", "lo")
-    found = found.withColumn("gone", F.col("again") | (place != F.min(place).over(by_pair)))
-    marks = stored(found.where("gone or several").select("id", "tag", "lo", "hi", "gone"), "repeats")
+    docs = docs.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(32749)).cast("smallint"))  # parts texts of equal id
+    place, lone = F.struct("id", "lo"), F.when(F.col("again"), F.xxhash64("id", "tag", "lo"))
+    marks = _marks(docs, size, place, lone)
+    release(df.sparkSession)
 
     # Round 3: the strings of first anchors, one by one.
     lists = lambda x: x.groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("x")).select("id", "tag", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
-    open_strings = map_columns(docs.join(lists(marks.where("not gone")), ["id", "tag"]).select("id", "text", "tag", "lo", "hi"), STRINGS, _strings(size))
-    strings = stored(open_strings, "strings")
-    firsts = strings.groupBy("rank", "next").agg(F.min(F.struct("id", "at")).alias("first"), F.max(F.struct("id", "at")).alias("last")).where("first != last")
-    again = strings.join(firsts, ["rank", "next"]).where(F.struct("id", "at") != F.col("first"))
-    gone = marks.where("gone").select("id", "tag", "lo", "hi").unionByName(again.select("id", "tag", F.col("at").alias("lo"), F.col("at").alias("hi")))
+    strings = map_columns(docs.join(lists(marks.where("not gone")), ["id", "tag"]).select("id", "text", "tag", "lo", "hi"), STRINGS, _strings(size))
+    first = F.min(place).over(Window.partitionBy("rank", "next", lone))
+    again = strings.withColumn("first", first).where(F.col("again") | (place != F.col("first")))
+    gone = marks.where("gone").select("id", "tag", "lo", "hi").unionByName(again.select("id", "tag", "lo", "hi"))
     marked = docs.join(lists(gone), ["id", "tag"], "left").select("id", "text", "tag", "lo", "hi")
     return map_columns(marked, RESULT, _removed(size)).withColumn("id", F.nullif("id", F.lit(_NONE)))
 
 
+def _marks(docs: DataFrame, size: int, place, lone) -> DataFrame:
+    """Rounds 1 and 2, as a table: the anchors whose strings are all repeats (gone), and those whose strings are to be looked at one by one."""
+    ranks = map_columns(docs.select("id", "text"), RANKS, _ranks(size)).groupBy("rank").agg(F.sum("n").alias("n")).where("n > 1").select("rank")
+    found = map_columns(docs, ANCHORS, _anchors(size)).join(ranks, "rank")
+    first = F.min(place).over(Window.partitionBy("rank", "pair", lone))
+    pairs = stored(found.withColumn("gone", F.col("again") | (place != first)).select("id", "tag", "lo", "hi", "rank", "gone"), "pairs")
+    release(docs.sparkSession)
+    # A rank with one pair only has its strings decided; with several, the first of each pair are left to look at.
+    heads = pairs.where("not gone")
+    several = heads.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
+    left = heads.join(several, "rank").select("id", "tag", "lo", "hi", "gone")
+    return stored(pairs.where("gone").select("id", "tag", "lo", "hi", "gone").unionByName(left), "repeats")
+
+
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100) -> DataFrame:
     """As remove_repeats(), with the SHA-256 of the remaining bytes instead of them."""
     out = remove_repeats(df, id_col, text_col, size)
