@@ -25,12 +25,13 @@ import json
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.batches import bytes_of, map_columns, texts
+from corpusloom.llm.batches import bytes_of, map_columns, slices, texts
 
 KINDS = ("assign", "access", "hex", "der", "openssh", "jwt")
 BASE = KINDS[:3]
@@ -250,9 +251,12 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> Dat
     @F.pandas_udf("string")
     def cleaned(column):
         have = column.notna()
-        known = pa.array(column.where(have, ""), pa.string())
-        candidates = with_runs(known) if len(known) else []
-        return column.where(~have, [_masked(x, c, mask) for x, c in zip(known.to_pylist(), candidates, strict=True)])
+        rows = pa.RecordBatch.from_arrays([pa.array(column.where(have, ""), pa.string())], names=["text"])
+        out: list[str] = []
+        for part in slices(rows, 0):
+            known = part.column(0)
+            out += [_masked(x, c, mask) for x, c in zip(known.to_pylist(), with_runs(known).tolist(), strict=True)]
+        return column.where(~have, pd.Series(out, dtype=object, index=column.index))
 
     return df.withColumn(text_col, cleaned(F.col(text_col)))
 
