@@ -1 +1 @@
-
+"""No streaming operators: labelled corpora are finite tables, scanned as such."""
