@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import SparkSession
 
@@ -15,3 +16,4 @@ def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps, whose plans are no longer referred to, before the next step writes its own."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # Spark's cleaner works beside the driver's main thread

@@ -11,7 +11,9 @@ as soon as their rank is unique. The rounds:
 2. At the anchors left, the pair (rank at 32, rank of the text of all strings that share the
    anchor): with an equal pair, all these strings are equal. All but the first of a pair go.
 3. What is left are first occurrences of pairs that share their rank at 32 with another pair. For
-   their strings, each at its own position p, the pairs (rank 50 at p, rank 50 at p + 50) decide.
+   their strings, each at its own position p, the pairs (rank 50 at p, rank 50 at p + 50) decide. Up
+   to FEW such anchors of a rank are sent to one place with the bytes around them; the strings of more
+   are shuffled one by one, by their pairs.
 
 Texts are shuffled once, as bytes of a whole row; what else is shuffled are ranks and positions.
 
@@ -23,9 +25,12 @@ of them is earlier than the other at the same place. Ties cannot occur otherwise
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusloom.llm.batches import bytes_of, map_columns, mixed, powers
 from corpusloom.llm.shared import release, stored
@@ -104,7 +109,7 @@ ANCHORS = T.StructType(
         T.StructField("again", T.BooleanType()),
     ]
 )
-STRINGS = T.StructType(
+OPEN = T.StructType(
     [
         T.StructField("id", T.LongType()),
         T.StructField("tag", T.ShortType()),
@@ -112,9 +117,12 @@ STRINGS = T.StructType(
         T.StructField("hi", T.IntegerType()),
         T.StructField("rank", T.LongType()),
         T.StructField("next", T.LongType()),
-        T.StructField("again", T.BooleanType()),
+        T.StructField("context", T.BinaryType()),
     ]
 )
+RUNS = T.StructType(OPEN.fields[:4])
+FEW = 256
+"""Up to so many first anchors of one rank are compared in one place; of more, each string is shuffled by its own ranks."""
 RESULT = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -158,47 +166,103 @@ def _anchors(size: int):
     return run
 
 
-def _strings(size: int):
+def _runs(row: np.ndarray, at: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of marked successive positions in the same row."""
+    on = np.append(False, marked[1:] & marked[:-1] & (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1)) if len(row) else marked
+    return np.flatnonzero(marked & ~on), np.flatnonzero(marked & ~np.append(on[1:], False)) if len(row) else np.flatnonzero(marked)
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions from lo to hi of each range, and the range's index."""
+    n = hi - lo + 1
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(np.arange(len(lo)), n)
+
+
+def _opened(size: int):
+    """What round 3 looks at: the text around a first anchor; or, for a rank with many of them, its strings' ranks."""
     half = size // 2
 
     def run(columns):
         ids, tags = columns[0].to_numpy(), columns[2].to_numpy()
         flat, offsets = bytes_of(columns[1])
+        opened = columns[3]
+        row = np.repeat(np.arange(len(ids)), np.diff(opened.offsets.to_numpy()))
+        fields = opened.flatten()
+        lo, hi, rank, many = (fields.field(f).to_numpy(zero_copy_only=False) for f in ("lo", "hi", "rank", "many"))
+        lo, hi = lo.astype(np.int64), hi.astype(np.int64)
+        few = np.flatnonzero(~many)
+        start = lo + offsets[row]
+        data = flat.tobytes() if len(few) else b""
+        context = [data[s:e] for s, e in zip(start[few].tolist(), (start + hi - lo + size)[few].tolist(), strict=True)]
+        more = np.flatnonzero(many)
+        at, of = _spread(lo[more], hi[more])
+        of = more[of]
+        p = at + offsets[row[of]]
         sums = Prefixes(flat, 2)
-        los, his = columns[3], columns[4]
-        row = np.repeat(np.arange(len(ids)), np.diff(los.offsets.to_numpy()))
-        lo, hi = los.flatten().to_numpy().astype(np.int64), his.flatten().to_numpy().astype(np.int64)
-        order = np.lexsort((lo, row))
-        row, lo, hi = row[order], lo[order], hi[order]
-        n = hi - lo + 1
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        row = np.repeat(row, n)
-        p = at + offsets[row]
-        rank, after = sums.of(p, p + half).view(np.int64), sums.of(p + half, p + size).view(np.int64)
-        again = _again(rank, after, ids[row], at)
-        # Repeats that are settled go on as runs; the others as single positions with their ranks.
-        run_of = again.copy()
-        run_of[1:] &= ~(again[:-1] & (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1))
-        first = np.flatnonzero(run_of)
-        stop = again.copy()
-        stop[:-1] &= ~(again[1:] & (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1))
-        last = np.flatnonzero(stop)
-        one = np.flatnonzero(~again)
-        rows = np.concatenate([row[one], row[first]])
-        none = np.zeros(len(first), np.int64)
+        rows = np.concatenate([row[few], row[of]])
         yield {
             "id": ids[rows],
             "tag": tags[rows],
-            "lo": np.concatenate([at[one], at[first]]),
-            "hi": np.concatenate([at[one], at[last]]),
-            "rank": np.concatenate([rank[one], none]),
-            "next": np.concatenate([after[one], none]),
-            "again": np.concatenate([np.zeros(len(one), bool), np.ones(len(first), bool)]),
+            "lo": np.concatenate([lo[few], at]),
+            "hi": np.concatenate([hi[few], at]),
+            "rank": np.concatenate([rank[few], sums.of(p, p + half).view(np.int64)]),
+            "next": np.concatenate([np.zeros(len(few), np.int64), sums.of(p + half, p + size).view(np.int64)]),
+            "context": context + [None] * len(at),
         }
 
     return run
 
 
+def _settled(size: int):
+    """Round 3 over rows sorted by (rank, next, id, lo): the runs of strings that occur earlier."""
+    half = size // 2
+    arrow = to_arrow_schema(RUNS)
+
+    def compared(rows: pa.Table) -> pa.RecordBatch:
+        """For whole groups of first anchors with their contexts."""
+        ids, tags, lo, hi, rank = (rows.column(c).to_numpy() for c in ("id", "tag", "lo", "hi", "rank"))
+        lo, hi = lo.astype(np.int64), hi.astype(np.int64)
+        flat, offsets = bytes_of(rows.column("context").combine_chunks())
+        at, of = _spread(lo, hi)
+        p = at - lo[of] + offsets[of]
+        sums = Prefixes(flat, 2)
+        one = sums.of(p, p + half) ^ mixed(rank.view(np.uint64))[of]
+        again = _again(one, sums.of(p + half, p + size), ids[of], at)
+        first, last = _runs(of, at, again)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids[of[first]], tags[of[first]], at[first], at[last]), arrow, strict=True)], schema=arrow)
+
+    def run(batches):
+        held = None  # first anchors of a rank that may go on in the next batch
+        head = None  # rank, next, id and lo of the first of the strings at hand
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            kind = rows.column("context").is_valid()
+            strings = rows.filter(pc.invert(kind))
+            if strings.num_rows:
+                rank, after, ids, lo = (strings.column(c).to_numpy() for c in ("rank", "next", "id", "lo"))
+                new = np.append(True, (rank[1:] != rank[:-1]) | (after[1:] != after[:-1]))
+                if head is not None and head[:2] == (rank[0], after[0]):
+                    new[0] = False
+                of = np.cumsum(new) - 1
+                starts = np.flatnonzero(new)
+                first_id, first_lo = (np.where(of < 0, h, x[starts][np.maximum(of, 0)] if len(starts) else h) for h, x in ((head[2] if head else 0, ids), (head[3] if head else 0, lo)))
+                gone = strings.filter(pa.array((ids != first_id) | (lo != first_lo)))
+                head = (rank[-1], after[-1], first_id[-1], first_lo[-1])
+                yield from gone.select(RUNS.names).cast(arrow).to_batches()
+            anchored = rows.filter(kind)
+            if anchored.num_rows:
+                rows = pa.concat_tables([held, anchored]) if held is not None else anchored
+                rank = rows.column("rank").to_numpy()
+                cut = int(np.flatnonzero(rank == rank[-1])[0])
+                if cut:
+                    yield compared(rows.slice(0, cut))
+                held = rows.slice(cut)
+        if held is not None:
+            yield compared(held)
+
+    return run
+
+
 def _removed(size: int):
     def run(columns):
         ids, los, his = columns[0], columns[3], columns[4]
@@ -229,32 +293,34 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError(f"size must be {2 * GRAM} at least")
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(32749)).cast("smallint"))  # parts texts of equal id
-    place, lone = F.struct("id", "lo"), F.when(F.col("again"), F.xxhash64("id", "tag", "lo"))
-    marks = _marks(docs, size, place, lone)
+    marks = _marks(docs, size)
     release(df.sparkSession)
 
-    # Round 3: the strings of first anchors, one by one.
-    lists = lambda x: x.groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("x")).select("id", "tag", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
-    strings = map_columns(docs.join(lists(marks.where("not gone")), ["id", "tag"]).select("id", "text", "tag", "lo", "hi"), STRINGS, _strings(size))
-    first = F.min(place).over(Window.partitionBy("rank", "next", lone))
-    again = strings.withColumn("first", first).where(F.col("again") | (place != F.col("first")))
-    gone = marks.where("gone").select("id", "tag", "lo", "hi").unionByName(again.select("id", "tag", "lo", "hi"))
-    marked = docs.join(lists(gone), ["id", "tag"], "left").select("id", "text", "tag", "lo", "hi")
+    # Round 3: the strings of first anchors.
+    first = marks.where("not gone").groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi", "rank", "many")).alias("x"))
+    opened = map_columns(docs.join(first, ["id", "tag"]).select("id", "text", "tag", "x"), OPEN, _opened(size))
+    again = opened.repartition("rank", "next").sortWithinPartitions("rank", "next", "id", "lo").mapInArrow(_settled(size), RUNS)
+    gone = marks.where("gone").select(*RUNS.names).unionByName(again)
+    lists = gone.groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("x")).select("id", "tag", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
+    marked = docs.join(lists, ["id", "tag"], "left").select("id", "text", "tag", "lo", "hi")
     return map_columns(marked, RESULT, _removed(size)).withColumn("id", F.nullif("id", F.lit(_NONE)))
 
 
-def _marks(docs: DataFrame, size: int, place, lone) -> DataFrame:
+def _marks(docs: DataFrame, size: int) -> DataFrame:
     """Rounds 1 and 2, as a table: the anchors whose strings are all repeats (gone), and those whose strings are to be looked at one by one."""
     ranks = map_columns(docs.select("id", "text"), RANKS, _ranks(size)).groupBy("rank").agg(F.sum("n").alias("n")).where("n > 1").select("rank")
     found = map_columns(docs, ANCHORS, _anchors(size)).join(ranks, "rank")
+    place, lone = F.struct("id", "lo"), F.when(F.col("again"), F.xxhash64("id", "tag", "lo"))
     first = F.min(place).over(Window.partitionBy("rank", "pair", lone))
-    pairs = stored(found.withColumn("gone", F.col("again") | (place != first)).select("id", "tag", "lo", "hi", "rank", "gone"), "pairs")
+    gone = F.col("again") | (place != first)
+    pairs = stored(found.withColumn("gone", gone).select("id", "tag", "lo", "hi", F.when(~F.col("gone"), F.col("rank")).alias("rank"), "gone"), "pairs")
+    del found, ranks
     release(docs.sparkSession)
     # A rank with one pair only has its strings decided; with several, the first of each pair are left to look at.
     heads = pairs.where("not gone")
-    several = heads.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
-    left = heads.join(several, "rank").select("id", "tag", "lo", "hi", "gone")
-    return stored(pairs.where("gone").select("id", "tag", "lo", "hi", "gone").unionByName(left), "repeats")
+    several = heads.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank", (F.col("n") > FEW).alias("many"))
+    left = heads.join(several, "rank").select(*pairs.columns, "many")
+    return stored(pairs.where("gone").withColumn("many", F.lit(False)).unionByName(left), "repeats")
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100) -> DataFrame:
