@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 """Text bytes that one vectorised step looks at together (a longer text is a step of its own)."""
 
 _MASK = (1 << 64) - 1

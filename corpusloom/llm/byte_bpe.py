@@ -25,8 +25,10 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.batches import Recent, map_columns, texts
 
-MEMO_PIECES = 250_000
-"""Pieces, and pairs of tokens, of which a worker remembers this many recent ones at least, and twice as many at most."""
+MEMO_WORDS = 200_000
+"""Words of which a worker remembers this many recent ones at least, and twice as many at most."""
+MEMO_OTHERS = 60_000
+"""Likewise for the first words of lines, for pieces and for pairs of tokens."""
 
 SCHEMA = T.StructType(
     [
@@ -67,10 +69,10 @@ class BytePairs:
             self.trie.add_word(token, token)
         self.trie.make_automaton()
         self.parts: dict[str, tuple[str, str] | None] = {}
-        self.pairs = Recent(lambda pair: self.apart(*pair), MEMO_PIECES)
-        self.known = Recent(lambda p: self.piece(p.encode("utf-8", "surrogatepass").decode("latin-1")), MEMO_PIECES)
-        self.words = Recent(lambda w: self.pieces(self.split(" " + w)), MEMO_PIECES)
-        self.heads = Recent(lambda w: self.pieces(self.split(w)), MEMO_PIECES)
+        self.pairs = Recent(lambda pair: self.apart(*pair), MEMO_OTHERS)
+        self.known = Recent(lambda p: self.piece(p.encode("utf-8", "surrogatepass").decode("latin-1")), MEMO_OTHERS)
+        self.words = Recent(lambda w: self.pieces(self.split(" " + w)), MEMO_WORDS)
+        self.heads = Recent(lambda w: self.pieces(self.split(w)), MEMO_OTHERS)
 
     def merged(self, text: str, until: int = 1) -> list[str]:
         """The tokens that the merges give, one merge at a time, as long as there are more than until."""
