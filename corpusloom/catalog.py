@@ -133,7 +133,7 @@ _CONF = """conf AS (SELECT exp_id, fold, count(*) FILTER (score >= 0.5 AND label
 _PRF = _CONF + """, prf AS (SELECT exp_id, fold, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp)::DOUBLE END AS precision,
   CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn)::DOUBLE END AS recall, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn)::DOUBLE END AS f1 FROM conf)"""
 _EVAL = _PRF + ", " + _AP + ", metrics AS (SELECT prf.*, ap.pr_auc FROM prf JOIN ap ON prf.exp_id = ap.exp_id AND prf.fold = ap.fold)"
-_TOKENS = r"""runs_ AS (SELECT doc_id AS row_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{M}\p{N}_]+')) AS term, generate_subscripts(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{M}\p{N}_]+'), 1) AS at FROM documents),
+_TOKENS = r"""runs_ AS (SELECT doc_id AS row_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{M}\p{N}_]+')) AS term, generate_subscripts(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{M}\p{N}_]+'), 1) AS pos FROM documents),
 tokens AS (SELECT * FROM runs_ WHERE regexp_full_match(term, '[a-zA-Z_][\p{L}\p{M}\p{N}_]*|0x[0-9a-fA-F]+|[0-9]+'))"""
 _COUNTS = _TOKENS + ", counts AS (SELECT row_id, term, count(*) AS tf FROM tokens GROUP BY ALL)"
 _VOCAB = """ranked AS (SELECT term, sum(tf)::BIGINT AS total_tf, count(*) AS df FROM counts WHERE row_id % 5 <> 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2000),
@@ -588,18 +588,18 @@ def h1(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(X.normalize_text(F.col("text"))).alias("text_md5"))
 
 
-@query("h2_code_tokens", f"WITH {_TOKENS} SELECT d.doc_id, count(term) AS n, md5(coalesce(string_agg(term, ' ' ORDER BY at), '')) AS tokens_md5 FROM documents d LEFT JOIN tokens ON d.doc_id = tokens.row_id GROUP BY 1")
+@query("h2_code_tokens", f"WITH {_TOKENS} SELECT d.doc_id, count(term) AS n, md5(coalesce(string_agg(term, ' ' ORDER BY pos), '')) AS tokens_md5 FROM documents d LEFT JOIN tokens ON d.doc_id = tokens.row_id GROUP BY 1")
 def h2(spark, d):
     t = X.code_tokens(X.normalize_text(F.col("text")))
     return _docs(spark, d).select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
-@query("h3_word_ngrams", f"""WITH {_TOKENS}, l AS (SELECT row_id, list(term ORDER BY at) AS t FROM tokens GROUP BY 1), g AS (SELECT row_id, unnest(t) AS term FROM l
+@query("h3_word_ngrams", f"""WITH {_TOKENS}, l AS (SELECT row_id, list(term ORDER BY pos) AS t FROM tokens GROUP BY 1), g AS (SELECT row_id, unnest(t) AS term FROM l
  UNION ALL SELECT row_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM l UNION ALL SELECT row_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM l)
  SELECT row_id, count(*) AS n, count(DISTINCT term) AS n_distinct, sum(length(term))::BIGINT AS n_chars FROM g GROUP BY 1""")
 def h3(spark, d):
-    g = X.word_ngrams(X.code_tokens(X.normalize_text(F.col("text"))), 1, 3)
-    rows = _docs(spark, d).select(F.col("doc_id").alias("row_id"), F.explode(g).alias("term"))
+    plain = _docs(spark, d).select(F.col("doc_id").alias("row_id"), X.normalize_text(F.col("text")).alias("plain")).select("row_id", X.code_tokens(F.col("plain")).alias("tokens"))
+    rows = plain.select("row_id", F.explode(X.word_ngrams(F.col("tokens"), 1, 3)).alias("term"))
     return rows.groupBy("row_id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("n_distinct"), F.sum(F.length("term")).alias("n_chars"))
 
 
@@ -651,11 +651,12 @@ def h12(spark, d):
 
 def token_ids(spark, d) -> DataFrame:
     """A row of lengths of tokens per document, to stand for token ids."""
-    t = X.code_tokens(X.normalize_text(F.col("text")))
-    return _docs(spark, d).select(F.col("doc_id").alias("row_id"), F.transform(t, lambda x: F.length(x)).alias("ids"))
+    plain = _docs(spark, d).select(F.col("doc_id").alias("row_id"), X.normalize_text(F.col("text")).alias("plain"))
+    tokens = plain.select("row_id", X.code_tokens(F.col("plain")).alias("tokens"))
+    return tokens.select("row_id", F.transform("tokens", lambda x: F.length(x)).alias("ids"))
 
 
-_IDS = _TOKENS + ", ids AS (SELECT d.doc_id AS row_id, coalesce(list(length(term)::INT ORDER BY at) FILTER (term IS NOT NULL), []) AS ids FROM documents d LEFT JOIN tokens ON d.doc_id = tokens.row_id GROUP BY 1)"
+_IDS = _TOKENS + ", ids AS (SELECT d.doc_id AS row_id, coalesce(list(length(term)::INT ORDER BY pos) FILTER (term IS NOT NULL), []) AS ids FROM documents d LEFT JOIN tokens ON d.doc_id = tokens.row_id GROUP BY 1)"
 
 
 @query("h13_truncate_pad_mask", f"""WITH {_IDS} SELECT row_id, array_to_string(list_concat(ids[1:64], list_transform(range(64 - len(ids[1:64])), lambda x: 0)), ',') AS input_ids,

@@ -31,16 +31,30 @@ def code_tokens(text: Column) -> Column:
 
 
 def word_ngrams(tokens: Column, low: int, high: int) -> Column:
-    """H3: runs of low to high tokens, joined by spaces."""
+    """H3: runs of low to high tokens, joined by spaces. tokens: a column without Python functions (they can't stand in a lambda)."""
     sizes = F.filter(F.sequence(F.lit(low), F.lit(high)), lambda n: n <= F.size(tokens))
     return F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))))
 
 
+def _joined(parts: list[str]):
+    return lambda z: F.concat(*(z[p] for p in parts))
+
+
 def char_ngrams(text: Column, low: int, high: int) -> Column:
-    """H4: substrings of low to high characters, after runs of two or more white-space characters became one space."""
-    clean = F.regexp_replace(text, r"\s\s+", " ")
-    sizes = F.filter(F.sequence(F.lit(low), F.lit(high)), lambda n: n <= F.length(clean))
-    return F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(0), F.length(clean) - n), lambda i: F.substr(clean, i + 1, n))))
+    """H4: substrings of low to high characters, after runs of two or more white-space characters became one space.
+
+    The characters are taken apart once, so the work is linear in the text. text: as tokens of word_ngrams().
+    """
+    chars = F.split(F.regexp_replace(text, r"\s\s+", " "), "")
+    empty = F.array().cast("array<string>")
+    all_sizes = []
+    for n in range(low, high + 1):
+        # Each character with its n - 1 successors, by adding up shifted copies.
+        shifted = [F.slice(chars, F.lit(j + 1), F.greatest(F.lit(0), F.size(chars) - n + 1)) for j in range(n)]
+        parts = [f"c{j}" for j in range(n)]
+        grams = F.transform(F.arrays_zip(*(s.alias(p) for s, p in zip(shifted, parts, strict=True))), _joined(parts))
+        all_sizes.append(F.when(F.length(text) > 0, grams).otherwise(empty))
+    return F.flatten(F.array(*all_sizes))
 
 
 def sublinear_tf(tf: Column) -> Column:

@@ -22,7 +22,8 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, low: int = 1, high: i
     text = normalize_text(F.coalesce(F.col(text_col), F.lit("")))
     rows = df.select(F.col(id_col).alias("row_id"), text.alias("__text"))
     if analyzer == "word":
-        grams = word_ngrams(code_tokens(F.col("__text")), low, high)
+        rows = rows.select("row_id", code_tokens(F.col("__text")).alias("__tokens"))
+        grams = word_ngrams(F.col("__tokens"), low, high)
     elif analyzer == "char":
         grams = char_ngrams(F.col("__text"), low, high)
     else:
