@@ -161,7 +161,9 @@ def _anchors(size: int):
         a = anchors(*bytes_of(columns[1]), size)
         row = a["row"]
         again = _again(a["rank"], a["pair"], ids[row], a["lo"])
-        yield {"id": ids[row], "tag": tags[row], "lo": a["lo"], "hi": a["hi"], "rank": a["rank"], "pair": np.where(again, 0, a["pair"]), "again": again}
+        # Known repeats are settled; a rank of their own keeps them out of the way of what is not.
+        lone = mixed(ids[row].view(np.uint64) * np.uint64(_BASES[0]) + a["lo"].astype(np.uint64)).view(np.int64)
+        yield {"id": ids[row], "tag": tags[row], "lo": a["lo"], "hi": a["hi"], "rank": np.where(again, lone, a["rank"]), "pair": np.where(again, 0, a["pair"]), "again": again}
 
     return run
 
@@ -308,10 +310,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _marks(docs: DataFrame, size: int) -> DataFrame:
     """Rounds 1 and 2, as a table: the anchors whose strings are all repeats (gone), and those whose strings are to be looked at one by one."""
-    ranks = map_columns(docs.select("id", "text"), RANKS, _ranks(size)).groupBy("rank").agg(F.sum("n").alias("n")).where("n > 1").select("rank")
-    found = map_columns(docs, ANCHORS, _anchors(size)).join(ranks, "rank")
-    place, lone = F.struct("id", "lo"), F.when(F.col("again"), F.xxhash64("id", "tag", "lo"))
-    first = F.min(place).over(Window.partitionBy("rank", "pair", lone))
+    ranks = map_columns(docs.select("id", "text"), RANKS, _ranks(size)).groupBy("rank").agg(F.sum("n").alias("n")).where("n > 1").select("rank", F.lit(True).alias("twice"))
+    found = map_columns(docs, ANCHORS, _anchors(size)).join(ranks, "rank", "left").where("again or twice")
+    place = F.struct("id", "lo")
+    first = F.min(place).over(Window.partitionBy("rank", "pair"))
     gone = F.col("again") | (place != first)
     pairs = stored(found.withColumn("gone", gone).select("id", "tag", "lo", "hi", F.when(~F.col("gone"), F.col("rank")).alias("rank"), "gone"), "pairs")
     del found, ranks
