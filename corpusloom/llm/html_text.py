@@ -172,20 +172,21 @@ def main_nodes(root: Node) -> list[Node]:
         if node.name in ("article", "main") or node.attributes.get("role") == "main":
             return [node]
     threshold = min(n.density for n in path)
-    out: list[Node] = []
-
-    def take(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                continue
-            if c is best or c not in path and c.density >= threshold and c.chars:
-                out.append(c if c is best else max(_nodes(c), key=lambda n: n.total))
-            elif c in path:
-                take(c)
-
     if best is body:
         return [body]
-    take(body)
+    out: list[Node] = []
+    on_path = set(map(id, path))
+    todo = list(reversed(body.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            continue
+        if c is best:
+            out.append(c)
+        elif id(c) in on_path:
+            todo += reversed(c.children)
+        elif c.chars and c.density >= threshold:
+            out.append(max(_nodes(c), key=lambda n: n.total))
     return out
 
 

@@ -215,6 +215,7 @@ def sample(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: st
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = F.col(mix.topic_col).cast("string") if mix.topic_col else topic(text)
-    rows = df.withColumn("__topic", found)
-    kept = _with_p(rows, p, source_col, lang_col, "__topic").where(_uniform(F.col(id_col), text, mix.seed) < F.col("__p"))
-    return kept.select(*df.columns)
+    # The row as one value, so that no column name of it can clash.
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    rows = df.select(row, F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), found.alias("topic"), _uniform(F.col(id_col), text, mix.seed).alias("u"))
+    return _with_p(rows, p, *MARGINS).where("u < __p").select("row.*")
