@@ -117,7 +117,7 @@ def shares(names: list, tokens: np.ndarray, target: dict[str, float] | float) ->
     """Target shares of the categories of a margin, in the order of names."""
     own = tokens / max(tokens.sum(), 1)
     if isinstance(target, dict):
-        named = np.array([n in target for n in names])
+        named = np.array([n in target for n in names], bool)
         want = np.where(named, [target.get(n, 0.0) for n in names], own)
         rest = 1.0 - want[~named].sum()
         if want[named].sum() > 0:
