@@ -26,9 +26,7 @@ from pyspark.sql import types as T
 from corpusloom.llm.batches import Recent, map_columns, texts
 
 MEMO_WORDS = 200_000
-"""Words of which a worker remembers this many recent ones at least, and twice as many at most."""
-MEMO_OTHERS = 60_000
-"""Likewise for the first words of lines, for pieces and for pairs of tokens."""
+"""Words of which a worker remembers this many recent ones at least, and twice as many at most; of first words of lines, pieces and pairs of tokens, a third."""
 
 SCHEMA = T.StructType(
     [
@@ -57,7 +55,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class BytePairs:
     """Encodes and decodes by a table of ranks, in which every single byte has one."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO_WORDS):
         import ahocorasick
         import regex
 
@@ -69,10 +67,10 @@ class BytePairs:
             self.trie.add_word(token, token)
         self.trie.make_automaton()
         self.parts: dict[str, tuple[str, str] | None] = {}
-        self.pairs = Recent(lambda pair: self.apart(*pair), MEMO_OTHERS)
-        self.known = Recent(lambda p: self.piece(p.encode("utf-8", "surrogatepass").decode("latin-1")), MEMO_OTHERS)
-        self.words = Recent(lambda w: self.pieces(self.split(" " + w)), MEMO_WORDS)
-        self.heads = Recent(lambda w: self.pieces(self.split(w)), MEMO_OTHERS)
+        self.pairs = Recent(lambda pair: self.apart(*pair), memo // 3)
+        self.known = Recent(lambda p: self.piece(p.encode("utf-8", "surrogatepass").decode("latin-1")), memo // 3)
+        self.words = Recent(lambda w: self.pieces(self.split(" " + w)), memo)
+        self.heads = Recent(lambda w: self.pieces(self.split(w)), memo // 3)
 
     def merged(self, text: str, until: int = 1) -> list[str]:
         """The tokens that the merges give, one merge at a time, as long as there are more than until."""
@@ -172,20 +170,21 @@ class BytePairs:
         return out
 
 
-_coders: dict[tuple[str, str], BytePairs] = {}
+_coders: dict[tuple, BytePairs] = {}
 
 
-def _coder(path: str, pattern: str) -> BytePairs:
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = BytePairs(read_ranks(path), pattern)
-    return _coders[path, pattern]
+def _coder(path: str, pattern: str, memo: int = MEMO_WORDS) -> BytePairs:
+    key = (path, pattern, memo)
+    if key not in _coders:
+        _coders[key] = BytePairs(read_ranks(path), pattern, memo)
+    return _coders[key]
 
 
-def encode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens and ids of each row. ranks: path of the rank file on every worker."""
+def encode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO_WORDS) -> DataFrame:
+    """id, n_tokens and ids of each row. ranks: path of the rank file on every worker; memo: words that a worker remembers."""
 
     def run(columns):
-        coder = _coder(ranks, pattern)
+        coder = _coder(ranks, pattern, memo)
         ids = [[int(i) for r in coder.runs(x) for i in r[1].split(" ")] for x in columns[1].to_pylist()]
         yield {"id": columns[0], "n_tokens": [len(x) for x in ids], "ids": ids}
 
