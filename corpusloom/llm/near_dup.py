@@ -14,8 +14,11 @@ Buckets are not expanded into all pairs: each round compares a bucket's members
 first leader is the member that meets the most others over all its bands (ties: the smallest id), as a
 text from which others were copied does. If a bucket's members are then still in several classes, the next
 such member outside the first leader's class leads, and is compared with the members of all other classes.
-So the work of a round is linear in the members. A link is lost only if none of its two texts leads in any
-of the bands that they share, nor other links connect them.
+So the work of a round is linear in the members. What is left, every two members of a bucket that are still in
+different classes, is compared in cells: parts of a bucket of about CELL members, each pair of parts in one
+place, with the text of each member once. Large buckets are parted by total weight first, as texts whose total
+weights differ by more than the threshold can't be linked. So no pair that shares a bucket is left out, unless
+links that were found already connect it.
 
 Null text: empty; texts without words are alike only if equal. Null id: class null, not compared.
 Rows of equal id are one document. Repeated rows: one result each. Empty table: none. Other
@@ -38,6 +41,7 @@ from corpusloom.llm.shared import release, stored
 BUCKET_BITS = 16
 CELLS = 1 << 14
 PART = 128
+CELL = 256
 
 COUNTS = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
 SIGNATURES = T.StructType(
@@ -46,6 +50,7 @@ SIGNATURES = T.StructType(
         T.StructField("digest", T.LongType()),
         T.StructField("digest2", T.LongType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
+        T.StructField("total", T.DoubleType()),
     ]
 )
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("similarity", T.DoubleType())])
@@ -120,7 +125,8 @@ def _signatures(k: int, bands: int, rows: int, idf: dict[str, np.ndarray]):
         n = bands * rows
         if n not in _samplers:
             _samplers[n] = Sampler(n)
-        got = _samplers[n].draw(*_weighed(columns[1], k, idf)).reshape(bands, rows, -1)
+        hashes, weight, first = _weighed(columns[1], k, idf)
+        got = _samplers[n].draw(hashes, weight, first).reshape(bands, rows, -1)
         mix = powers(rows + 1, 0xC2B2AE3D27D4EB4F)[1:, None]
         keys = np.stack([mixed((band * mix).sum(axis=0, dtype=np.uint64) + np.uint64(i)) for i, band in enumerate(got)], axis=1)
         keys = keys.view(np.int64)
@@ -130,6 +136,7 @@ def _signatures(k: int, bands: int, rows: int, idf: dict[str, np.ndarray]):
             "digest": columns[2],
             "digest2": columns[3],
             "bands": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(empty, 0, bands))]), pa.int32()), pa.array(keys[~empty].reshape(-1))),
+            "total": np.diff(np.concatenate([[0.0], np.cumsum(weight)])[first]),
         }
 
     return run
@@ -156,6 +163,70 @@ def _verified(k: int, idf: dict[str, np.ndarray], threshold: float):
     return run
 
 
+class _Cell:
+    """The texts of a pair of parts that later ones are compared with, and the classes that links have joined."""
+
+    def __init__(self, key: int):
+        self.key = key
+        self.texts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.ids: list[int] = []
+        self.of: list[int] = []
+        self.totals: list[float] = []
+        self.bands: list[np.ndarray] = []
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def add(self, i: int, of: int, bands: np.ndarray, hashes: np.ndarray, weight: np.ndarray) -> None:
+        self.texts.append((hashes.copy(), weight.copy()))
+        self.ids.append(i)
+        self.of.append(of)
+        self.totals.append(weight.sum())
+        self.bands.append(bands)
+
+    def compare(self, i: int, of: int, band: int, bands: np.ndarray, hashes: np.ndarray, weight: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+        """The links of a text with those held, but where links connect them already. A pair is compared in the first band that it shares."""
+        out: list[tuple[int, int, float]] = []
+        if not self.ids:
+            return out
+        total, held = weight.sum(), np.array(self.totals)
+        # The similarity is the smaller total over the larger one at most.
+        near = np.minimum(held, total) >= (threshold - 1e-9) * np.maximum(held, total)
+        same = np.array(self.bands) == bands
+        for j in np.flatnonzero(near & (same.argmax(axis=1) == band) & same[:, band]).tolist():
+            x, y = self.root(of), self.root(self.of[j])
+            if x != y and (similarity := weighted_jaccard(*self.texts[j], hashes, weight)) >= threshold:
+                out.append((min(i, self.ids[j]), max(i, self.ids[j]), similarity))
+                self.parent[y] = x
+        return out
+
+
+def _compared(k: int, idf: dict[str, np.ndarray], threshold: float):
+    """The links in runs of rows (cell, right, text, id, class_id, band, bands, alone): texts of the left part, then of the right one; or those of one part alone."""
+    cell = None
+
+    def run(columns):
+        nonlocal cell
+        hashes, weight, first = _weighed(columns[2], k, idf)
+        bands = columns[6].flatten().to_numpy().reshape(len(columns[0]), -1)
+        keys, right, ids, of, band, alone = (columns[i].to_pylist() for i in (0, 1, 3, 4, 5, 7))
+        out: list[tuple[int, int, float]] = []
+        for i, key in enumerate(keys):
+            if cell is None or cell.key != key:
+                cell = _Cell(key)
+            here = hashes[first[i] : first[i + 1]], weight[first[i] : first[i + 1]]
+            if right[i] or alone[i]:
+                out += cell.compare(ids[i], of[i], band[i], bands[i], *here, threshold)
+            if not right[i]:
+                cell.add(ids[i], of[i], bands[i].copy(), *here)
+        yield {"a": [x[0] for x in out], "b": [x[1] for x in out], "similarity": [x[2] for x in out]}
+
+    return run
+
+
 def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -> float:
     """Sum of the smaller weights over the sum of the larger ones; hashes sorted and distinct."""
     if not len(h1) or not len(h2):
@@ -232,7 +303,7 @@ class NearDuplicates:
         self.idf = inverse_frequencies(docs, k, floor)
         digests = docs.select("id", "text", F.xxhash64("text").alias("digest"), F.xxhash64("text", F.lit(1)).alias("digest2"))
         signed = stored(map_columns(digests, SIGNATURES, _signatures(k, bands, rows, self.idf)), "signatures")
-        one = signed.groupBy("digest", "digest2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
+        one = signed.groupBy("digest", "digest2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.min("total").alias("total"))
         self.copies = signed.select("id", "digest", "digest2")
         self.reps = stored(one, "texts")
         self.members = self.reps.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))
@@ -263,8 +334,14 @@ class NearDuplicates:
         links = stored(self.verify(tested), "linked").select("a", "b")
         release(self.docs.sparkSession)
         new = stored(self._across(members, components(links)).join(tested, ["a", "b"], "left_anti"), "pairs")
-        labels = components(links.unionByName(stored(self.verify(new), "linked").select("a", "b")))
+        links = stored(links.unionByName(stored(self.verify(new), "linked").select("a", "b")), "links")
+        labels = components(links)
+        release(self.docs.sparkSession)
+        rest = stored(self._rest(members, labels), "linked").select("a", "b")
         release(self.docs.sparkSession)
+        if not rest.isEmpty():
+            labels = components(links.unionByName(rest))
+            release(self.docs.sparkSession)
         rep = self.reps.select("digest", "digest2", "rep")
         named = rep.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "digest2", F.coalesce("class_id", "rep").alias("class_id"))
         return self.copies.join(named, ["digest", "digest2"]).groupBy("id").agg(F.min("class_id").alias("class_id"))
@@ -279,6 +356,29 @@ class NearDuplicates:
         lead = second.select("band", "key", F.col("x.id").alias("leader"), F.col("x.class_id").alias("of"))
         return _ordered(inside.join(lead, ["band", "key"]).where("class_id != of"), "id", "leader")
 
+    def _rest(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """The links of all pairs of a bucket's members that are in different classes, but for those that other such links connect."""
+        known = members.select("band", "key", "id").join(labels, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+        buckets = known.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("class_id").alias("least"), F.max("class_id").alias("most"))
+        known = known.join(buckets.where("least != most").select("band", "key", "n"), ["band", "key"]).join(self.reps.select(F.col("rep").alias("id"), "bands", "total"), "id")
+        # Linked texts are in the same or in adjacent levels: a level's totals differ by the threshold.
+        level = F.when(F.col("n") > CELL, F.floor(F.log("total") / -math.log(self.threshold - 1e-6))).otherwise(0).cast("int")
+        known = stored(known.withColumn("level", level), "rest")
+        at = ["band", "key", "level"]
+        sizes = known.groupBy(*at).agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+        parted = stored(known.join(sizes, at).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("n", "parts"), "rest")
+        at = [*at, "part"]
+        parts = stored(parted.groupBy(*at).agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")), "parts")
+        other = parts.withColumnsRenamed({"level": "level2", "part": "part2", "least": "least2", "most": "most2"})
+        cells = parts.join(other, ["band", "key"]).where("(level2 = level and part2 >= part or level2 = level + 1) and least(least, least2) != greatest(most, most2)")
+        cells = cells.withColumn("cell", F.monotonically_increasing_id()).withColumn("alone", F.expr("level = level2 and part = part2"))
+        cells = stored(cells.select("cell", "band", "key", "level", "part", "level2", "part2", "alone"), "cells")
+        left = cells.select("cell", *at, "alone", F.lit(False).alias("right"))
+        right = cells.where("not alone").select("cell", "band", "key", F.col("level2").alias("level"), F.col("part2").alias("part"), "alone", F.lit(True).alias("right"))
+        text = self.docs.select("id", "text")
+        rows = parted.join(left.unionByName(right), at).join(text.hint("merge"), "id").select("cell", "right", "text", "id", "class_id", "band", "bands", "alone")
+        return map_columns(rows.repartition("cell").sortWithinPartitions("cell", "right", "id"), LINKS, _compared(self.k, self.idf, self.threshold), column=2)
+
 
 def _ordered(rows: DataFrame, x: str, y: str) -> DataFrame:
     """The distinct pairs of two columns, the smaller one as a, without pairs of equal ids."""

@@ -1,0 +1,23 @@
+"""Cases in which an operator once did less than its whole job."""
+
+import random
+
+from corpusloom.llm import near_dup
+
+
+def test_near_duplicates_many_clusters_in_a_bucket(spark, monkeypatch):
+    rng = random.Random(6)
+    words = lambda n: [f"t{rng.randint(0, 10**6)}" for _ in range(n)]
+    passage, rows = words(400), []
+    for i in range(30):
+        own = words(60 + i % 3 * 20)
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join([*passage, *own[:-1], "edit"]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dup.NearDuplicates(frame.selectExpr("doc_id AS id", "text"), 0.8, 5, 1, 1, 0.05)
+    key = {r.id: r.key for r in found.members.collect()}
+    pairs = [(i, i + 1) for i in range(0, 60, 2) if key[i] == key[i + 1]]
+    assert len({key[i] for i, _ in pairs}) < len(pairs) - 3  # several clusters share a bucket
+    for size in (256, 4):
+        monkeypatch.setattr(near_dup, "CELL", size)
+        got = {r.id: r.class_id for r in near_dup.classes(frame, bands=1, rows=1).collect()}
+        assert all(got[a] == got[b] == a for a, b in pairs) and len(set(got.values())) == 60 - len(pairs), size
