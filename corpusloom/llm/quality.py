@@ -68,8 +68,8 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def repeats(tokens: np.ndarray, chars: np.ndarray, least: int) -> tuple[int, int]:
-    """Code points covered by the maximal repeated substrings of at least `least` code points, and those of the longest."""
+def repeats(tokens: np.ndarray, chars: np.ndarray, least: int, fewest: int = WINDOW) -> tuple[int, int]:
+    """Code points covered by the maximal repeated substrings of at least `least` code points and `fewest` tokens, and those of the longest."""
     n = len(tokens)
     if n < 2:
         return 0, 0
@@ -82,7 +82,7 @@ def repeats(tokens: np.ndarray, chars: np.ndarray, least: int) -> tuple[int, int
     # One token to the left, the same repeat is longer by that token: then this one is not maximal.
     maximal = np.ones(n, bool)
     maximal[1:] = longest[:-1] != longest[1:] + 1
-    found = np.flatnonzero(maximal & (size >= least) & (longest >= WINDOW))
+    found = np.flatnonzero(maximal & (size >= least) & (longest >= fewest))
     if not len(found):
         return 0, 0
     edge = np.zeros(n + 1, np.int64)
@@ -109,6 +109,31 @@ def _tokens(words: Words, row: int, chars: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(parts), np.concatenate(lengths)
 
 
+def _may_repeat(words: Words, chars: np.ndarray, least: int) -> np.ndarray:
+    """Which texts may have a repeat of `least` code points, if none of their words is long.
+
+    Such a repeat has two words at least if `least` is more than one word can have, and all pairs of
+    neighbours in it occur twice. So it lies in a run of words joined by such pairs, of `least` code points or more.
+    """
+    k = 2 if least > LONG_WORD else 1
+    hashes, first = shingles(words, k)
+    row = np.repeat(np.arange(len(words.count)), np.diff(first))
+    _, back, times = np.unique(hashes ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+    twice = np.flatnonzero(times[back] > 1)
+    at = words.first[row[twice]] + twice - first[row[twice]]
+    if not len(at):
+        return np.zeros(len(words.count), bool)
+    # A run goes on at the next word if its pair occurs twice as well, and it is of the same text.
+    head = np.ones(len(at), bool)
+    head[1:] = (at[1:] != at[:-1] + 1) | (row[twice][1:] != row[twice][:-1])
+    start = at[head]
+    end = np.append(at[:-1][head[1:]], at[-1]) + k
+    total = np.concatenate([[0], np.cumsum(chars)])
+    out = np.zeros(len(words.count), bool)
+    out[row[twice][head][total[end] - total[start] >= least]] = True
+    return out
+
+
 def measured(column: pa.Array, least: int, most_covered: float, most_long: int) -> dict:
     """The columns of SCHEMA but id for some texts."""
     words = Words(column)
@@ -138,10 +163,9 @@ def measured(column: pa.Array, least: int, most_covered: float, most_long: int)
         lines = [x for x in text.split("\n") if x.strip(_WHITE)]
         n_dup[i] = len(lines) - len(set(lines))
 
-    # A repeat has WINDOW tokens at least, so only a text with a repeated window or with a long word can have one.
     covered, longest = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-    for i in np.flatnonzero((n_repeat > 0) | (by_row(chars > LONG_WORD) > 0)).tolist():
-        covered[i], longest[i] = repeats(*_tokens(words, i, chars), least)
+    for i in np.flatnonzero(_may_repeat(words, chars, least) | (by_row(chars > LONG_WORD) > 0)).tolist():
+        covered[i], longest[i] = repeats(*_tokens(words, i, chars), least, 1)
     failed = (words.count < 10) | (100 * n_repeat > 20 * words.count)
     return {
         "n_words": words.count,

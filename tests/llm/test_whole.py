@@ -1,8 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+import re
 
-from corpusloom.llm import near_dup
+import pyarrow as pa
+
+from corpusloom.llm import near_dup, quality
 
 
 def test_near_duplicates_many_clusters_in_a_bucket(spark, monkeypatch):
@@ -21,3 +24,29 @@ def test_near_duplicates_many_clusters_in_a_bucket(spark, monkeypatch):
         monkeypatch.setattr(near_dup, "CELL", size)
         got = {r.id: r.class_id for r in near_dup.classes(frame, bands=1, rows=1).collect()}
         assert all(got[a] == got[b] == a for a, b in pairs) and len(set(got.values())) == 60 - len(pairs), size
+
+
+def brute_repeats(text, least):
+    words, covered, longest = re.findall(r"[^\x20\x09-\x0D]+", text), set(), 0
+    tokens = [t for w in words for t in (w if len(w) > 40 else [w])]
+    for i in range(len(tokens)):
+        for j in range(len(tokens)):
+            k = 0
+            while i != j and max(i, j) + k < len(tokens) and tokens[i + k] == tokens[j + k]:
+                k += 1
+            if (n := sum(map(len, tokens[i : i + k]))) >= least:
+                covered |= set(range(i, i + k))
+                longest = max(longest, n)
+    return sum(len(tokens[p]) for p in covered), longest
+
+
+def test_repeats_of_few_words():
+    rng = random.Random(7)
+    phrase = [c * 20 for c in "abcd"]
+    texts = [" ".join(w for i in range(12) for w in [*phrase, f"x{i}"]), " ".join(w for i in range(12) for w in ["e" * 31, "f" * 29, f"x{i}"])]
+    texts += [" ".join(rng.choices(["g" * 35, "h" * 25, "日" * 30, "i", "j" * 45, "k" * 12], k=rng.randint(2, 16))) for _ in range(150)]
+    for least in (60, 30):
+        got = quality.measured(pa.array(texts), least, 0.2, 1000)
+        assert list(zip(got["repeat_chars"].tolist(), got["longest_repeat"].tolist(), strict=True)) == [brute_repeats(t, least) for t in texts]
+    got = quality.measured(pa.array(texts), 60, 0.2, 1000)
+    assert got["longest_repeat"].tolist()[:2] == [80, 60] and not got["kept"][:2].any()
