@@ -8,8 +8,9 @@ der      a private key in DER (PKCS#1, PKCS#8 plain or encrypted, SEC 1), each n
 openssh  an OpenSSH private key, its length-prefixed fields filling the block exactly
 jwt      a signed or encrypted token: JSON headers that name an algorithm, parts that decode
 
+A key may start anywhere in a run, and ends where its lengths say; a run may hold several keys and tokens.
 PEM lines are joined before they are decoded. Spans are in code points, ends exclusive, and cover
-the whole match of their pattern, or the whole run (with its PEM lines).
+the whole match of their pattern, the whole key (with its padding or PEM lines) or token.
 
 Null text: empty (no spans). Null id: kept. Repeated rows: one result each. Empty table: none.
 scan() does not read other columns; redact() keeps them all, and names its own column so that
@@ -43,6 +44,12 @@ _HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ that are long enoug
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _RUN = re.compile(r"[A-Za-z0-9+/_=.-]{32,}")
 _PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(.*?)-----END [A-Z0-9 ]*PRIVATE KEY-----", re.DOTALL)
+_PIECE = re.compile(r"([A-Za-z0-9+/_-]{32,})={0,2}")
+_PARTS = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*){2,4}")
+_HEXADECIMAL = re.compile(r"[0-9A-Fa-f]*")
+_MAGIC = b"openssh-key-v1\0"
+# A SEQUENCE (0x30) or the magic of OpenSSH keys, in base64 or hexadecimal.
+_START = re.compile(r"M[A-P]|b3BlbnNzaC1rZXk|30|6[Ff]70656[Ee]7373682[Dd]6[Bb]6579")
 _RUN_BYTES = np.zeros(256, bool)
 _RUN_BYTES[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"]] = True
 
@@ -63,13 +70,14 @@ def structural_spans(text: str) -> list[Span]:
     """Runs whose decoded bytes have the structure of a secret."""
     out: list[Span] = []
     for m in _RUN.finditer(text):
-        run = m[0]
-        if (jwt := _token(run)) is not None:
-            out.append(("jwt", m.start() + jwt[0], m.start() + jwt[1]))
-            continue
-        for start, end, data in _decoded(run):
-            if kind := _key(data):
-                out.append((kind, m.start() + start, m.start() + end))
+        run, at = m[0], 0
+        while at < len(run):
+            token = _token(run, at)
+            to, after = token or (len(run), len(run))
+            out += [(kind, m.start() + start, m.start() + end) for start, end, kind in _keys(run, at, to)]
+            if token:
+                out.append(("jwt", m.start() + to, m.start() + after))
+            at = after
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
             body = re.sub(r"\\[rn]|\s", "", re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[1]))
@@ -93,18 +101,55 @@ def _base64(run: str) -> bytes | None:
         return None
 
 
-def _decoded(run: str):
-    """(start, end, bytes) of the ways to read a run: pieces between other punctuation, in base64 or hexadecimal."""
-    for piece in re.finditer(r"[A-Za-z0-9+/_-]{32,}={0,2}", run):
-        value, at = piece[0], piece.start()
-        if len(value) % 2 == 0 and re.fullmatch(r"[0-9A-Fa-f]+", value):
-            yield at, piece.end(), bytes.fromhex(value)
-        # DER starts with a SEQUENCE (0x30) of a long length, OpenSSH keys with their magic.
-        for mark in re.finditer(r"MI|MH|MC|MD|MF|b3BlbnNzaC1rZXk", value):
-            if mark.start() and value[mark.start() - 1] not in "-_/+":
+def _keys(run: str, at: int, to: int):
+    """(start, end, kind) of the keys in a part of a run, in base64 or hexadecimal, wherever they start; their own lengths tell where they end."""
+    for piece in _PIECE.finditer(run, at, to):
+        value, at = piece[1], 0
+        while mark := _START.search(value, at):
+            start = mark.start()
+            found = _sized(value, start, hexadecimal=mark[0][0] in "36")
+            if found is None:
+                at = start + 1
                 continue
-            if data := _base64(value[mark.start() :]):
-                yield at + mark.start(), piece.end(), data
+            kind, at = found
+            # The padding belongs to a key that ends with its piece.
+            yield piece.start() + start, piece.end() if at == len(value) else piece.start() + at, kind
+
+
+def _sized(value: str, start: int, hexadecimal: bool) -> tuple[str, int] | None:
+    """Kind and end of the key that starts at a place."""
+    read = _hexadecimal if hexadecimal else _base64
+    chars = (lambda n: 2 * n) if hexadecimal else (lambda n: -(-4 * n // 3))
+    head = read(value[start : start + chars(15)])
+    if not head:
+        return None
+    if head == _MAGIC:
+        rest = _HEXADECIMAL.match(value, start)[0] if hexadecimal else value[start:]
+        size = _openssh(read(rest[: len(rest) - (len(rest) % 2 if hexadecimal else len(rest) % 4 == 1)]))
+    else:
+        size = _extent(head)
+    if size is None or start + chars(size) > len(value):
+        return None
+    data = read(value[start : start + chars(size)])
+    kind = _key(data) if data else None
+    return (kind, start + chars(size)) if kind else None
+
+
+def _hexadecimal(run: str) -> bytes | None:
+    try:
+        return bytes.fromhex(run)
+    except ValueError:
+        return None
+
+
+def _extent(head: bytes) -> int | None:
+    """The bytes of the DER SEQUENCE that starts so, with tag and length."""
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    size = head[1] & 0x7F
+    if head[1] < 0x80:
+        return 2 + size
+    return 2 + size + int.from_bytes(head[2 : 2 + size], "big") if 1 <= size <= 4 else None
 
 
 def _field(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -135,8 +180,8 @@ def _fields(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None
 
 
 def _key(data: bytes) -> str | None:
-    if data.startswith(b"openssh-key-v1\0"):
-        return "openssh" if _openssh(data) else None
+    if data.startswith(_MAGIC):
+        return "openssh" if _openssh(data) == len(data) else None
     top = _field(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return None
@@ -158,8 +203,9 @@ def _key(data: bytes) -> str | None:
     return None
 
 
-def _openssh(data: bytes) -> bool:
-    at = len(b"openssh-key-v1\0")
+def _openssh(data: bytes) -> int | None:
+    """The bytes of the OpenSSH key that some bytes start with."""
+    at = len(_MAGIC)
 
     def take() -> bytes | None:
         nonlocal at
@@ -170,16 +216,17 @@ def _openssh(data: bytes) -> bool:
         return data[at - n : at]
 
     if any(take() is None for _ in range(3)):  # cipher, key derivation, its options
-        return False
+        return None
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 16 and all(take() for _ in range(keys + 1)) and at == len(data)
+    return at if 1 <= keys <= 16 and all(take() for _ in range(keys + 1)) else None
 
 
-def _token(run: str) -> tuple[int, int] | None:
-    """Start and end in a run of the first signed or encrypted token: 3 or 5 parts, JSON first."""
-    for m in re.finditer(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*){2,4}", run):
+def _token(run: str, at: int = 0) -> tuple[int, int] | None:
+    """Start and end of the first signed or encrypted token from a place in a run on: 3 or 5 parts, JSON first."""
+    while m := _PARTS.search(run, at):
         parts = m[0].split(".")
+        at = m.start() + len(parts[0])  # where it is no header, the next part may be one
         if len(parts) == 4:
             parts = parts[:3]
         header = _json(parts[0])

@@ -1,11 +1,14 @@
 """Cases in which an operator once did less than its whole job."""
 
+import base64
+import json
 import random
 import re
 
 import pyarrow as pa
+import pytest
 
-from corpusloom.llm import near_dup, quality
+from corpusloom.llm import near_dup, quality, secrets
 
 
 def test_near_duplicates_many_clusters_in_a_bucket(spark, monkeypatch):
@@ -50,3 +53,36 @@ def test_repeats_of_few_words():
         assert list(zip(got["repeat_chars"].tolist(), got["longest_repeat"].tolist(), strict=True)) == [brute_repeats(t, least) for t in texts]
     got = quality.measured(pa.array(texts), 60, 0.2, 1000)
     assert got["longest_repeat"].tolist()[:2] == [80, 60] and not got["kept"][:2].any()
+
+
+def der(*parts, tag=0x30):
+    body = b"".join(parts)
+    n = len(body)
+    return bytes([tag, *([n] if n < 128 else [0x81, n] if n < 256 else [0x82, n >> 8, n & 255])]) + body
+
+
+def pkcs8(size, oid=b"\x2a\x86\x48"):
+    """A PKCS#8 key whose bytes are as many as asked for."""
+    algorithm = der(der(oid, tag=6))
+    inner = next(n for n in range(size) if len(der(der(b"\0", tag=2), algorithm, der(bytes(n), tag=4))) == size)
+    return der(der(b"\0", tag=2), algorithm, der(random.Random(size).randbytes(inner), tag=4))
+
+
+@pytest.mark.parametrize("size", [48, 67, 73, 80, 98, 120, 138, 200, 1200])
+def test_keys_of_any_length(size):
+    key = pkcs8(size)
+    b64, found = base64.b64encode(key).decode(), lambda t: [t[s:e] for k, s, e in secrets.structural_spans(t) if k == "der"]
+    assert found(f"key: {b64} end") == [b64]
+    assert found(f"key: 0x{key.hex()} end") == [key.hex()] and found(f"X{key.hex().upper()}G") == [key.hex().upper()]
+    bare = b64.rstrip("=")
+    assert found(f"n{bare}") == [bare] and found(f"{b64}.{b64}") == [b64, b64] and found(f"{b64[:-4]}") == []
+    masked = secrets._masked(f"a {b64} b 0x{key.hex()} c", True, "#")
+    assert b64[:20] not in masked and key.hex()[:20] not in masked
+
+
+def test_runs_go_on_behind_a_token():
+    url = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = lambda i: f"{url({'alg': 'HS256'})}.{url({'sub': i})}.{base64.urlsafe_b64encode(bytes([i] * 32)).decode().rstrip('=')}"
+    key = base64.b64encode(pkcs8(67)).decode()
+    run = f"{token(1)}.{token(2)}={key}.notoken1.{token(3)}"
+    assert [(k, run[s:e]) for k, s, e in secrets.spans(run) if k in ("der", "jwt")] == [("jwt", token(1)), ("jwt", token(2)), ("der", key), ("jwt", token(3))]
