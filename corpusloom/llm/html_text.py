@@ -9,9 +9,11 @@ b the body; a zero divisor counts as 1. The node whose children's densities have
 text. The smallest density on its path to the body is the threshold by which parts beside it are
 taken in as well: of each such part, again the subtree with the largest sum.
 
-What its markup names as no part of an article (menus, page headers and footers, sidebars, notices,
-adverts, forms, comments of readers, scripts, styles) is cut before. If the chosen node lies in
-an article or main element, that element is the result, whole.
+What is no text (scripts, styles, controls, hidden parts) is cut before. So is what its markup names as no
+part of an article (menus, page headers and footers, sidebars, notices, adverts, forms, comments of readers),
+unless it holds an article or main element or, on a page without such an element outside of these, the
+node with the largest sum: a name on a wrapper says nothing of all that is in it. If the chosen node lies
+in an article or main element, that element is the result, whole.
 
 Blocks are joined by a line feed; white space in a block is one space. Null html: empty text. Null
 id: kept. Repeated rows: one result each. Empty table: none. Only the id, url and html columns are read.
@@ -39,7 +41,8 @@ _CLOSES_P = _BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "captio
 #: A start tag ends an open element of these names, unless a fence stands between.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"}, "body": {"head"}}
 _FENCE = frozenset("article aside body div html main section table ul ol dl td th button form blockquote".split())
-_CUT = frozenset("nav footer aside form script style noscript iframe template svg canvas object head title textarea select button menu dialog input label fieldset".split())
+_CUT = frozenset("script style noscript iframe template svg canvas object head title textarea select button input label".split())
+_ASIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 _NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|site-?footer|site-?header|masthead|"
     r"cookies?|consent|gdpr|notice|notices|popup|modal|newsletter|subscribe|subscription|signup|login|related|recommended|share|sharing|social|comments?|commentlist|disqus|respond|replies|pagination|pager|widget|toolbar|alert)(?:$|[\s_-]|\d)",
@@ -106,25 +109,69 @@ def parse(html: str) -> Node:
     return root
 
 
-def _cut(node: Node, in_article: bool) -> bool:
+def _no_text(node: Node) -> bool:
     a = node.attributes
-    if node.name in _CUT or node.name == "header" and not in_article:
+    if node.name in _CUT:
         return True
     if not a or node.name in ("body", "article", "main"):
         return False
-    if a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
+    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
+
+
+def _named(node: Node, in_article: bool) -> bool:
+    """Whether the markup names a node as no part of an article."""
+    a = node.attributes
+    if node.name in _ASIDE or node.name == "header" and not in_article:
         return True
-    return bool(_NAMED.search(a.get("class", "")) or _NAMED.search(a.get("id", "")) or re.search(r"display\s*:\s*none", a.get("style", "")))
+    if not a or node.name in ("body", "article", "main"):
+        return False
+    return a.get("role", "").lower() in _ROLES or bool(_NAMED.search(a.get("class", "")) or _NAMED.search(a.get("id", "")))
+
+
+def _is_main(node: Node) -> bool:
+    return node.name in ("article", "main") or node.attributes.get("role", "").lower() == "main"
 
 
 def _prune(root: Node) -> None:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or not _no_text(c)]
+        todo += [c for c in node.children if not isinstance(c, str)]
+    holds = _holders(root)
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not _cut(c, inside)]
+        node.children = [c for c in node.children if isinstance(c, str) or id(c) in holds or not _named(c, inside)]
         todo += [(c, inside or c.name in ("article", "main")) for c in node.children if not isinstance(c, str)]
 
 
+def _holders(root: Node) -> set[int]:
+    """The nodes that hold an article or main element; and if none of these stands outside of named nodes, those that hold the node with the largest sum."""
+    out: set[int] = set()
+    outside = any_named = False
+    todo = [(root, False, False)]
+    while todo:
+        node, inside, within = todo.pop()
+        named = node is not root and _named(node, inside)
+        any_named = any_named or named
+        within = within or named
+        if _is_main(node):
+            outside = outside or not within
+            up = node
+            while up is not None and id(up) not in out:
+                out.add(id(up))
+                up = up.parent
+        inside = inside or node.name in ("article", "main")
+        todo += [(c, inside, within) for c in node.children if not isinstance(c, str)]
+    if any_named and not outside:
+        up = max(_weigh(next((c for c in _nodes(root) if c.name == "body"), root)), key=lambda n: n.total)
+        while up is not None:
+            out.add(id(up))
+            up = up.parent
+    return out
+
+
 def _nodes(root: Node) -> list[Node]:
     """All nodes, each before what is below it."""
     out = [root]
@@ -137,6 +184,8 @@ def _weigh(body: Node) -> list[Node]:
     """Fills in counts, densities and sums; gives all nodes from body on."""
     nodes = _nodes(body)
     for node in reversed(nodes):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = 0.0
         for c in node.children:
             if isinstance(c, str):
                 node.chars += len(c) - c.count(" ") - c.count("\n")

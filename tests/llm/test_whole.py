@@ -8,7 +8,7 @@ import re
 import pyarrow as pa
 import pytest
 
-from corpusloom.llm import near_dup, quality, secrets
+from corpusloom.llm import html_text, near_dup, quality, secrets
 
 
 def test_near_duplicates_many_clusters_in_a_bucket(spark, monkeypatch):
@@ -86,3 +86,18 @@ def test_runs_go_on_behind_a_token():
     key = base64.b64encode(pkcs8(67)).decode()
     run = f"{token(1)}.{token(2)}={key}.notoken1.{token(3)}"
     assert [(k, run[s:e]) for k, s, e in secrets.spans(run) if k in ("der", "jwt")] == [("jwt", token(1)), ("jwt", token(2)), ("der", key), ("jwt", token(3))]
+
+
+@pytest.mark.parametrize("wrapper", ['div class="layout has-sidebar"', 'div class="content no-sidebar"', 'div id="page-with-nav"', "form", "fieldset", "dialog open"])
+@pytest.mark.parametrize("element", ["article", "div"])
+def test_named_wrappers_of_a_page(wrapper, element):
+    text = " ".join(f"word{i}" for i in range(80))
+    inner = f"<{element}><p>{text}</p><p>{text}</p></{element}>"
+    page = f'<body><nav><a href=/>Home</a></nav><{wrapper}>{inner}<div class="sidebar"><a href=x>Other</a></div></{wrapper.split()[0]}><footer>me</footer></body>'
+    assert html_text.extract(page) == f"{text}\n{text}"
+
+
+def test_named_parts_beside_an_article_are_cut():
+    text = " ".join(f"word{i}" for i in range(40))
+    page = f'<body><article><p>{text}</p></article><div class="comments"><p>{text} {text}</p><p>{text}</p></div></body>'
+    assert html_text.extract(page) == text
