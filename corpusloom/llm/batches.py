@@ -90,6 +90,18 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+class Memo(dict):
+    """A memo of a function whose keys are bounded by what they are."""
+
+    def __init__(self, fn: Callable):
+        super().__init__()
+        self.fn = fn
+
+    def __missing__(self, key):
+        out = self[key] = self.fn(key)
+        return out
+
+
 class Recent(dict):
     """A memo of a function with bounded size: it keeps the last `size` new keys, and those in use before them, at least."""
 

@@ -8,7 +8,12 @@ merges, run on their joined bytes, give just these two; a sequence whose neighbo
 compatible is the one that the merges produce. Compatibility is memoised, and each place is given
 up once at most, so the work is linear in the piece.
 
+Texts of a slice are cut into segments where no piece can cross, and each distinct segment is encoded
+once; a row's ids are then gathered by Arrow. Segments are cut for patterns of SEPARABLE only; for any other
+pattern a text is one segment.
+
 Null text: empty (no ids). Null id: kept. Repeated rows: one result each. Empty table: none.
+decode(): an id that is null or has no token gives no bytes and is counted in n_unknown; null ids: none.
 Other columns of the input are not read, so their names cannot clash.
 """
 
@@ -16,17 +21,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from collections.abc import Iterable
+from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusloom.llm.batches import Recent, map_columns, texts
+from corpusloom.llm.batches import Memo, Recent, bytes_of, map_columns, texts
 
 MEMO_WORDS = 200_000
-"""Words of which a worker remembers this many recent ones at least, and twice as many at most; of first words of lines, pieces and pairs of tokens, a third."""
+"""Segments, and pairs of tokens, of which a worker remembers this many recent ones at least, and twice as many at most."""
+MEMO_BYTES = 64
+"""Longer segments are not remembered."""
 
 SCHEMA = T.StructType(
     [
@@ -35,6 +45,7 @@ SCHEMA = T.StructType(
         T.StructField("ids", T.ArrayType(T.IntegerType())),
     ]
 )
+DECODED = T.StructType([T.StructField("id", T.LongType()), T.StructField("decoded", T.BinaryType()), T.StructField("n_unknown", T.LongType())])
 DIGESTS = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -43,8 +54,12 @@ DIGESTS = T.StructType(
         T.StructField("decoded_sha256", T.StringType()),
     ]
 )
-#: White space that is not a single space or line feed between two other characters.
-_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f]|\s\s|\A\s|\s\Z")
+# Patterns of which no match goes on from a character that is not white space to a space or line
+# feed, or from a letter to a sign other than an apostrophe; and none looks past the next character that is not white space.
+SEPARABLE = frozenset([r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"])
+
+
+_LETTER, _SIGN = (np.array([x < 128 and test(chr(x)) for x in range(256)]) for test in (str.isalpha, lambda x: x.isprintable() and not x.isalnum() and x not in " '"))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,17 +75,20 @@ class BytePairs:
         import regex
 
         self.split = regex.compile(pattern).findall
-        self.token = {rank: token for token, rank in ranks.items()}
+        self.separable = pattern in SEPARABLE
+        vocabulary: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            vocabulary[rank] = token
+        self.vocabulary = pa.array(vocabulary, pa.binary())
         self.rank = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.trie = ahocorasick.Automaton()
         for token in self.rank:
             self.trie.add_word(token, token)
         self.trie.make_automaton()
-        self.parts: dict[str, tuple[str, str] | None] = {}
-        self.pairs = Recent(lambda pair: self.apart(*pair), memo // 3)
-        self.known = Recent(lambda p: self.piece(p.encode("utf-8", "surrogatepass").decode("latin-1")), memo // 3)
-        self.words = Recent(lambda w: self.pieces(self.split(" " + w)), memo)
-        self.heads = Recent(lambda w: self.pieces(self.split(w)), memo // 3)
+        self.parts = Memo(self.halves)
+        self.pairs = Recent(lambda pair: self.apart(*pair), memo)
+        self.shorter = Memo(self.prefix)
+        self.words = Recent(self.segment, memo)
 
     def merged(self, text: str, until: int = 1) -> list[str]:
         """The tokens that the merges give, one merge at a time, as long as there are more than until."""
@@ -84,10 +102,12 @@ class BytePairs:
 
     def halves(self, token: str) -> tuple[str, str] | None:
         """The two tokens of a token's last merge; None for a single byte or what no merges give."""
-        if token not in self.parts:
-            two = self.merged(token, 2)
-            self.parts[token] = (two[0], two[1]) if len(two) == 2 else None
-        return self.parts[token]
+        two = self.merged(token, 2)
+        return (two[0], two[1]) if len(two) == 2 else None
+
+    def prefix(self, token: str) -> str | None:
+        """The longest token that a token starts with, but itself."""
+        return next((token[:n] for n in range(len(token) - 1, 0, -1) if token[:n] in self.rank), None)
 
     def apart(self, a: str, b: str) -> bool:
         """Whether a and b, side by side, stay two tokens: no merge across their common edge comes before theirs.
@@ -99,7 +119,7 @@ class BytePairs:
         while True:
             if rank.get(a + b, 1 << 60) < before:
                 return False
-            ha, hb = self.halves(a), self.halves(b)
+            ha, hb = self.parts[a], self.parts[b]
             if ha is None and hb is None:
                 return True
             # Of equal merges the left one comes first; so b's is undone first at equal ranks.
@@ -113,61 +133,76 @@ class BytePairs:
         rank, pairs = self.rank, self.pairs
         if text in rank:
             return [rank[text]]
-        # The longest token at each place in turn; where all neighbours are compatible, nothing is left to do.
-        longest = [token for _, token in self.trie.iter_long(text)]
-        if all(map(pairs.__getitem__, zip(longest, longest[1:]))):  # noqa: B905
-            return [rank[x] for x in longest]
-        at: list[list[str]] = [[] for _ in text]
-        for end, token in self.trie.iter(text):
-            at[end + 1 - len(token)].append(token)  # by growing length, as matches come by their ends
         out: list[str] = []
-        left: list[int] = []  # per token in out: how many shorter candidates of its place are untried
-        dead = bytearray(len(text) + 1)  # places from which no compatible sequence goes on
-        pos, i = 0, len(at[0])
-        while pos < len(text):
-            while i:
-                i -= 1
-                token = at[pos][i]
-                if not dead[pos + len(token)] and (not out or pairs[out[-1], token]):
-                    out.append(token)
-                    left.append(i)
-                    pos += len(token)
-                    i = len(at[pos]) if pos < len(text) else 0
-                    break
-            else:
+        for _, token in self.trie.iter_long(text):
+            if out and not pairs[out[-1], token]:
+                break
+            out.append(token)
+        else:  # all neighbours are compatible
+            return [rank[x] for x in out]
+        pos = sum(map(len, out))
+        dead: set[int] = set()  # places from which no compatible sequence goes on
+        shorter = self.shorter
+        trial: str | None = shorter[token]
+        while True:
+            while trial is not None and (pos + len(trial) in dead or out and not pairs[out[-1], trial]):
+                trial = shorter[trial]
+            if trial is None:
                 # Nothing fits here after this predecessor: give the place up and shorten the predecessor.
-                dead[pos] = 1
-                pos -= len(out.pop())
-                i = left.pop()
-        return [rank[x] for x in out]
-
-    def pieces(self, found: Iterable[str]) -> tuple[int, str, bytes]:
-        """Number of ids, ids as text and the bytes decoded from the ids of some pieces."""
-        ids = [i for p in found for i in self.known[p]]
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
-
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
-
-    def runs(self, text: str) -> list[tuple[int, str, bytes]]:
-        """What pieces() gives for successive runs of the text.
-
-        A piece never goes on from a character that is not white space to one that is. So where
-        lines and words are parted by single characters, each word with the space before it is
-        split alone, and remembered; other texts are split by the pattern as a whole.
-        """
-        heads, words = self.heads, self.words
-        if _ODD.search(text):
-            return [self.pieces([p]) if p.isspace() else heads[p] for p in self.split(text)]
-        out: list[tuple[int, str, bytes]] = []
-        for n, line in enumerate(text.split("\n") if text else ()):
-            first, *rest = line.split(" ")
-            if n:
-                out.append(heads["\n"])
-            if first:
-                out.append(heads[first])
-            out += map(words.__getitem__, rest)
-        return out
+                dead.add(pos)
+                last = out.pop()
+                pos -= len(last)
+                trial = shorter[last]
+                continue
+            out.append(trial)
+            pos += len(trial)
+            if pos == len(text):
+                return [rank[x] for x in out]
+            trial = next(self.trie.iter_long(text, pos))[1]  # the longest token that starts here, as every byte is one
+
+    def segment(self, data: bytes) -> bytes:
+        """The ids of a segment's pieces, as 32-bit numbers."""
+        if self.separable and (data[1:] if data[0] == 0x20 else data).isalpha():  # ASCII letters: one piece
+            ids = self.piece(data.decode("latin-1"))
+        else:
+            found = self.split(data.decode("utf-8", "surrogateescape"))
+            ids = [i for p in found for i in self.piece(p.encode("utf-8", "surrogateescape").decode("latin-1"))]
+        return array("i", ids).tobytes()
+
+    def encode(self, column: pa.Array) -> pa.ListArray:
+        """The ids of each text."""
+        flat, offsets = bytes_of(column)
+        cuts = segment_starts(flat, offsets) if self.separable else np.unique(offsets[:-1][np.diff(offsets) > 0])
+        ends = pa.py_buffer(np.append(cuts, len(flat)).astype(np.int32))
+        found = pa.Array.from_buffers(pa.binary(), len(cuts), [None, ends, pa.py_buffer(flat)]).dictionary_encode()
+        made = [self.words[x] if len(x) <= MEMO_BYTES else self.segment(x) for x in found.dictionary.to_pylist()]
+        ids = pa.array(np.frombuffer(b"".join(made), np.int32))
+        each = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]) // 4, pa.int32()), ids).take(found.indices)
+        edges = each.offsets.to_numpy()[np.searchsorted(cuts, offsets)]
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), each.values)
+
+    def decode(self, ids: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+        """The bytes of each row's ids, and how many of these are null or have no token."""
+        flat, edges = ids.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
+        known = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(self.vocabulary))), flat, None)
+        tokens = self.vocabulary.take(known)
+        missing = np.concatenate([[0], np.cumsum(tokens.is_null().to_numpy(zero_copy_only=False))])
+        rows = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), tokens.fill_null(b""))
+        return pc.binary_join(rows, b""), missing[edges[1:]] - missing[edges[:-1]]
+
+
+def segment_starts(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the segments of texts laid end to end start: at texts; at spaces and line feeds behind a character that surely is not white space; at ASCII signs but the apostrophe behind an ASCII letter."""
+    here = np.flatnonzero((flat == 0x20) | (flat == 0x0A))
+    here = here[here > 0]
+    last, second, third = (flat[np.maximum(here - k, 0)] for k in (1, 2, 3))
+    # White space of more than one byte: U+0085 and U+00A0; U+1680, U+2000 to U+205F and U+3000, with others around them.
+    wide = (last >= 0x80) & ((second == 0xC2) | np.isin(third, (0xE1, 0xE2, 0xE3)) & np.isin(second, (0x80, 0x81, 0x9A)))
+    starts = np.zeros(len(flat), bool)
+    starts[1:] = _LETTER[flat[:-1]] & _SIGN[flat[1:]]
+    starts[here[(last > 0x20) & ~wide]] = True
+    starts[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(starts)
 
 
 _coders: dict[tuple, BytePairs] = {}
@@ -181,29 +216,26 @@ def _coder(path: str, pattern: str, memo: int = MEMO_WORDS) -> BytePairs:
 
 
 def encode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO_WORDS) -> DataFrame:
-    """id, n_tokens and ids of each row. ranks: path of the rank file on every worker; memo: words that a worker remembers."""
+    """id, n_tokens and ids of each row. ranks: path of the rank file on every worker; memo: segments that a worker remembers."""
 
     def run(columns):
-        coder = _coder(ranks, pattern, memo)
-        ids = [[int(i) for r in coder.runs(x) for i in r[1].split(" ")] for x in columns[1].to_pylist()]
-        yield {"id": columns[0], "n_tokens": [len(x) for x in ids], "ids": ids}
+        ids = _coder(ranks, pattern, memo).encode(columns[1])
+        yield {"id": columns[0], "n_tokens": pc.list_value_length(ids).cast(pa.int64()), "ids": ids}
 
     return map_columns(texts(df, id_col, text_col), SCHEMA, run)
 
 
 def decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
-    """id and decoded bytes of each row's ids (null: none)."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("decoded", T.BinaryType())])
+    """id, decoded bytes and n_unknown of each row's ids."""
+    rows = df.select(F.col(id_col).cast("long"), F.coalesce(F.col(ids_col).cast("array<int>"), F.expr("cast(array() as array<int>)")))
+    arrow = to_arrow_schema(DECODED)
 
     def run(batches):
-        import pyarrow as pa
-
-        coder = _coder(ranks, pattern)
         for b in batches:
-            made = [coder.decode(x or ()) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["id", "decoded"])
+            decoded, unknown = _coder(ranks, pattern).decode(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), decoded, pa.array(unknown, pa.int64())], schema=arrow)
 
-    return df.select(F.col(id_col).cast("long"), F.col(ids_col)).mapInArrow(run, schema)
+    return rows.mapInArrow(run, DECODED)
 
 
 def digests(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,12 +243,9 @@ def digests(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(columns):
         coder = _coder(ranks, pattern)
-        n, ids, back = [], [], []
-        for text in columns[1].to_pylist():
-            runs = coder.runs(text)
-            n.append(sum(r[0] for r in runs))
-            ids.append(hashlib.sha256(" ".join([r[1] for r in runs]).encode()).hexdigest())
-            back.append(hashlib.sha256(b"".join([r[2] for r in runs])).hexdigest())
-        yield {"id": columns[0], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": back}
+        ids = coder.encode(columns[1])
+        listed = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string())), " ")
+        sha256 = lambda x: [hashlib.sha256(v.as_buffer()).hexdigest() for v in x]
+        yield {"id": columns[0], "n_tokens": pc.list_value_length(ids).cast(pa.int64()), "ids_sha256": sha256(listed), "decoded_sha256": sha256(coder.decode(ids)[0])}
 
     return map_columns(texts(df, id_col, text_col), DIGESTS, run)
