@@ -2,18 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
+from corpusloom.sources.scratch import folder, forget, new_path, stored
 
-from pyspark.sql import SparkSession
-
-from corpusloom.sources.scratch import folder, new_path, stored
-
-__all__ = ["folder", "new_path", "release", "stored"]
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, whose plans are no longer referred to, before the next step writes its own."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)  # Spark's cleaner works beside the driver's main thread
+__all__ = ["folder", "forget", "new_path", "stored"]

@@ -1,44 +1,44 @@
 """Operator 7: removal of byte strings that occurred earlier, by prefix doubling over sampled positions.
 
 A byte goes if a string of `size` bytes that covers it also starts earlier (at a smaller id, or
-in the same text further left). Ranks of equal content are 64-bit content hashes instead of
-numbers, so that reranking is a shuffle on pairs of ranks without a global numbering; positions are dropped
-as soon as their rank is unique. The rounds:
-
-1. Length 32, at sampled positions only: of the 69 positions in each string of 100 bytes the one
-   with the smallest hash is its anchor. Equal strings have equal anchors, so a string whose
-   anchor's rank is unique is unique. Anchors are some 3 % of all positions.
-2. At the anchors left, the pair (rank at 32, rank of the text of all strings that share the
-   anchor): with an equal pair, all these strings are equal. All but the first of a pair go.
-3. What is left are first occurrences of pairs that share their rank at 32 with another pair. For
-   their strings, each at its own position p, the pairs (rank 50 at p, rank 50 at p + 50) decide. Up
-   to FEW such anchors of a rank are sent to one place with the bytes around them; the strings of more
-   are shuffled one by one, by their pairs.
-
-Texts are shuffled once, as bytes of a whole row; what else is shuffled are ranks and positions.
-
-Null text: empty. A null id comes before all others. Rows of equal id are the same document: none
-of them is earlier than the other at the same place. Ties cannot occur otherwise. Texts shorter than
-`size` lose nothing. Empty table: none. Other columns are not read.
+in the same text further left). Doubling from every position would shuffle each byte some twenty times over; so the
+first round ranks a sample of positions that equal strings have in common, and each later round
+ranks what is still open by a longer common part, until nothing is open:
+
+1. Of the 69 positions in each string of 100 bytes the one with the smallest hash of 32 bytes is its anchor.
+   Equal strings have equal anchors at the same distance from their starts. The successive strings of an anchor are
+   one segment. Its rank is that of the 32 bytes; a segment whose rank occurs once is unique, and closed.
+2. Segments of equal rank that hold the very same bytes are told apart by position: all but the first
+   go. If all of a rank hold the same bytes, the first is closed: it stays.
+3. What is open, the first ones of ranks with several contents, is split by the distance between string and
+   anchor (27, 9, 3 and 1 distances), and ranked again by the bytes that all strings of such a part have in
+   common: 74, 92, 98 and 100 bytes. Steps 2 and 3 are repeated; at 100 bytes equal ranks are equal strings.
+
+Rows between rounds are segments, not strings; all groupings are aggregations that combine before they shuffle. Ranks are
+content hashes, so that reranking needs no global numbering; from the second round on, contents are compared byte by byte.
+
+Null text: empty. A null id comes before all others. Rows of equal id and text are the same document: none
+of them is earlier than the other at the same place. Rows of equal id and other text come by a hash of their text.
+Texts shorter than `size` lose nothing. A long text is ranked in parts that overlap. Empty table: none. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusloom.llm.batches import bytes_of, map_columns, mixed, powers
-from corpusloom.llm.shared import release, stored
+from corpusloom.llm.batches import SLICE_BYTES, bytes_of, map_columns, mixed, powers
+from corpusloom.llm.shared import forget, stored
 
 GRAM = 32
+SPLIT = 3
 _NONE = -(1 << 63)
-_CODES = np.random.default_rng(7001).integers(0, 2**64, (3, 256), dtype=np.uint64)
-_BASES = (0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7)
+_CODES = np.random.default_rng(7001).integers(0, 2**64, (2, 256), dtype=np.uint64)
+_BASES = (0xD1B54A32D192ED03, 0xABC98388FB8FAC03)
+_PLACES = np.uint64(0xFFFFFFFF)
 
 
 def _grams(flat: np.ndarray, size: int, which: int = 0) -> np.ndarray:
@@ -66,14 +66,16 @@ class Prefixes:
 
 
 def anchors(flat: np.ndarray, offsets: np.ndarray, size: int) -> dict[str, np.ndarray]:
-    """The anchors of texts laid end to end: row, first and last position (in the text) of the strings of each, and both ranks."""
+    """The segments of texts laid end to end: row, first and last position (in the text) of the strings of each anchor, the first one's distance to it, its rank, and a hash of all the segment's bytes."""
+    names = ("row", "lo", "n", "d", "rank", "pair")
+    lengths = np.diff(offsets)
+    count = np.maximum(lengths - size + 1, 0)
+    if not count.any():
+        return dict.fromkeys(names, np.zeros(0, np.int64))
     n = len(flat)
-    empty = np.zeros(0, np.int64)
-    if n < size:
-        return {"row": empty, "lo": empty, "hi": empty, "rank": empty, "pair": empty}
     grams = mixed(_grams(flat, GRAM))
-    places = np.uint64((1 << n.bit_length()) - 1)
-    least = (grams & ~places) | np.arange(n, dtype=np.uint64)  # of equal ones, the leftmost
+    # Of equal upper halves the leftmost is taken, wherever the text lies, so that equal strings have equal anchors.
+    least = (grams & ~_PLACES) | np.arange(n, dtype=np.uint64)
     width, have = size - GRAM + 1, 1
     while 2 * have <= width:
         least[:-have] = np.minimum(least[:-have], least[have:])
@@ -81,48 +83,35 @@ def anchors(flat: np.ndarray, offsets: np.ndarray, size: int) -> dict[str, np.nd
     if width > have:
         least[: have - width] = np.minimum(least[: have - width], least[width - have :])
     # Strings that run over the end of their text don't count.
-    lengths = np.diff(offsets)
-    count = np.maximum(lengths - size + 1, 0)
     row = np.repeat(np.arange(len(lengths)), count)
     at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(offsets[:-1], count)
-    if not len(at):
-        return {"row": empty, "lo": empty, "hi": empty, "rank": empty, "pair": empty}
-    place = (least[at] & places).astype(np.int64)
+    place = (least[at] & _PLACES).astype(np.int64)
     new = np.ones(len(at), bool)
     new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
     lo, hi, place, row = at[first], at[last], place[first], row[first]
     pair = Prefixes(flat, 1).of(lo, hi + size) + mixed((place - lo).astype(np.uint64))
-    return {"row": row, "lo": lo - offsets[row], "hi": hi - offsets[row], "rank": grams[place].view(np.int64), "pair": pair.view(np.int64)}
-
-
-RANKS = T.StructType([T.StructField("rank", T.LongType()), T.StructField("n", T.IntegerType())])
-ANCHORS = T.StructType(
-    [
-        T.StructField("id", T.LongType()),
-        T.StructField("tag", T.ShortType()),
-        T.StructField("lo", T.IntegerType()),
-        T.StructField("hi", T.IntegerType()),
-        T.StructField("rank", T.LongType()),
-        T.StructField("pair", T.LongType()),
-        T.StructField("again", T.BooleanType()),
-    ]
-)
-OPEN = T.StructType(
-    [
-        T.StructField("id", T.LongType()),
-        T.StructField("tag", T.ShortType()),
-        T.StructField("lo", T.IntegerType()),
-        T.StructField("hi", T.IntegerType()),
-        T.StructField("rank", T.LongType()),
-        T.StructField("next", T.LongType()),
-        T.StructField("context", T.BinaryType()),
-    ]
-)
-RUNS = T.StructType(OPEN.fields[:4])
-FEW = 256
-"""Up to so many first anchors of one rank are compared in one place; of more, each string is shuffled by its own ranks."""
+    return dict(zip(names, (row, lo - offsets[row], hi - lo, place - lo, grams[place].view(np.int64), pair.view(np.int64)), strict=True))
+
+
+def _segments(column: pa.Array, size: int, most: int):
+    """anchors() of the texts of a slice, or, if it has more than twice `most` bytes, of parts of each text that overlap by size - 1 bytes."""
+    flat, offsets = bytes_of(column)
+    if len(flat) <= 2 * most:
+        yield anchors(flat, offsets, size)
+        return
+    for i in range(len(column)):
+        for at in range(offsets[i], max(offsets[i] + 1, offsets[i + 1] - size + 1), most):
+            part = flat[at : min(at + most + size - 1, offsets[i + 1])]
+            found = anchors(part, np.array([0, len(part)]), size)
+            yield found | {"row": found["row"] + i, "lo": found["lo"] + at - offsets[i]}
+
+
+_SEGMENT = [T.StructField("id", T.LongType()), T.StructField("tag", T.IntegerType()), T.StructField("lo", T.IntegerType()), T.StructField("n", T.ShortType()), T.StructField("d", T.ShortType())]
+RANKS = T.StructType([T.StructField("core", T.LongType()), T.StructField("n", T.IntegerType())])
+ANCHORS = T.StructType([*_SEGMENT, T.StructField("core", T.LongType()), T.StructField("content", T.LongType()), T.StructField("again", T.BooleanType())])
+OPEN = T.StructType([*_SEGMENT, T.StructField("bytes", T.BinaryType())])
 RESULT = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -134,154 +123,83 @@ RESULT = T.StructType(
 )
 
 
-def _ranks(size: int):
+def _ranks(size: int, most: int):
     def run(columns):
-        a = anchors(*bytes_of(columns[1]), size)
-        rank, n = np.unique(a["rank"], return_counts=True)
-        yield {"rank": rank, "n": n}
+        for a in _segments(columns[1], size, most):
+            rank, n = np.unique(a["rank"], return_counts=True)
+            yield {"core": rank, "n": n}
 
     return run
 
 
-def _again(one: np.ndarray, two: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which positions have a pair of ranks that occurs earlier in these very rows; that needs no shuffle to be known."""
-    order = np.lexsort((at, ids, two, one))
+def _again(a: dict[str, np.ndarray], ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Which segments have an equal one earlier in these very rows; that needs no shuffle to be known."""
+    order = np.lexsort((a["lo"], tags, ids, a["pair"], a["rank"]))
     out = np.zeros(len(order), bool)
     if len(order) > 1:
         x, y = order[1:], order[:-1]
-        same = np.append(False, (one[x] == one[y]) & (two[x] == two[y]))
+        same = np.append(False, (a["rank"][x] == a["rank"][y]) & (a["pair"][x] == a["pair"][y]))
         head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-        out[order] = same & ((ids[order] != ids[head]) | (at[order] != at[head]))
+        out[order] = same & ((ids[order] != ids[head]) | (tags[order] != tags[head]) | (a["lo"][order] != a["lo"][head]))
     return out
 
 
-def _anchors(size: int):
+def _anchors(size: int, most: int):
     def run(columns):
-        ids, tags = columns[0].to_numpy(), columns[2].to_numpy()
-        a = anchors(*bytes_of(columns[1]), size)
-        row = a["row"]
-        again = _again(a["rank"], a["pair"], ids[row], a["lo"])
-        # Known repeats are settled; a rank of their own keeps them out of the way of what is not.
-        lone = mixed(ids[row].view(np.uint64) * np.uint64(_BASES[0]) + a["lo"].astype(np.uint64)).view(np.int64)
-        yield {"id": ids[row], "tag": tags[row], "lo": a["lo"], "hi": a["hi"], "rank": np.where(again, lone, a["rank"]), "pair": np.where(again, 0, a["pair"]), "again": again}
+        for a in _segments(columns[1], size, most):
+            ids, tags = columns[0].to_numpy()[a["row"]], columns[2].to_numpy()[a["row"]]
+            again = _again(a, ids, tags)
+            # Known repeats are settled; a rank of their own keeps them out of the way of what is not.
+            lone = mixed(ids.view(np.uint64) * np.uint64(_BASES[0]) + a["lo"].astype(np.uint64)).view(np.int64)
+            yield {"id": ids, "tag": tags, "lo": a["lo"], "n": a["n"], "d": a["d"], "core": np.where(again, lone, a["rank"]), "content": np.where(again, 0, a["pair"]), "again": again}
 
     return run
 
 
-def _runs(row: np.ndarray, at: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last index of each run of marked successive positions in the same row."""
-    on = np.append(False, marked[1:] & marked[:-1] & (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1)) if len(row) else marked
-    return np.flatnonzero(marked & ~on), np.flatnonzero(marked & ~np.append(on[1:], False)) if len(row) else np.flatnonzero(marked)
-
-
-def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All positions from lo to hi of each range, and the range's index."""
-    n = hi - lo + 1
-    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(np.arange(len(lo)), n)
-
-
 def _opened(size: int):
-    """What round 3 looks at: the text around a first anchor; or, for a rank with many of them, its strings' ranks."""
-    half = size // 2
+    """The segments listed for each text, with their bytes."""
 
     def run(columns):
-        ids, tags = columns[0].to_numpy(), columns[2].to_numpy()
         flat, offsets = bytes_of(columns[1])
-        opened = columns[3]
-        row = np.repeat(np.arange(len(ids)), np.diff(opened.offsets.to_numpy()))
-        fields = opened.flatten()
-        lo, hi, rank, many = (fields.field(f).to_numpy(zero_copy_only=False) for f in ("lo", "hi", "rank", "many"))
-        lo, hi = lo.astype(np.int64), hi.astype(np.int64)
-        few = np.flatnonzero(~many)
+        row = np.repeat(np.arange(len(columns[0])), np.diff(columns[3].offsets.to_numpy()))
+        lo, n, d = (columns[3].flatten().field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("lo", "n", "d"))
         start = lo + offsets[row]
-        data = flat.tobytes() if len(few) else b""
-        context = [data[s:e] for s, e in zip(start[few].tolist(), (start + hi - lo + size)[few].tolist(), strict=True)]
-        more = np.flatnonzero(many)
-        at, of = _spread(lo[more], hi[more])
-        of = more[of]
-        p = at + offsets[row[of]]
-        sums = Prefixes(flat, 2)
-        rows = np.concatenate([row[few], row[of]])
+        data = memoryview(flat)
         yield {
-            "id": ids[rows],
-            "tag": tags[rows],
-            "lo": np.concatenate([lo[few], at]),
-            "hi": np.concatenate([hi[few], at]),
-            "rank": np.concatenate([rank[few], sums.of(p, p + half).view(np.int64)]),
-            "next": np.concatenate([np.zeros(len(few), np.int64), sums.of(p + half, p + size).view(np.int64)]),
-            "context": context + [None] * len(at),
+            "id": columns[0].to_numpy()[row],
+            "tag": columns[2].to_numpy()[row],
+            "lo": lo,
+            "n": n,
+            "d": d,
+            "bytes": [bytes(data[s:e]) for s, e in zip(start.tolist(), (start + n + size).tolist(), strict=True)],
         }
 
     return run
 
 
-def _settled(size: int):
-    """Round 3 over rows sorted by (rank, next, id, lo): the runs of strings that occur earlier."""
-    half = size // 2
-    arrow = to_arrow_schema(RUNS)
-
-    def compared(rows: pa.Table) -> pa.RecordBatch:
-        """For whole groups of first anchors with their contexts."""
-        ids, tags, lo, hi, rank = (rows.column(c).to_numpy() for c in ("id", "tag", "lo", "hi", "rank"))
-        lo, hi = lo.astype(np.int64), hi.astype(np.int64)
-        flat, offsets = bytes_of(rows.column("context").combine_chunks())
-        at, of = _spread(lo, hi)
-        p = at - lo[of] + offsets[of]
-        sums = Prefixes(flat, 2)
-        one = sums.of(p, p + half) ^ mixed(rank.view(np.uint64))[of]
-        again = _again(one, sums.of(p + half, p + size), ids[of], at)
-        first, last = _runs(of, at, again)
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids[of[first]], tags[of[first]], at[first], at[last]), arrow, strict=True)], schema=arrow)
-
-    def run(batches):
-        held = None  # first anchors of a rank that may go on in the next batch
-        head = None  # rank, next, id and lo of the first of the strings at hand
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            kind = rows.column("context").is_valid()
-            strings = rows.filter(pc.invert(kind))
-            if strings.num_rows:
-                rank, after, ids, lo = (strings.column(c).to_numpy() for c in ("rank", "next", "id", "lo"))
-                new = np.append(True, (rank[1:] != rank[:-1]) | (after[1:] != after[:-1]))
-                if head is not None and head[:2] == (rank[0], after[0]):
-                    new[0] = False
-                of = np.cumsum(new) - 1
-                starts = np.flatnonzero(new)
-                first_id, first_lo = (np.where(of < 0, h, x[starts][np.maximum(of, 0)] if len(starts) else h) for h, x in ((head[2] if head else 0, ids), (head[3] if head else 0, lo)))
-                gone = strings.filter(pa.array((ids != first_id) | (lo != first_lo)))
-                head = (rank[-1], after[-1], first_id[-1], first_lo[-1])
-                yield from gone.select(RUNS.names).cast(arrow).to_batches()
-            anchored = rows.filter(kind)
-            if anchored.num_rows:
-                rows = pa.concat_tables([held, anchored]) if held is not None else anchored
-                rank = rows.column("rank").to_numpy()
-                cut = int(np.flatnonzero(rank == rank[-1])[0])
-                if cut:
-                    yield compared(rows.slice(0, cut))
-                held = rows.slice(cut)
-        if held is not None:
-            yield compared(held)
-
-    return run
-
-
 def _removed(size: int):
     def run(columns):
-        ids, los, his = columns[0], columns[3], columns[4]
+        ids, lists = columns[0], columns[3]
         out: dict[str, list] = {f: [] for f in RESULT.names[1:]}
-        for text, lo, hi in zip(columns[1], los, his, strict=True):
-            data = text.as_buffer().to_pybytes() if text.is_valid else b""
+        for text, marks in zip(columns[1], lists, strict=True):
+            data = text.as_buffer().to_pybytes()
             removed = spans = 0
-            if lo.is_valid and len(lo):
+            kept = data
+            if marks.is_valid and len(marks):
+                packed = marks.values.to_numpy()
+                lo, end = packed >> 17, (packed >> 17) + (packed >> 1 & 0xFFFF)
+                # Segments that don't stay count for their strings, parts that do stay count against them.
+                sign = np.where(packed & 1, -1, 1)
                 edge = np.zeros(len(data) + 1, np.int32)
-                np.add.at(edge, lo.values.to_numpy(), 1)
-                np.add.at(edge, np.minimum(hi.values.to_numpy() + size, len(data)), -1)
-                gone = np.cumsum(edge[:-1]) > 0
+                np.add.at(edge, lo, sign)
+                np.add.at(edge, end + 1, -sign)
+                starts = np.cumsum(edge) > 0
+                cover = np.cumsum(starts, dtype=np.int64)
+                cover[size:] -= cover[:-size].copy()
+                gone = cover[:-1] > 0
                 removed = int(gone.sum())
                 spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            else:
-                kept = data
             for name, value in zip(out, (len(data), removed, spans, kept), strict=True):
                 out[name].append(value)
         yield out | {"id": ids}
@@ -289,43 +207,68 @@ def _removed(size: int):
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes) of each row. size: 2 * GRAM at least."""
-    if size < 2 * GRAM:
-        raise ValueError(f"size must be {2 * GRAM} at least")
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(32749)).cast("smallint"))  # parts texts of equal id
-    marks = _marks(docs, size)
-    release(df.sparkSession)
-
-    # Round 3: the strings of first anchors.
-    first = marks.where("not gone").groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi", "rank", "many")).alias("x"))
-    opened = map_columns(docs.join(first, ["id", "tag"]).select("id", "text", "tag", "x"), OPEN, _opened(size))
-    again = opened.repartition("rank", "next").sortWithinPartitions("rank", "next", "id", "lo").mapInArrow(_settled(size), RUNS)
-    gone = marks.where("gone").select(*RUNS.names).unionByName(again)
-    lists = gone.groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("x")).select("id", "tag", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
-    marked = docs.join(lists, ["id", "tag"], "left").select("id", "text", "tag", "lo", "hi")
+def widths(size: int) -> list[int]:
+    """How many distances a part of a segment has, round by round, down to one."""
+    n = 1
+    while n * SPLIT < size - GRAM + 1:
+        n *= SPLIT
+    return [SPLIT**k for k in range(round(np.log(n) / np.log(SPLIT)), -1, -1)]
+
+
+def _parted(open_: DataFrame, width: int, size: int) -> DataFrame:
+    """Segments split where the distance to the anchor is a multiple of width; core: what all strings of a part share, wherever it starts and ends."""
+    cells = F.sequence(F.floor((F.col("d") - F.col("n")) / width), F.floor(F.col("d") / width))
+    rows = open_.select("*", F.explode(cells).alias("cell"))
+    far = F.least(F.col("d").cast("long"), F.col("cell") * width + width - 1).cast("int")
+    near = F.greatest(F.col("d").cast("long") - F.col("n"), F.col("cell") * width).cast("int")
+    rows = rows.withColumns({"far": far, "near": near})
+    rows = rows.select("id", "tag", (F.col("lo") + F.col("d") - F.col("far")).alias("lo"), (F.col("far") - F.col("near")).cast("short").alias("n"), F.col("far").cast("short").alias("d"), "cell", F.substring("bytes", F.col("d") - F.col("far") + 1, F.col("far") - F.col("near") + size).alias("content"))
+    common = F.substring("content", (F.col("d") - F.col("cell") * width + 1).cast("int"), F.lit(size + 1 - width))
+    return rows.select("id", "tag", "lo", "n", "d", F.xxhash64(F.lit(width), "cell", common).alias("core"), "content")
+
+
+def _firsts(segments: DataFrame) -> DataFrame:
+    """The first segment of each content, as a table; open, if its core has other contents too."""
+    first = segments.groupBy("core", "content").agg(F.min(F.struct("id", "tag", "lo", "n", "d")).alias("x")).select("core", "content", "x.*")
+    several = first.groupBy("core").agg(F.count("*").alias("__n")).where("__n > 1").select("core", F.lit(True).alias("open"))
+    return stored(first.join(several, "core", "left").withColumn("open", F.coalesce("open", F.lit(False))), "firsts")
+
+
+def _packed(sign: int):
+    return (F.shiftleft(F.col("lo").cast("long"), 17) + F.col("n") * 2 + sign).alias("x")
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100, part_bytes: int = SLICE_BYTES) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes) of each row. size: from 2 * GRAM to 32,767; part_bytes: how much of a long text is ranked at once."""
+    if not 2 * GRAM <= size <= 32767:
+        raise ValueError(f"size must be from {2 * GRAM} to 32767")
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = docs.withColumn("tag", F.shiftright(F.xxhash64("text"), 32).cast("int"))  # parts texts of equal id
+
+    # Round 1: anchors whose rank occurs again. A rank is counted first, so that only these are stored.
+    twice = map_columns(docs.select("id", "text"), RANKS, _ranks(size, part_bytes)).groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core", F.lit(True).alias("twice"))
+    found = stored(map_columns(docs, ANCHORS, _anchors(size, part_bytes)).join(twice, "core", "left").where("again or twice").drop("twice"), "anchors")
+    first = _firsts(found.where("not again"))
+    marks = [found.select("id", "tag", _packed(0)), first.where("not open").select("id", "tag", _packed(1))]
+
+    lists = first.where("open").groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "n", "d")).alias("x"))
+    opened = open_ = stored(map_columns(docs.join(lists, ["id", "tag"]).select("id", "text", "tag", "x"), OPEN, _opened(size)), "open")
+    for width in widths(size):
+        first = _firsts(_parted(open_, width, size))
+        # Parts of one distance are strings: what shares a rank with others then only has their hash.
+        marks.append((first.where("not open") if width > 1 else first).select("id", "tag", _packed(1)))
+        open_ = first.where("open").select("id", "tag", "lo", "n", "d", F.col("content").alias("bytes"))
+
+    forget(opened)
+    packed = marks[0]
+    for more in marks[1:]:
+        packed = packed.unionByName(more)
+    lists = packed.groupBy("id", "tag").agg(F.collect_set("x").alias("x"))
+    marked = docs.join(lists, ["id", "tag"], "left").select("id", "text", "tag", "x")
     return map_columns(marked, RESULT, _removed(size)).withColumn("id", F.nullif("id", F.lit(_NONE)))
 
 
-def _marks(docs: DataFrame, size: int) -> DataFrame:
-    """Rounds 1 and 2, as a table: the anchors whose strings are all repeats (gone), and those whose strings are to be looked at one by one."""
-    ranks = map_columns(docs.select("id", "text"), RANKS, _ranks(size)).groupBy("rank").agg(F.sum("n").alias("n")).where("n > 1").select("rank", F.lit(True).alias("twice"))
-    found = map_columns(docs, ANCHORS, _anchors(size)).join(ranks, "rank", "left").where("again or twice")
-    place = F.struct("id", "lo")
-    first = F.min(place).over(Window.partitionBy("rank", "pair"))
-    gone = F.col("again") | (place != first)
-    pairs = stored(found.withColumn("gone", gone).select("id", "tag", "lo", "hi", F.when(~F.col("gone"), F.col("rank")).alias("rank"), "gone"), "pairs")
-    del found, ranks
-    release(docs.sparkSession)
-    # A rank with one pair only has its strings decided; with several, the first of each pair are left to look at.
-    heads = pairs.where("not gone")
-    several = heads.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank", (F.col("n") > FEW).alias("many"))
-    left = heads.join(several, "rank").select(*pairs.columns, "many")
-    return stored(pairs.where("gone").withColumn("many", F.lit(False)).unionByName(left), "repeats")
-
-
-def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100) -> DataFrame:
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100, part_bytes: int = SLICE_BYTES) -> DataFrame:
     """As remove_repeats(), with the SHA-256 of the remaining bytes instead of them."""
-    out = remove_repeats(df, id_col, text_col, size)
+    out = remove_repeats(df, id_col, text_col, size, part_bytes)
     return out.select("id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -73,14 +73,17 @@ def test_byte_bpe(spark):
     coder = byte_bpe.BytePairs(byte_bpe.read_ranks(RANKS), P.PATTERN)
     rng = random.Random(4)
     bits = ["a", "the", " ", "  ", "\n", "é", "'s", "日", "\x1c", "​", "ing", "!!", "1", "\t", "🙂"]
-    for text in ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(400)] + ["x" * 3000, LONG]:
-        assert [int(i) for r in coder.runs(text) for i in r[1].split(" ")] == library.encode_ordinary(text)
+    many = ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(400)] + ["x" * 3000, LONG, ""]
+    assert coder.encode(pa.array(many)).to_pylist() == [library.encode_ordinary(t) for t in many]
+    assert byte_bpe.BytePairs(byte_bpe.read_ranks(RANKS), P.PATTERN + "|never").encode(pa.array(many)).to_pylist() == [library.encode_ordinary(t) for t in many]
     got = byte_bpe.encode(docs(spark), RANKS, P.PATTERN)
     want = Counter(tuple(library.encode_ordinary(t or "")) for _, t in EDGE)
     assert Counter(tuple(r.ids) for r in got.collect()) == want
     back = byte_bpe.decode(got, RANKS, P.PATTERN).collect()
     assert Counter(bytes(r.decoded) for r in back) == Counter((t or "").encode() for _, t in EDGE)
-    assert byte_bpe.digests(none(spark), RANKS, P.PATTERN).count() == 0
+    odd = spark.createDataFrame([(1, [15496, None, -1, 10**9, 0]), (2, None), (None, [])], "id long, ids array<long>")
+    assert {(r.id, bytes(r.decoded), r.n_unknown) for r in byte_bpe.decode(odd, RANKS, P.PATTERN).collect()} == {(1, b"Hello!", 3), (2, b"", 0), (None, b"", 0)}
+    assert byte_bpe.digests(none(spark), RANKS, P.PATTERN).count() == byte_bpe.encode(none(spark), RANKS, P.PATTERN).count() == byte_bpe.decode(odd.where("false"), RANKS, P.PATTERN).count() == 0
 
 
 def der(*parts, tag=0x30):
@@ -238,16 +241,18 @@ def brute_repeats(rows, size=100):
     return out
 
 
-@pytest.mark.parametrize("few", [0, 256])
-def test_repeats(spark, monkeypatch, few):
-    monkeypatch.setattr(suffix_dedup, "FEW", few)
+@pytest.mark.parametrize("part_bytes", [suffix_dedup.SLICE_BYTES, 300])  # short parts: every text is ranked in several
+def test_repeats(spark, part_bytes):
     rng = random.Random(5)
     part = lambda n: " ".join(rng.choice(["alpha", "béta", "gam", "delta"]) + str(rng.randint(0, 99)) for _ in range(n))
     pool = [part(rng.randint(5, 60)) for _ in range(15)]
     rows = [(i * 7 % 211, "".join(rng.choice(pool) if rng.random() < 0.5 else part(rng.randint(1, 20)) for _ in range(rng.randint(0, 5)))) for i in range(120)]
     rows += [(1000, "a" * 500), (1001, "a" * 99), (1002, "a" * 100), (1003, None), (1004, "ab" * 200), (1005, "ab" * 51)]
-    got = suffix_dedup.digests(docs(spark, rows).repartition(5)).collect()
+    got = suffix_dedup.digests(docs(spark, rows).repartition(5), part_bytes=part_bytes).collect()
     assert sorted(map(tuple, got)) == sorted(brute_repeats(rows))
+    shared = part(30)
+    crowd = [(i, f"{i:06d} {rng.random()} " + shared + f" {i * 7} {rng.random()}") for i in range(12_000 if part_bytes > 300 else 100)]
+    assert sorted(map(tuple, suffix_dedup.digests(docs(spark, crowd)).collect())) == sorted(brute_repeats(crowd))
     same = suffix_dedup.digests(docs(spark, [(1, pool[0] * 2), (1, pool[0] * 2), (None, "z" * 150)])).collect()
     assert len(same) == 3 and same.count(same[0]) + same.count(same[1]) + same.count(same[2]) == 5
     assert suffix_dedup.digests(none(spark)).count() == 0
