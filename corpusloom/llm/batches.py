@@ -6,6 +6,7 @@ Every helper works on whole texts. A null text counts as empty; a null id stays
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
+from xxhash import xxh3_64_intdigest
 
 SLICE_BYTES = 2 << 20
 """Text bytes that one vectorised step looks at together (a longer text is a step of its own)."""
 
-_MASK = (1 << 64) - 1
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE_CODE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -121,13 +121,13 @@ class Recent(dict):
 
 
 class Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of a slice of texts, found and hashed together.
+    """The words `[^\\x20\\x09-\\x0D]+` of a slice of texts, found together.
 
-    start, end: byte positions in the slice; doc: row of each word; hash: 64 bits of content;
-    first: index of each row's first word (one more than rows).
+    start, end: byte positions in the slice; doc: row of each word; first: index of each row's first word (one
+    more than rows); id: number of each word's content in this slice; hash: 64 bits of its content.
     """
 
-    def __init__(self, array: pa.Array, hashed: bool = True):
+    def __init__(self, array: pa.Array):
         self.flat, self.offsets = bytes_of(array)
         flat, offsets = self.flat, self.offsets
         inside = ~_WHITE[flat]
@@ -137,22 +137,18 @@ class Words:
         begin[cut] = inside[cut]
         stop = inside.copy()
         stop[:-1] &= ~inside[1:] | begin[1:]
-        self.inside = inside
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.count)
-        self.hash = self._hashes() if hashed else None
-
-    def _hashes(self) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        sizes = self.end - self.start
-        letters = _BYTE_CODE[self.flat[self.inside]]
-        heads = np.cumsum(sizes) - sizes
-        place = np.arange(len(letters)) - np.repeat(heads, sizes)
-        letters *= powers(int(sizes.max()))[place]
-        return mixed(np.add.reduceat(letters, heads))
+        ends = np.concatenate([[0], np.cumsum(self.end - self.start)]).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(flat[inside])]).dictionary_encode()
+        self.id, self.distinct = found.indices.to_numpy().astype(np.int64), found.dictionary
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        each = np.fromiter(map(xxh3_64_intdigest, self.distinct.to_pylist()), np.uint64, len(self.distinct))
+        return each[self.id] if len(each) else np.zeros(0, np.uint64)
 
 
 def shingles(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

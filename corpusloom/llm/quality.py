@@ -7,6 +7,9 @@ shares a prefix of at least `least` code points with a neighbour, a repeated sub
 that can't be extended to the left are maximal. Their spans are united; a text is kept if they
 cover no more than a fraction of it and none is too long.
 
+Suffixes of all texts of a slice are sorted together, each word marked by its text, so that no prefix leaves
+its text. Words are compared by content: equal numbers are equal words.
+
 Null text: no words, so it fails. Null id: kept. Repeated rows: one result each. Empty table: none.
 measure() does not read other columns; keep() returns them all unchanged.
 """
@@ -19,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.batches import Words, map_columns, shingles, slices, texts
+from corpusloom.llm.batches import Words, map_columns, slices, texts
 
 LONG_WORD = 40
 WINDOW = 5
+_POINTS = 0x110000
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 _WHITE = " \t\n\v\f\r"
@@ -44,17 +48,34 @@ SCHEMA = T.StructType(
 
 
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted order of a sequence's suffixes, and each one's common prefix with the one before it (0 for the first)."""
+    """The sorted order of a sequence's suffixes, and each one's common prefix with the one before it (0 for the first).
+
+    A rank is the place of the first suffix that agrees in as many tokens; each round looks at twice as many, and only
+    at suffixes that still share a rank.
+    """
     n = len(tokens)
-    levels = [np.unique(tokens, return_inverse=True)[1].astype(np.int64)]
-    step = 1
-    while step < n and levels[-1].max() < n - 1:
-        rank = levels[-1]
-        after = np.full(n, -1, np.int64)
-        after[:-step] = rank[step:]
-        levels.append(np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64))
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(tokens, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = _heads(tokens[order])
+    levels, step = [rank], 1
+    while True:
+        size = np.bincount(rank, minlength=n)
+        open_ = np.flatnonzero(size[rank] > 1)
+        if not len(open_):
+            break
+        after = np.where(open_ + step < n, rank[np.minimum(open_ + step, n - 1)] + 1, 0)
+        key = rank[open_] * (n + 1) + after
+        by = np.argsort(key, kind="stable")
+        open_, key = open_[by], key[by]
+        old = rank[open_]
+        rank = rank.copy()
+        rank[open_] = old + _heads(key) - _heads(old)
+        levels.append(rank)
         step *= 2
-    order = np.argsort(levels[-1], kind="stable")
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
     a, b = order[:-1].copy(), order[1:].copy()
     lcp = np.zeros(n, np.int64)
     # Suffixes of equal rank at 2^k agree in 2^k tokens, and neither has ended before.
@@ -68,72 +89,62 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def repeats(tokens: np.ndarray, chars: np.ndarray, least: int, fewest: int = WINDOW) -> tuple[int, int]:
-    """Code points covered by the maximal repeated substrings of at least `least` code points and `fewest` tokens, and those of the longest."""
-    n = len(tokens)
-    if n < 2:
-        return 0, 0
-    order, lcp = suffix_array(tokens)
-    longest = np.zeros(n, np.int64)
+def _heads(values: np.ndarray) -> np.ndarray:
+    """For sorted values, the place of the first equal one."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return np.maximum.accumulate(np.where(new, np.arange(len(values)), 0))
+
+
+def shared(tokens: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each token, the longest sequence from it on that occurs elsewhere in its row, too, in tokens."""
+    order, lcp = suffix_array(row * (int(tokens.max(initial=0)) + 1) + tokens)
+    longest = np.zeros(len(tokens), np.int64)
     longest[order] = np.maximum(lcp, np.append(lcp[1:], 0))
+    return longest
+
+
+def repeats(tokens: np.ndarray, chars: np.ndarray, least: int, fewest: int = WINDOW) -> tuple[int, int]:
+    """Code points covered by the maximal repeated substrings of at least `least` code points and `fewest` tokens, and those of the longest, in one text."""
+    first, row = np.array([0, len(tokens)]), np.zeros(len(tokens), np.int64)
+    covered, longest = _repeats(shared(tokens, row), chars, row, first, least, fewest)
+    return int(covered[0]), int(longest[0])
+
+
+def _repeats(length: np.ndarray, chars: np.ndarray, row: np.ndarray, first: np.ndarray, least: int, fewest: int) -> tuple[np.ndarray, np.ndarray]:
+    """repeats() of each row, from shared() of the rows' tokens; first: index of each row's first token (one more than rows)."""
+    n = len(length)
     total = np.concatenate([[0], np.cumsum(chars)])
-    start = np.arange(n)
-    size = total[start + longest] - total[start]
+    at = np.arange(n)
+    size = total[at + length] - total[at]
     # One token to the left, the same repeat is longer by that token: then this one is not maximal.
     maximal = np.ones(n, bool)
-    maximal[1:] = longest[:-1] != longest[1:] + 1
-    found = np.flatnonzero(maximal & (size >= least) & (longest >= fewest))
-    if not len(found):
-        return 0, 0
+    maximal[1:] = (length[:-1] != length[1:] + 1) | (row[1:] != row[:-1])
+    found = np.flatnonzero(maximal & (size >= least) & (length >= fewest))
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, found, 1)
-    np.add.at(edge, found + longest[found], -1)
-    return int(chars[np.cumsum(edge[:-1]) > 0].sum()), int(size[found].max())
+    np.add.at(edge, found + length[found], -1)
+    covered = np.concatenate([[0], np.cumsum(np.where(np.cumsum(edge[:-1]) > 0, chars, 0))])
+    longest = np.zeros(len(first) - 1, np.int64)
+    np.maximum.at(longest, row[found], size[found])
+    return covered[first[1:]] - covered[first[:-1]], longest
 
 
 def _tokens(words: Words, row: int, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of a text and their code points; the code points of long words are tokens of their own."""
     here = slice(words.first[row], words.first[row + 1])
-    hashes, sizes = words.hash[here], chars[here]
-    if not (sizes > LONG_WORD).any():
-        return hashes.view(np.int64), sizes
     parts, lengths = [], []
-    for h, size, s, e in zip(hashes.view(np.int64).tolist(), sizes.tolist(), words.start[here].tolist(), words.end[here].tolist(), strict=True):
+    for w, size, s, e in zip(words.id[here].tolist(), chars[here].tolist(), words.start[here].tolist(), words.end[here].tolist(), strict=True):
         if size > LONG_WORD:
             points = np.frombuffer(words.flat[s:e].tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.int32)
             parts.append(points.astype(np.int64))
             lengths.append(np.ones(len(points), np.int64))
         else:
-            parts.append(np.array([h]))
+            parts.append(np.array([w + _POINTS]))
             lengths.append(np.array([size]))
     return np.concatenate(parts), np.concatenate(lengths)
 
 
-def _may_repeat(words: Words, chars: np.ndarray, least: int) -> np.ndarray:
-    """Which texts may have a repeat of `least` code points, if none of their words is long.
-
-    Such a repeat has two words at least if `least` is more than one word can have, and all pairs of
-    neighbours in it occur twice. So it lies in a run of words joined by such pairs, of `least` code points or more.
-    """
-    k = 2 if least > LONG_WORD else 1
-    hashes, first = shingles(words, k)
-    row = np.repeat(np.arange(len(words.count)), np.diff(first))
-    _, back, times = np.unique(hashes ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
-    twice = np.flatnonzero(times[back] > 1)
-    at = words.first[row[twice]] + twice - first[row[twice]]
-    if not len(at):
-        return np.zeros(len(words.count), bool)
-    # A run goes on at the next word if its pair occurs twice as well, and it is of the same text.
-    head = np.ones(len(at), bool)
-    head[1:] = (at[1:] != at[:-1] + 1) | (row[twice][1:] != row[twice][:-1])
-    start = at[head]
-    end = np.append(at[:-1][head[1:]], at[-1]) + k
-    total = np.concatenate([[0], np.cumsum(chars)])
-    out = np.zeros(len(words.count), bool)
-    out[row[twice][head][total[end] - total[start] >= least]] = True
-    return out
-
-
 def measured(column: pa.Array, least: int, most_covered: float, most_long: int) -> dict:
     """The columns of SCHEMA but id for some texts."""
     words = Words(column)
@@ -146,13 +157,8 @@ def measured(column: pa.Array, least: int, most_covered: float, most_long: int)
     n_symbols = np.diff(sums(_SYMBOLS[words.flat])[words.offsets])
 
     # Windows of five words that occur twice in one text.
-    hashes, first = shingles(words, WINDOW)
-    made = np.where(words.count >= WINDOW, words.count - WINDOW + 1, 0)
-    row = np.repeat(np.arange(rows), np.diff(first))
-    key = hashes ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, back, times = np.unique(key, return_inverse=True, return_counts=True)
-    twice = np.flatnonzero((times[back] > 1) & (made[row] > 0))
-    at = words.first[row[twice]] + twice - first[row[twice]]
+    length = shared(words.id, words.doc)
+    at = np.flatnonzero(length >= WINDOW)
     edge = np.zeros(len(words.start) + 1, np.int64)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + WINDOW, -1)
@@ -163,8 +169,8 @@ def measured(column: pa.Array, least: int, most_covered: float, most_long: int)
         lines = [x for x in text.split("\n") if x.strip(_WHITE)]
         n_dup[i] = len(lines) - len(set(lines))
 
-    covered, longest = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-    for i in np.flatnonzero(_may_repeat(words, chars, least) | (by_row(chars > LONG_WORD) > 0)).tolist():
+    covered, longest = _repeats(length, chars, words.doc, words.first, least, 1)
+    for i in np.flatnonzero(by_row(chars > LONG_WORD) > 0).tolist():
         covered[i], longest[i] = repeats(*_tokens(words, i, chars), least, 1)
     failed = (words.count < 10) | (100 * n_repeat > 20 * words.count)
     return {

@@ -12,6 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from corpusloom.llm import html_text, near_dup, quality, secrets
+from corpusloom.llm.batches import Words
 
 
 def test_near_duplicates_many_clusters_in_a_bucket(spark, monkeypatch):
@@ -166,3 +167,29 @@ def test_unnamed_surroundings():
     links = "<ul>" + "".join(f"<li><a href=/{i}>Link number {i}</a></li>" for i in range(20)) + "</ul>"
     page = f"<body><div>{links}</div><div id=w><h1>Title</h1><p>{text}</p><section><p>{text}</p><p>{text}</p><p>{text}</p></section><p>End.</p>{links}</div><div>{links}</div></body>"
     assert html_text.extract(page) == "\n".join(["Title", *[text] * 4, "End."])
+
+
+def test_repeated_phrase_of_four_long_words():
+    phrase = ["a" * 39, "b" * 39, "c" * 39, "d" * 39]
+    text = " ".join(w for i in range(30) for w in [*phrase, f"x{i}"])
+    got = quality.measured(pa.array([text]), 60, 0.2, 1000)
+    assert got["n_repeat_words"][0] == 0 and got["repeat_chars"][0] == 30 * 156 and not got["kept"][0]
+
+
+def test_words_are_compared_by_content():
+    thue = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    got = quality.measured(pa.array([f"{thue} one two three four {other} one two three four"]), 60, 0.2, 1000)
+    assert got["n_repeat_words"][0] == 0
+    words = Words(pa.array([f"{thue} {other}"]))
+    assert words.hash[0] != words.hash[1]
+
+
+def test_suffix_array():
+    rng = random.Random(3)
+    for n in [0, 1, 2, 7, 40, 200]:
+        tokens = [rng.randint(0, 2) for _ in range(n)]
+        order, lcp = quality.suffix_array(pa.array(tokens, pa.int64()).to_numpy())
+        want = sorted(range(n), key=lambda i: tokens[i:])
+        assert order.tolist() == want
+        assert lcp.tolist()[1:] == [next((k for k in range(n) if max(i, j) + k >= n or tokens[i + k] != tokens[j + k]), 0) for i, j in zip(want, want[1:], strict=False)]
