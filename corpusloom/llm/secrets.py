@@ -4,7 +4,7 @@ Patterns find the base spans: assignments to secret-like names (assign), access
 and long hexadecimal runs (hex). Then every run of base64, base64url or hexadecimal characters is
 decoded, and reported as well if its bytes *are* a secret by their structure:
 
-der      a private key in DER (PKCS#1, PKCS#8 plain or encrypted, SEC 1), each nested length exact
+der      a private key in DER (PKCS#1, PKCS#8 with the inner key of its algorithm or encrypted by password, SEC 1), each nested length exact
 openssh  an OpenSSH private key, its length-prefixed fields filling the block exactly
 jwt      a signed or encrypted token: JSON headers that name an algorithm, parts that decode
 
@@ -43,11 +43,17 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ that are long enough
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _RUN = re.compile(r"[A-Za-z0-9+/_=.-]{32,}")
-_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(.*?)-----END [A-Z0-9 ]*PRIVATE KEY-----", re.DOTALL)
+_PEM = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY-----")
 _PIECE = re.compile(r"([A-Za-z0-9+/_-]{32,})={0,2}")
 _PARTS = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*){2,4}")
 _HEXADECIMAL = re.compile(r"[0-9A-Fa-f]*")
 _MAGIC = b"openssh-key-v1\0"
+# Object identifiers of algorithms, in DER.
+_RSA = bytes.fromhex("2a864886f70d010101")
+_EC = bytes.fromhex("2a8648ce3d0201")
+_CURVES = tuple(map(bytes.fromhex, ("2b656e", "2b656f", "2b6570", "2b6571")))  # X25519, X448, Ed25519, Ed448
+_NUMBERS = tuple(map(bytes.fromhex, ("2a8648ce380401", "2a864886f70d010301")))  # DSA, Diffie-Hellman
+_ENCRYPTION = tuple(map(bytes.fromhex, ("2a864886f70d0105", "2a864886f70d010c01")))  # password-based, of PKCS#5 and PKCS#12
 # A SEQUENCE (0x30) or the magic of OpenSSH keys, in base64 or hexadecimal.
 _START = re.compile(r"M[A-P]|b3BlbnNzaC1rZXk|30|6[Ff]70656[Ee]7373682[Dd]6[Bb]6579")
 _RUN_BYTES = np.zeros(256, bool)
@@ -79,11 +85,17 @@ def structural_spans(text: str) -> list[Span]:
                 out.append(("jwt", m.start() + to, m.start() + after))
             at = after
     if "PRIVATE KEY-----" in text:
+        begin = None
         for m in _PEM.finditer(text):
-            body = re.sub(r"\\[rn]|\s", "", re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[1]))
-            data = _base64(body)
-            if data and (kind := _key(data)) and (kind, *m.span()) not in out:
-                out.append((kind, *m.span()))
+            if m[1] == "BEGIN":
+                begin = m
+                continue
+            if begin:
+                body = re.sub(r"\\[rn]|\s", "", re.sub(r"(?m)^[A-Za-z-]+:.*$", "", text[begin.end() : m.start()]))
+                data = _base64(body)
+                if data and (kind := _key(data)) and (kind, begin.start(), m.end()) not in out:
+                    out.append((kind, begin.start(), m.end()))
+            begin = None
     return out
 
 
@@ -128,6 +140,10 @@ def _sized(value: str, start: int, hexadecimal: bool) -> tuple[str, int] | None:
         size = _openssh(read(rest[: len(rest) - (len(rest) % 2 if hexadecimal else len(rest) % 4 == 1)]))
     else:
         size = _extent(head)
+        inner = head[2 + (head[1] & 0x7F if head[1] >= 0x80 else 0) :][:3] if size else b""
+        # A version of 0 or 1, or the algorithm of an encrypted key, comes first: else nothing more is decoded.
+        if inner not in (b"\2\1\0", b"\2\1\1") and inner[:1] != b"\x30":
+            return None
     if size is None or start + chars(size) > len(value):
         return None
     data = read(value[start : start + chars(size)])
@@ -192,17 +208,35 @@ def _key(data: bytes) -> str | None:
     value = data[parts[0][1] : parts[0][2]]
     if len(parts) >= 9 and set(tags[:9]) == {0x02} and value in (b"\0", b"\1"):
         return "der"  # PKCS#1: version, modulus, exponents, primes, ...
-    if tags[:3] == [0x02, 0x30, 0x04] and value in (b"\0", b"\1"):
+    if tags[:3] == [0x02, 0x30, 0x04] and value in (b"\0", b"\1"):  # PKCS#8
         algorithm = _fields(data, parts[1][1], parts[1][2])
-        return "der" if algorithm and algorithm[0][0] == 0x06 else None  # PKCS#8
+        if not algorithm or algorithm[0][0] != 0x06:
+            return None
+        return "der" if _inner(data[algorithm[0][1] : algorithm[0][2]], data[parts[2][1] : parts[2][2]]) else None
     if tags[:2] == [0x02, 0x04] and value == b"\1" and parts[1][2] - parts[1][1] >= 16:
         return "der"  # SEC 1
-    if tags == [0x30, 0x04]:
+    if tags == [0x30, 0x04]:  # PKCS#8, encrypted
         algorithm = _fields(data, parts[0][1], parts[0][2])
-        return "der" if algorithm and algorithm[0][0] == 0x06 else None  # PKCS#8, encrypted
+        return "der" if algorithm and algorithm[0][0] == 0x06 and data[algorithm[0][1] : algorithm[0][2]].startswith(_ENCRYPTION) else None
     return None
 
 
+def _inner(algorithm: bytes, data: bytes) -> bool:
+    """Whether the key inside PKCS#8 has the structure of its algorithm; that of an unknown algorithm is not looked at."""
+    field = _field(data, 0, len(data))
+    fills = field is not None and field[2] == len(data)
+    parts = _fields(data, field[1], field[2]) if fills and field[0] == 0x30 else None
+    if algorithm == _RSA:
+        return bool(parts) and len(parts) >= 9 and {t for t, _, _ in parts[:9]} == {0x02}
+    if algorithm == _EC:
+        return bool(parts) and [t for t, _, _ in parts[:2]] == [0x02, 0x04] and data[parts[0][1] : parts[0][2]] == b"\1"
+    if algorithm in _CURVES:
+        return fills and field[0] == 0x04
+    if algorithm in _NUMBERS:
+        return fills and field[0] == 0x02
+    return True
+
+
 def _openssh(data: bytes) -> int | None:
     """The bytes of the OpenSSH key that some bytes start with."""
     at = len(_MAGIC)
