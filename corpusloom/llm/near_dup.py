@@ -325,11 +325,12 @@ class NearDuplicates:
 
     def classes(self) -> DataFrame:
         """id and class_id of every document that is a copy or has a link."""
-        sizes = self.members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+        # What is counted per bucket is stored before it is joined: a join of two plain tables can be split where a bucket is large.
+        sizes = stored(self.members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
         shared = stored(self.members.join(sizes, ["band", "key"]), "shared")
         met = shared.groupBy("id").agg(F.sum("n").alias("met"))
         members = stored(shared.join(met, "id").select("band", "key", "id", (-F.col("met")).alias("less")), "members")
-        leader = members.groupBy("band", "key").agg(F.min(F.struct("less", "id")).alias("x")).select("band", "key", F.col("x.id").alias("leader"))
+        leader = stored(members.groupBy("band", "key").agg(F.min(F.struct("less", "id")).alias("x")).select("band", "key", F.col("x.id").alias("leader")), "leaders")
         tested = stored(_ordered(members.join(leader, ["band", "key"]), "id", "leader"), "pairs")
         links = stored(self.verify(tested), "linked").select("a", "b")
         new = stored(self._across(members, components(links)).join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -344,24 +345,25 @@ class NearDuplicates:
 
     def _across(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs (a < b) of the second leader of a bucket, and the members of other classes than its own."""
-        known = members.join(labels, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "band", "key", "less")
+        known = stored(members.join(labels, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "band", "key", "less"), "known")
         first = F.min_by("class_id", F.struct("less", "id")).alias("first")
-        mixed_up = known.groupBy("band", "key").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most"), first).where("least != most").select("band", "key", "first")
+        mixed_up = stored(known.groupBy("band", "key").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most"), first).where("least != most").select("band", "key", "first"), "mixed")
         inside = stored(known.join(mixed_up, ["band", "key"]), "mixed")
         second = inside.where("class_id != first").groupBy("band", "key").agg(F.min(F.struct("less", "id", "class_id")).alias("x"))
-        lead = second.select("band", "key", F.col("x.id").alias("leader"), F.col("x.class_id").alias("of"))
+        lead = stored(second.select("band", "key", F.col("x.id").alias("leader"), F.col("x.class_id").alias("of")), "leaders")
         return _ordered(inside.join(lead, ["band", "key"]).where("class_id != of"), "id", "leader")
 
     def _rest(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """The links of all pairs of a bucket's members that are in different classes, but for those that other such links connect."""
-        known = members.select("band", "key", "id").join(labels, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+        known = stored(members.select("band", "key", "id").join(labels, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")), "known")
         buckets = known.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("class_id").alias("least"), F.max("class_id").alias("most"))
-        known = known.join(buckets.where("least != most").select("band", "key", "n"), ["band", "key"]).join(self.reps.select(F.col("rep").alias("id"), "bands", "total"), "id")
+        buckets = stored(buckets.where("least != most").select("band", "key", "n"), "mixed")
+        known = known.join(buckets, ["band", "key"]).join(self.reps.select(F.col("rep").alias("id"), "bands", "total"), "id")
         # Linked texts are in the same or in adjacent levels: a level's totals differ by the threshold.
         level = F.when(F.col("n") > CELL, F.floor(F.log("total") / -math.log(self.threshold - 1e-6))).otherwise(0).cast("int")
         known = stored(known.withColumn("level", level), "rest")
         at = ["band", "key", "level"]
-        sizes = known.groupBy(*at).agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+        sizes = stored(known.groupBy(*at).agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")), "sizes")
         parted = stored(known.join(sizes, at).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("n", "parts"), "rest")
         at = [*at, "part"]
         parts = stored(parted.groupBy(*at).agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")), "parts")
