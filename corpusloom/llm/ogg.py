@@ -6,7 +6,8 @@ it verifies each page's checksum, reassembles packets from the lacing values, ov
 demultiplexes the logical streams by serial number, and derives timestamps from granule positions.
 
 A page that is damaged (checksum, version, cut short) is left out and counted; so is a packet that
-lacks a part because of a gap in the page numbers.
+lacks a part because of a gap in the page numbers. Media that are null or hold no stream of samples, as foreign or broken
+ones, have an empty payload and an empty feature.
 
 Null payload or text: empty. Null id: kept. Repeated rows: one result each. Empty table: none.
 Other columns of the input are not read, so their names cannot clash.
@@ -136,8 +137,9 @@ def _packets(s: Stream, flags: int, granule: int, number: int, lacing: bytes, bo
 def samples(ogg: Ogg) -> tuple[bytes, int, float, int] | None:
     """Payload, rate, seconds by the last granule position, and fill bytes of the stream of 8-bit samples; None without one."""
     for s in ogg.streams.values():
-        if s.packets and s.packets[0][:8] == b"rawPCM8\0":
+        if s.packets and s.packets[0][:8] == b"rawPCM8\0" and len(s.packets[0]) == _ID.size:
             _, rate, _, fill = _ID.unpack(s.packets[0])
+            rate = rate or RATE
             return b"".join(s.packets[1:]), rate, max(s.granules[1:], default=0) / rate, fill
     return None
 
@@ -149,6 +151,8 @@ def padded(data: bytes) -> bytes:
 
 def feature(payload: bytes, seconds: float) -> str:
     """Duration, loudness (root of the mean square about 128), zero crossings and the entropy of the samples, of what was read back."""
+    if not payload:
+        return ""
     x = np.frombuffer(payload, np.uint8)
     level = x.astype(np.int64) - 128
     share = np.bincount(x, minlength=256) / len(x)
@@ -203,8 +207,9 @@ def described(df: DataFrame) -> DataFrame:
         ids, sizes, media = columns
         out: dict[str, list] = {f.name: [] for f in DIGESTS}
         for n, data in zip(sizes.to_pylist(), media.to_pylist(), strict=True):
+            data = data or b""
             ogg = read(data)
-            payload, _, seconds, _ = samples(ogg)
+            payload, _, seconds, _ = samples(ogg) or (b"", RATE, 0.0, 0)
             row = (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, seconds), ogg.pages, ogg.damaged)
             for f, value in zip(DIGESTS.names[1:], row, strict=True):
                 out[f].append(value)

@@ -1,11 +1,11 @@
 """Operator 1: token counts, with overlap resynchronisation for huge documents.
 
 A long text is encoded in overlapping chunks with offsets. Two neighbouring chunks are spliced
-at a *stable* boundary: a white-space character that follows a character which is none. No
-token of a supported tokenizer spans such a place, whatever stands before or after, so both
-chunks must have a token boundary there; the tokens behind it must agree in both chunks as far
-as the overlap proves them. If the overlap holds no such place, or the chunks disagree, the
-overlap is doubled, and the chunk with it.
+at a *stable* boundary: a white-space character that follows a character which is none. Both
+chunks must have a token boundary there, and the tokens from there to the last such place of the
+overlap, one at least, must agree in both. If the overlap holds no two such places, or the chunks disagree, the
+overlap is doubled, and the chunk with it. Texts for sentencepiece models are encoded whole: their normaliser may work
+across white space, and long texts then need memory in proportion.
 
 Null text: empty (0 tokens). Null id: kept. Repeated rows: one result each. Empty table: none.
 Other columns of the input are not read, so their names cannot clash.
@@ -35,11 +35,12 @@ MEMO_WORDS = 800_000
 """Words whose counts a worker remembers; beyond it, only those of the texts at hand stay."""
 
 Encoded = list[tuple[int, int, int]]
+_NOT_WHITE = "\x1c\x1d\x1e\x1f"  # white space for Python alone
 
 
 def stable(text: str, at: int) -> bool:
     """Whether a token boundary at this place is proven: white space after a character that is none."""
-    return 0 < at < len(text) and text[at].isspace() and not text[at - 1].isspace()
+    return 0 < at < len(text) and text[at].isspace() and text[at] not in _NOT_WHITE and not text[at - 1].isspace()
 
 
 def splice(text: str, encode: Callable[[str], Encoded], chunk: int, overlap: int) -> tuple[list[int], int]:
@@ -76,12 +77,12 @@ def _shifted(tokens: Encoded, by: int) -> Encoded:
 def _agreed(text: str, left: Encoded, right: Encoded, start: int, end: int) -> int | None:
     """The first stable place in the overlap from which both chunks have the same tokens, up to the last stable place."""
     places = [i for i in range(start + 1, end) if stable(text, i)]
-    if not places:
+    if len(places) < 2:
         return None
     first, last = places[0], places[-1]
     crossed = any(s < first < e for _, s, e in left) or any(s < first < e for _, s, e in right)
-    same = [x for x in left if first <= x[1] < last] == [x for x in right if first <= x[1] < last]
-    return first if same and not crossed else None
+    proof = [x for x in left if first <= x[1] < last]
+    return first if proof and proof == [x for x in right if first <= x[1] < last] and not crossed else None
 
 
 def separable(spec: dict) -> bool:

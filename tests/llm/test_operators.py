@@ -50,8 +50,14 @@ def test_token_counts(spark):
     assert sorted(r.n_tokens for r in got) == sorted(want[t] for _, t in EDGE)
     assert max(r.n_chunks for r in got) > 10
     assert token_counts.token_counts(none(spark), JSON).count() == 0
-    pieces = token_counts.token_counts(docs(spark), P.path("piece_bpe_32k.model")).collect()
-    assert len(pieces) == len(EDGE)
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    pieces = token_counts.token_counts(docs(spark), P.path("piece_bpe_32k.model"), chunk=2000, overlap=8).collect()
+    assert sorted(r.n_tokens for r in pieces) == sorted(len(model.encode(t or "")) for _, t in EDGE)
+    byte_level = Tokenizer.from_file(P.path("byte_bpe_50k.json"))  # not separable by words
+    rows = token_counts.token_counts(docs(spark), P.path("byte_bpe_50k.json"), chunk=2000, overlap=8).collect()
+    assert sorted(r.n_tokens for r in rows) == sorted(len(byte_level.encode(t or "", add_special_tokens=False)) for _, t in EDGE)
 
 
 def test_splice_widens():
@@ -319,3 +325,7 @@ def test_ogg(spark):
     assert Counter(r.payload_sha256 for r in rows) == want and all(r.tail_crc32 >= 0 for r in rows)
     assert {r.tail_crc32 for r in rows if r.n_bytes == 0} == {zlib.crc32(b"\xff" * 32)}
     assert ogg.described(ogg.to_media(none(spark))).count() == 0
+    odd = [(1, 5, None), (2, 5, b""), (3, None, b"no Ogg at all"), (4, 5, bytes(broken)), (None, 5, media), (6, 5, one), (7, 5, ogg._page(ogg.FIRST, 0, 1, 0, b"\x08", b"rawPCM8\0"))]
+    got = {r.id: r for r in ogg.described(spark.createDataFrame(odd, "id long, n_bytes long, media binary")).collect()}
+    assert all(got[i].payload_bytes == 0 and got[i].feature == "" for i in (1, 2, 3, 6, 7)) and got[4].n_damaged == 1 and 0 < got[4].payload_bytes < len(payload)
+    assert got[None].payload_sha256 == hashlib.sha256(payload).hexdigest()
