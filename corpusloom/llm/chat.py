@@ -13,7 +13,7 @@ reply's opening are its context, and only the escaped reply is its target, at th
 
 turns_of() and loss_of() read roles, texts and losses back from what was written.
 
-Null text or role: empty. A null conversation id is one conversation of its own. Turns of equal
+Null text or role: empty. A row without conversation id is a conversation of its own (its part tells it from others). Turns of equal
 number: by role, then text; repeated rows are repeated turns. A null turn number comes first. A conversation without an
 assistant turn has no example. Empty table: none. Only the four columns are read.
 """
@@ -43,15 +43,16 @@ def unescaped_role(role: Column) -> Column:
 
 
 def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id and formatted: one row per conversation."""
+    """conv_id, part and formatted: one row per conversation. part: 0, but for rows without conversation id."""
     turn = F.struct(
         F.col(turn_col).alias("turn"),
         F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    turns = df.groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    part = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0)).alias("part")
+    turns = df.groupBy(F.col(conv_col).alias("conv_id"), part).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     line = lambda t: F.concat(F.lit(START), escaped_role(t["role"]), F.lit("\n"), escaped(t["text"]), F.lit(END + "\n"))
-    return turns.select("conv_id", F.concat_ws("", F.transform("turns", line)).alias("formatted"))
+    return turns.select("conv_id", "part", F.concat_ws("", F.transform("turns", line)).alias("formatted"))
 
 
 def turns_of(formatted: Column) -> Column:
@@ -75,14 +76,15 @@ def turns_of(formatted: Column) -> Column:
 
 
 def expand(formatted: DataFrame) -> DataFrame:
-    """One example per assistant turn: conv_id, example (from 0), context, target, target_start, target_end.
+    """One example per assistant turn: conv_id, part, example (from 0), context, target, target_start, target_end.
 
     context is everything before the target; the mask of the example is [target_start, target_end).
     """
-    turns = formatted.select("conv_id", "formatted", turns_of(F.col("formatted")).alias("turns"))
-    replies = turns.select("conv_id", "formatted", F.posexplode(F.filter("turns", lambda t: t["role"] == "assistant")).alias("example", "t"))
+    turns = formatted.select("conv_id", "part", "formatted", turns_of(F.col("formatted")).alias("turns"))
+    replies = turns.select("conv_id", "part", "formatted", F.posexplode(F.filter("turns", lambda t: t["role"] == "assistant")).alias("example", "t"))
     return replies.select(
         "conv_id",
+        "part",
         "example",
         F.substr("formatted", F.lit(1), F.col("t.start")).alias("context"),
         F.col("t.escaped").alias("target"),
@@ -94,8 +96,9 @@ def expand(formatted: DataFrame) -> DataFrame:
 def digests(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars (of the conversation), n_examples, read back from the output."""
     formatted = format_conversations(df, conv_col, turn_col, role_col, text_col)
-    whole = formatted.select("conv_id", "formatted", turns_of(F.col("formatted")).alias("turns")).select(
+    whole = formatted.select("conv_id", "part", "formatted", turns_of(F.col("formatted")).alias("turns")).select(
         "conv_id",
+        "part",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))), 256).alias("turns_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
@@ -103,12 +106,12 @@ def digests(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", ro
     masked = unescaped(F.substr(F.concat("context", "target"), F.col("target_start") + 1, F.col("target_end") - F.col("target_start")))
     losses = (
         expand(formatted)
-        .groupBy("conv_id")
+        .groupBy("conv_id", "part")
         .agg(F.array_sort(F.collect_list(F.struct("example", masked.alias("loss")))).alias("losses"))
-        .select(F.col("conv_id").alias("loss_of"), F.concat_ws("", F.col("losses.loss")).alias("loss"), F.size("losses").cast("long").alias("n"))
+        .select(F.col("conv_id").alias("loss_of"), F.col("part").alias("loss_part"), F.concat_ws("", F.col("losses.loss")).alias("loss"), F.size("losses").cast("long").alias("n"))
     )
     loss = F.coalesce("loss", F.lit(""))
-    return whole.join(losses, F.col("conv_id").eqNullSafe(F.col("loss_of")), "left").select(
+    return whole.join(losses, F.col("conv_id").eqNullSafe(F.col("loss_of")) & (F.col("part") == F.col("loss_part")), "left").select(
         "conv_id",
         "n_turns",
         "turns_sha256",
