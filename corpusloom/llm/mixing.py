@@ -12,7 +12,9 @@ this power (1 keeps the mix, 0 makes it even). A category that named targets don
 A topic is a column, or else one of `topics` groups of words of five or more bytes, by their hash: the one in
 which the document exceeds the whole corpus the most.
 
-Cells are summed where they are; up to MAX_CELLS of them are raked on the driver, more of them as a table.
+Cells are summed where they are; up to Mix.max_cells of them are raked on the driver, more of them as a table, by the same steps.
+The sweeps end unconverged if a target can't be met (a category would need more than all its tokens): its
+probabilities are then 1, `converged` is false, and margins() tells how far each category is from its target.
 
 Null source, language or topic: a category of its own. Null text: empty, of 0 tokens. A cell without tokens has
 probability 0. Null id: the hash of the text decides. Rows of equal id: the same hash. Repeated rows: one result
@@ -33,7 +35,6 @@ from pyspark.sql import types as T
 from corpusloom.llm.batches import Words, map_columns, slices
 from corpusloom.llm.shared import stored
 
-MAX_CELLS = 100_000
 MARGINS = ("source", "lang", "topic")
 LEAST_BYTES = 5
 
@@ -51,7 +52,11 @@ MEASURED = T.StructType(
 
 @dataclass(frozen=True)
 class Mix:
-    """What to mix for. targets: per margin, shares by category, or an exponent; fraction: the token budget as a part of all tokens."""
+    """What to mix for.
+
+    targets: per margin, shares by category, or an exponent; fraction: the token budget as a part of all tokens; max_cells: how
+    many cells (source x language x topic, not documents) the driver may hold.
+    """
 
     targets: dict[str, dict[str, float] | float] = field(default_factory=lambda: {"source": 0.5, "lang": 0.7, "topic": 0.0})
     fraction: float = 0.5
@@ -60,6 +65,7 @@ class Mix:
     seed: int = 42
     tolerance: float = 1e-9
     sweeps: int = 200
+    max_cells: int = 100_000
 
 
 def _groups(column: pa.Array, topics: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +133,8 @@ def shares(names: list, tokens: np.ndarray, target: dict[str, float] | float) ->
     return want / max(want.sum(), 1e-300)
 
 
-def rake(table: pd.DataFrame, mix: Mix) -> np.ndarray:
-    """Sampling probability of each cell of a small table (source, lang, topic, tokens)."""
+def rake(table: pd.DataFrame, mix: Mix) -> tuple[np.ndarray, bool]:
+    """Sampling probability of each cell of a small table (source, lang, topic, tokens), and whether all margins are met."""
     tokens = table["tokens"].to_numpy(float)
     p = np.where(tokens > 0, min(1.0, mix.fraction), 0.0)
     margins = []
@@ -143,10 +149,11 @@ def rake(table: pd.DataFrame, mix: Mix) -> np.ndarray:
             p = np.minimum(1.0, p * np.divide(want, have, out=np.zeros(n), where=have > 0)[code])
         if np.abs(p - before).max(initial=0) < mix.tolerance:
             break
-    return p
+    met = all(np.allclose(np.bincount(code, tokens * p, n), want, rtol=1e-6, atol=1e-6) for code, n, want in margins)
+    return p, met
 
 
-def rake_table(table: DataFrame, mix: Mix) -> DataFrame:
+def rake_table(table: DataFrame, mix: Mix) -> tuple[DataFrame, bool]:
     """rake() for cells of any number, as a table with p; each sweep is three aggregations over the cells."""
     total = table.agg(F.sum("tokens")).first()[0] or 0
     p = stored(table.withColumn("p", F.when(F.col("tokens") > 0, F.lit(min(1.0, mix.fraction))).otherwise(F.lit(0.0))), "cells")
@@ -156,7 +163,7 @@ def rake_table(table: DataFrame, mix: Mix) -> DataFrame:
         target = mix.targets[m]
         if isinstance(target, dict):
             given = table.sparkSession.createDataFrame(list(target.items()) or [("", 0.0)], f"given string, share double")
-            own = own.join(F.broadcast(given), F.col(m) == F.col("given"), "left")
+            own = own.join(given, F.col(m) == F.col("given"), "left")
             sums = own.agg(F.sum(F.when(F.col("given").isNull(), F.col("own"))), F.sum("share")).first()
             scale = (1.0 - (sums[0] or 0.0)) / sums[1] if sums[1] else 0.0
             own = own.withColumn("want", F.coalesce(F.col("share") * scale, F.col("own")))
@@ -175,31 +182,53 @@ def rake_table(table: DataFrame, mix: Mix) -> DataFrame:
         p = after.drop("before")
         if moved < mix.tolerance:
             break
-    return p
+    met = True
+    for m in MARGINS:
+        have = p.groupBy(F.col(m).alias("h")).agg(F.sum(F.col("tokens") * F.col("p")).alias("have"))
+        far = have.join(wants[m], F.col("h").eqNullSafe(F.col("of"))).where(F.abs(F.col("have") - F.col("want")) > 1e-6 + 1e-6 * F.col("want"))
+        met = met and far.isEmpty()
+    return p, met
 
 
-def probabilities(measured: DataFrame, mix: Mix, max_cells: int = MAX_CELLS) -> DataFrame:
-    """source, lang, topic and p of each cell; marked for broadcast if there are few."""
+def probabilities(measured: DataFrame, mix: Mix) -> DataFrame:
+    """source, lang, topic, p and converged of each cell; marked for broadcast if there are max_cells at most."""
     table = stored(cells(measured), "cells")
-    if table.limit(max_cells + 1).count() > max_cells:
-        return rake_table(table, mix).select(*MARGINS, "p")
+    if table.limit(mix.max_cells + 1).count() > mix.max_cells:
+        p, met = rake_table(table, mix)
+        return p.select(*MARGINS, "p", F.lit(met).alias("converged"))
     small = table.orderBy(*MARGINS).toPandas()
-    rows = [(*(None if pd.isna(x) else x for x in row), float(p)) for row, p in zip(small[list(MARGINS)].itertuples(index=False), rake(small, mix), strict=True)]
-    return F.broadcast(table.sparkSession.createDataFrame(rows, "source string, lang string, topic string, p double"))
+    each, met = rake(small, mix)
+    rows = [(*(None if pd.isna(x) else x for x in row), float(p), met) for row, p in zip(small[list(MARGINS)].itertuples(index=False), each, strict=True)]
+    return F.broadcast(table.sparkSession.createDataFrame(rows, "source string, lang string, topic string, p double, converged boolean"))
 
 
 def _with_p(rows: DataFrame, p: DataFrame, source: str, lang: str, topic: str) -> DataFrame:
-    named = p.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("p").alias("__p"))
+    named = p.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("p").alias("__p"), F.col("converged").alias("__converged"))
     on = [rows[c].eqNullSafe(named[f"__{m}"]) for m, c in zip(MARGINS, (source, lang, topic), strict=True)]
     return rows.join(named, on[0] & on[1] & on[2], "left").drop(*(f"__{m}" for m in MARGINS))
 
 
 def calibrated(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """id, source, lang, topic, n_tokens, probability and sampled of each row."""
+    """id, source, lang, topic, n_tokens, probability, sampled and converged (the same in all rows) of each row."""
     measured, _ = measure(df, mix, id_col, text_col, source_col, lang_col)
     out = _with_p(measured, probabilities(measured, mix), *MARGINS)
     p = F.coalesce("__p", F.lit(0.0))
-    return out.select("id", *MARGINS, "n_tokens", p.alias("probability"), (F.col("u") < p).alias("sampled"))
+    return out.select("id", *MARGINS, "n_tokens", p.alias("probability"), (F.col("u") < p).alias("sampled"), F.coalesce("__converged", F.lit(True)).alias("converged"))
+
+
+def margins(calibrated: DataFrame, mix: Mix) -> DataFrame:
+    """margin, category, target (share of the token budget; null for an exponent), expected (share by probabilities) and sampled (share of the sample) of what calibrated() gave."""
+    tokens, out = F.col("n_tokens"), []
+    for m in MARGINS:
+        each = calibrated.groupBy(F.col(m).alias("category")).agg(F.sum(tokens * F.col("probability")).alias("e"), F.sum(F.when(F.col("sampled"), tokens).otherwise(0)).alias("s"))
+        all_ = each.agg(F.sum("e").alias("__e"), F.sum("s").alias("__s"))
+        target = mix.targets[m]
+        named = F.lit(None).cast("double")
+        for name, share in target.items() if isinstance(target, dict) else ():
+            named = F.when(F.col("category") == name, F.lit(float(share))).otherwise(named)
+        ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+        out.append(each.crossJoin(all_).select(F.lit(m).alias("margin"), "category", named.alias("target"), ratio("e", "__e").alias("expected"), ratio("s", "__s").alias("sampled")))  # a row
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def sample(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:

@@ -222,9 +222,11 @@ def test_mixing(spark):
     expected = (out.n_tokens * out.probability).groupby(out.source).sum()
     assert expected["a"] == pytest.approx(expected["b"], rel=0.01) and expected.sum() == pytest.approx(0.3 * out.n_tokens.sum(), rel=0.01)
     small = spark.createDataFrame([("a", "en", "0", 100), ("b", "en", "0", 10), ("a", None, "1", 50), ("b", "de", "1", 40)], "source string, lang string, topic string, tokens long")
-    wide = {(r.source, r.lang): r.p for r in mixing.rake_table(small, mix).collect()}
+    table, met = mixing.rake_table(small, mix)
+    wide = {(r.source, r.lang): r.p for r in table.collect()}
     narrow = small.toPandas()
-    for (_, r), p in zip(narrow.iterrows(), mixing.rake(narrow, mix), strict=True):
+    assert met == mixing.rake(narrow, mix)[1]
+    for (_, r), p in zip(narrow.iterrows(), mixing.rake(narrow, mix)[0], strict=True):
         assert wide[r.source, r.lang] == pytest.approx(p, abs=1e-6)
     sampled = mixing.sample(frame, mix)
     assert sampled.columns == frame.columns and sampled.count() == int(out.sampled.sum())
@@ -275,6 +277,8 @@ def test_chat(spark):
     examples = chat.expand(chat.format_conversations(frame)).where("conv_id = 1").orderBy("example").collect()
     assert [chat.START in e.target for e in examples] == [False, False] and examples[1].context.startswith(examples[0].context)
     assert chat.digests(frame.where("false")).count() == 0
+    alone = chat.digests(spark.createDataFrame([(None, 0, "assistant", "z"), (None, 0, "assistant", "z"), (None, 1, "user", "y")], "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.n_turns, r.loss_chars, r.n_examples) for r in alone) == [(1, 0, 0), (1, 1, 1), (1, 1, 1)]
 
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><a href=/>Home</a></nav><header>Site</header>

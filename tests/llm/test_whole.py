@@ -7,13 +7,15 @@ import random
 import re
 import time
 from collections import Counter, defaultdict
+from dataclasses import replace
 from html import unescape
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from corpusloom.llm import html_text, near_dup, quality, secrets
+from corpusloom.llm import html_text, mixing, near_dup, quality, secrets
 from corpusloom.llm.batches import Words
 
 
@@ -294,3 +296,46 @@ def test_recall_of_near_duplicates(spark):
                 links, found = links + 1, found + (got[i] == got[j])
     assert links > 20 and found >= 0.9 * links, (found, links)
     print(f"links {links}, found {found}")
+
+
+def plainly_raked(cells, wants, budget):
+    """Raking cell by cell: {cell: tokens}, per margin {category: share}."""
+    p = dict.fromkeys(cells, 0.3)
+    for _ in range(3000):
+        for m, want in enumerate(wants):
+            for name, share in want.items():
+                here = [c for c in cells if c[m] == name]
+                have = sum(cells[c] * p[c] for c in here)
+                for c in here:
+                    p[c] = min(1.0, p[c] * share * budget / have)
+    return p
+
+
+def test_raking():
+    rng = random.Random(17)
+    cells = {(s, g, t): rng.randint(50, 900) for s in "abc" for g in ("en", "de") for t in "01"}
+    wants = [{"a": 0.5, "b": 0.3, "c": 0.2}, {"en": 0.6, "de": 0.4}, {"0": 0.5, "1": 0.5}]
+    table = pd.DataFrame([(*c, n) for c, n in cells.items()], columns=["source", "lang", "topic", "tokens"])
+    mix = mixing.Mix(targets=dict(zip(mixing.MARGINS, wants, strict=True)), fraction=0.3)
+    got, met = mixing.rake(table, mix)
+    assert met and got == pytest.approx(list(plainly_raked(cells, wants, 0.3 * sum(cells.values())).values()), abs=1e-6)
+    # A source of 1 % of the tokens can't be half of a sample of 30 %: all of it is taken.
+    cells = {("a", "en", "0"): 10, ("b", "en", "0"): 990}
+    table = pd.DataFrame([(*c, n) for c, n in cells.items()], columns=["source", "lang", "topic", "tokens"])
+    got, met = mixing.rake(table, mixing.Mix(targets={"source": {"a": 0.5, "b": 0.5}, "lang": 1.0, "topic": 1.0}, fraction=0.3))
+    assert not met and got[0] == 1.0
+
+
+def test_margins(spark):
+    rng = random.Random(18)
+    rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma"], k=rng.randint(1, 40))), "en", rng.choice("aab")) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for want, converged in ((0.5, True), (0.97, False)):
+        mix = mixing.Mix(targets={"source": {"a": 1 - want, "b": want}, "lang": 1.0, "topic": 1.0}, fraction=0.4, topics=1)
+        for most in (100_000, 1):
+            out = mixing.calibrated(frame, replace(mix, max_cells=most, sweeps=30)).cache()
+            found = {(r.margin, r.category): r for r in mixing.margins(out, mix).collect()}
+            b = found["source", "b"]
+            assert {r.converged for r in out.select("converged").distinct().collect()} == {converged} and b.target == want
+            assert (abs(b.expected - want) < 1e-6) == converged and abs(b.sampled - b.expected) < 0.05
+            out.unpersist()
