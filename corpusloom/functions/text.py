@@ -27,6 +27,7 @@ def normalize_text(text: Column) -> Column:
 
 def code_tokens(text: Column) -> Column:
     """H2: identifiers, hexadecimal and decimal numbers, by Unicode's word characters."""
+    # Fixed value: what a token is.
     return F.regexp_extract_all(text, F.lit(r"(?U)\b[a-zA-Z_]\w*\b|\b0x[0-9a-fA-F]+\b|\b\d+\b"), F.lit(0))
 
 
@@ -106,6 +107,7 @@ def coerce_label(value: Column) -> Column:
 
 def label_name(label: Column) -> Column:
     """The display name of a label."""
+    # The two names.
     return F.when(label == 0, "Secure (0)").when(label == 1, "Vulnerable (1)").otherwise(label.cast("string"))
 
 
@@ -121,5 +123,6 @@ def experiment_id(name: Column, at: Column, settings: Column) -> Column:
 
 
 def experiment_family(exp_id: Column) -> Column:
-    """The first two parts of an experiment's id."""
-    return F.substring_index(exp_id, "_", 2)
+    """An experiment's id up to its time; without a time, its first two parts."""
+    timed = F.regexp_extract(exp_id, r"^.*?_\d{8}-\d{6}", 0)
+    return F.when(timed != "", timed).otherwise(F.substring_index(exp_id, "_", 2))

@@ -51,7 +51,7 @@ def pr_curve(scores: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Threshold, precision and recall per distinct score of each run, and the last point (null, 1, 0)."""
     steps = cumulative_counts(scores, keys)
     total = steps.groupBy(*keys).agg(F.sum("pos").alias("__p"))
-    rows = steps.join(F.broadcast(total), keys)
+    rows = steps.join(total, keys)
     recall = F.when(F.col("__p") == 0, F.lit(1.0)).otherwise(F.col("tp") / F.col("__p"))
     points = rows.select(*keys, F.col("score").alias("threshold"), (F.col("tp") / F.col("seen")).alias("precision"), recall.alias("recall"))
     ends = total.select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
@@ -92,7 +92,7 @@ def class_weights(df: DataFrame, label_col: str, k: int | None = None) -> DataFr
 
 def attach_class_weight(df: DataFrame, weights: DataFrame, label_col: str) -> DataFrame:
     """The rows with the weight of their class. weights: one row per class."""
-    return df.join(F.broadcast(weights.select(F.col("label").alias("__l"), "weight")), F.col(label_col) == F.col("__l"), "left").drop("__l")
+    return df.join(weights.select(F.col("label").alias("__l"), "weight"), F.col(label_col) == F.col("__l"), "left").drop("__l")
 
 
 def weighted_log_loss(probabilities: DataFrame, weights: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -107,7 +107,7 @@ def minmax_scores(scores: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Scores scaled to [0, 1] per run; unchanged where all are equal."""
     span = scores.groupBy(*keys).agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"))
     scaled = F.when(F.col("__hi") > F.col("__lo"), (F.col("score") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.col("score"))
-    return scores.join(F.broadcast(span), keys).withColumn("score", scaled).drop("__lo", "__hi")  # one row per run
+    return scores.join(span, keys).withColumn("score", scaled).drop("__lo", "__hi")  # one row per run
 
 
 def results_table(metrics: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def select_best_config(aggregates: DataFrame, family: str = "family", value: str
 
 def compare_tracks(metrics: DataFrame, tracks: DataFrame) -> DataFrame:
     """Per metric, the best holdout value of tracks A and B and their difference. tracks: exp_id, track."""
-    rows = metrics.where("fold = -1").join(F.broadcast(tracks), "exp_id")
+    rows = metrics.where("fold = -1").join(tracks, "exp_id")
     long = rows.select("track", F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in ("precision", "recall", "f1", "pr_auc")))).alias("m")).select("track", "m.*")
     wide = long.groupBy("metric").pivot("track", ["A", "B"]).agg(F.max("value"))
     return wide.select("metric", F.col("A").alias("track_a"), F.col("B").alias("track_b"), (F.col("B") - F.col("A")).alias("delta"))

@@ -17,23 +17,28 @@ def hashed(seed: int | str, row_id: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string")))
 
 
-def bucketed_prefix_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, out: str) -> DataFrame:
-    """The running sum of value within keys, where bucket is an order-preserving coarsening of order."""
-    rows = df.withColumn("__b", bucket).withColumn("__v", value)
-    totals = rows.groupBy(*keys, "__b").agg(F.sum("__v").alias("__t"))
+def bucketed_prefix_sums(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """The running sums of values, by the names of new columns, within keys, where bucket is an order-preserving coarsening of order."""
+    each = {f"__v{i}": v for i, v in enumerate(values.values())}
+    rows = df.withColumn("__b", bucket).withColumns(each)
+    totals = rows.groupBy(*keys, "__b").agg(*(F.sum(v).alias(f"__t{i}") for i, v in enumerate(each)))
     before = Window.partitionBy(*keys or [F.lit(0)]).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     named = [F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__b"])]
-    offsets = totals.select(*named, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
+    offsets = totals.select(*named, *(F.coalesce(F.sum(f"__t{i}").over(before), F.lit(0)).alias(f"__o{i}") for i in range(len(each))))
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, "__b"])])
-    joined = rows.join(offsets, same).select(*rows.columns, "__o")
+    joined = rows.join(offsets, same).select(*rows.columns, *(f"__o{i}" for i in range(len(each))))
     inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn(out, F.col("__o") + F.sum("__v").over(inside)).drop("__b", "__v", "__o")
+    sums = {out: F.col(f"__o{i}") + F.sum(f"__v{i}").over(inside) for i, out in enumerate(values)}
+    return joined.withColumns(sums).drop("__b", *each, *(f"__o{i}" for i in range(len(each))))
 
 
-def bucketed_rank(df: DataFrame, keys: list[str], place: Column, tie: str, out: str, digits: int = 2) -> DataFrame:
-    """The rank (from 1) of a hexadecimal hash within keys, ties by another column. digits: 16^digits buckets."""
+def bucketed_rank(df: DataFrame, keys: list[str], place: Column, tie: str, out: str, digits: int = 4) -> DataFrame:
+    """The rank (from 1) of a hexadecimal hash within keys, ties by another column.
+
+    digits: 16^digits buckets; 65,536 of them hold some million rows each at 10^11 rows, and their totals are as few per key.
+    """
     rows = df.withColumn("__h", place)
-    ranked = bucketed_prefix_sum(rows, keys, F.substring("__h", 1, digits), [F.col("__h"), F.col(tie)], F.lit(1).cast("long"), out)
+    ranked = bucketed_prefix_sums(rows, keys, F.substring("__h", 1, digits), [F.col("__h"), F.col(tie)], {out: F.lit(1).cast("long")})
     return ranked.drop("__h")
 
 
@@ -50,13 +55,13 @@ def sample_n(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
 def cumulative_counts(scores: DataFrame, keys: list[str], buckets: int = 256) -> DataFrame:
     """Per distinct score, descending: n, pos, and the running tp and seen. scores: keys, label, score.
 
-    Scores are collapsed before they are summed up, so ties cannot matter; buckets are of equal width per key.
+    Scores are collapsed before they are summed up, so ties cannot matter; buckets end at quantiles of the distinct scores of a
+    key, so that they are of like size however the scores are spread.
     """
     each = scores.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
     named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
-    span = each.groupBy(*named).agg(F.min("score").alias("__min"), F.max("score").alias("__max"))
+    cuts = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
+    bounds = each.groupBy(*named).agg(F.percentile_approx("score", cuts, 10_000).alias("__cuts"))
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], F.lit(True))
-    wide = each.join(F.broadcast(span), same).select(*each.columns, "__min", "__max")  # one row per run
-    part = F.when(F.col("__max") > F.col("__min"), F.floor((F.col("__max") - F.col("score")) / (F.col("__max") - F.col("__min")) * buckets)).otherwise(F.lit(0))
-    tp = bucketed_prefix_sum(wide, keys, part, [F.col("score").desc()], F.col("pos"), "tp")
-    return bucketed_prefix_sum(tp, keys, part, [F.col("score").desc()], F.col("n"), "seen").drop("__min", "__max")
+    wide = each.join(bounds, same).select(*each.columns, F.size(F.filter("__cuts", lambda c: c > F.col("score"))).alias("__part"))
+    return bucketed_prefix_sums(wide, keys, F.col("__part"), [F.col("score").desc()], {"tp": F.col("pos"), "seen": F.col("n")}).drop("__part")

@@ -24,7 +24,7 @@ def stratified_holdout(df: DataFrame, id_col: str, label_col: str, test_size: fl
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("part") - F.col("base")), "label")  # one row per class
     quota = parts.crossJoin(left).withColumn("q", F.col("base") + (F.row_number().over(order) <= F.col("left")).cast("long")).select("label", "q")
     ranked = bucketed_rank(rows, ["label"], hashed(seed, F.col("row_id")), "row_id", "rank")
-    joined = ranked.join(F.broadcast(quota.withColumnRenamed("label", "__l")), F.col("label").eqNullSafe(F.col("__l")))
+    joined = ranked.join(quota.withColumnRenamed("label", "__l"), F.col("label").eqNullSafe(F.col("__l")))
     return joined.select("row_id", "label", F.when(F.col("rank") <= F.col("q"), F.lit("holdout")).otherwise(F.lit("train")).alias("split"))
 
 

@@ -1,6 +1,6 @@
 """TF-IDF as relational operators.
 
-Texts are turned into terms once; what is passed on are long tables (row_id, term, tf). Everything is fitted on
+What is passed on are long tables (row_id, term, tf), which can be stored so that texts are turned into terms once. Everything is fitted on
 training rows only. The vocabulary has max_features rows at most, so it may be broadcast.
 """
 
@@ -37,6 +37,11 @@ def build_vocabulary(counts: DataFrame, n_rows: int | None = None, max_features:
     n_rows: number of training rows, those without terms too; or row_count: a table with it as n.
     """
     each = counts.groupBy("term").agg(F.sum("tf").alias("total_tf"), F.count("*").alias("df"))
+    return vocabulary_of(each, n_rows, max_features, row_count)
+
+
+def vocabulary_of(each: DataFrame, n_rows: int | None = None, max_features: int = 50_000, row_count: DataFrame | None = None) -> DataFrame:
+    """build_vocabulary() from term, total_tf and df."""
     top = each.orderBy(F.desc("total_tf"), "term").limit(max_features)
     by_term = Window.partitionBy(F.lit(0)).orderBy("term")  # max_features rows
     indexed = top.withColumn("idx", (F.row_number().over(by_term) - 1).cast("int"))
@@ -65,7 +70,7 @@ def max_abs(weights: DataFrame) -> DataFrame:
 
 def max_abs_scale(weights: DataFrame, scales: DataFrame) -> DataFrame:
     """The weights divided by their term's scale. scales: a row per vocabulary term at most."""
-    return weights.join(F.broadcast(scales), "term").withColumn("w", F.col("w") / F.col("scale")).drop("scale")
+    return weights.join(scales, "term").withColumn("w", F.col("w") / F.col("scale")).drop("scale")
 
 
 def top_tokens(vocabulary: DataFrame, n: int = 30) -> DataFrame:
@@ -106,21 +111,23 @@ class TfidfPipeline:
     scales: DataFrame | None = None
 
     def counts(self, df: DataFrame) -> DataFrame:
+        """The terms of rows; stored once, they serve fit() and transform() alike."""
         return term_counts(df, self.id_col, self.text_col, self.low, self.high, self.analyzer)
 
-    def fit(self, train: DataFrame) -> TfidfPipeline:
-        counts = self.counts(train)
+    def fit(self, train: DataFrame, counts: DataFrame | None = None) -> TfidfPipeline:
+        """counts: those of the training rows, if they are there already."""
+        counts = self.counts(train) if counts is None else counts
         n = train.agg(F.count("*").alias("n"))
         self.vocabulary = build_vocabulary(counts, max_features=self.max_features, row_count=n)
         if self.scale:
             self.scales = max_abs(weighted(counts, self.vocabulary, self.sublinear, self.max_features))
         return self
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """row_id, term, idx, tf and w of each row's known terms."""
+    def transform(self, df: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+        """row_id, term, idx, tf and w of each row's known terms, from the rows or their counts."""
         if self.vocabulary is None:
             raise RuntimeError("fit() comes before transform()")
-        w = weighted(self.counts(df), self.vocabulary, self.sublinear, self.max_features)
+        w = weighted(self.counts(df) if counts is None else counts, self.vocabulary, self.sublinear, self.max_features)
         return max_abs_scale(w, self.scales) if self.scale else w
 
     def vocabulary_size(self) -> int:
