@@ -314,7 +314,7 @@ class NearDuplicates:
         The pairs of an `a` are dealt by a salt into parts of about PART pairs; each part gets the text
         of `a` once, so no text is repeated for each pair and no part is large.
         """
-        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        parts = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts")
         text = self.docs.select(F.col("id").alias("of"), "text")
         salts = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("of"))
         salted = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), "b", F.col("b").alias("of"))
