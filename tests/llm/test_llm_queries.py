@@ -4,7 +4,9 @@ import duckdb
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from corpusloom.llm import queries
+from corpusloom.llm.shared import stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +40,27 @@ def test_pipeline(spark):
         before, docs = n, out
     ids = corpus_pipeline.run(spark, SF)
     assert ids.columns == ["doc_id", "n_tokens", "ids"] and 0 < ids.count() < first
+
+
+def test_pipeline_with_odd_rows(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    odd = [tuple(r[n] for n in names) for r in rows]
+    long = " ".join(f"word{i}" for i in range(30_000))
+    odd += [(None, odd[0][1], "en", "x", None), (7001, None, None, None, None), (7002, "", "en", None, 0), (7003, long, None, "web", 1), (7004, long, "en", "web", 1), odd[1], odd[1]]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("id", "row", "of", "class_id", "__p", "topic", "u", "kept"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    for frame in (docs, docs.where("false")):
+        kept = frame
+        for name, stage in corpus_pipeline.STAGES:
+            before = {r.doc_id for r in kept.collect()}
+            kept = stored(stage(spark, kept, SF), "odd")
+            assert {r.doc_id for r in kept.collect()} <= before, name
+            assert kept.columns == (frame.columns if name != "byte-level BPE" else ["doc_id", "n_tokens", "ids"])
+            ids = [r.doc_id for r in kept.collect()]
+            if name == "quality rules":
+                assert not {7001, 7002} & set(ids) and (frame is not docs or {7003, 7004} <= set(ids))
+            if name == "near duplicates":
+                assert 7004 not in ids and (frame is not docs or 7003 in ids)
+        assert (kept.count() > 0) == (frame is docs)
