@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.batches import Words, map_columns, mixed, powers, shingles
-from corpusloom.llm.shared import stored
+from corpusloom.llm.shared import Steps, stored
 
 BUCKET_BITS = 16
 CELLS = 1 << 14
@@ -237,7 +237,7 @@ def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndar
     return float(smaller / (w1.sum() + w2.sum() - smaller))
 
 
-def inverse_frequencies(docs: DataFrame, k: int, floor: float) -> dict[str, np.ndarray]:
+def inverse_frequencies(docs: DataFrame, k: int, floor: float, steps: Steps) -> dict[str, np.ndarray]:
     """hash (sorted) and idf of every shingle in at least `floor` of the documents. docs: id, text."""
 
     def buckets(columns):
@@ -248,7 +248,7 @@ def inverse_frequencies(docs: DataFrame, k: int, floor: float) -> dict[str, np.n
 
     counts = map_columns(docs, COUNTS, buckets).groupBy("key").agg(F.sum("n").alias("n"))
     none = {"hash": np.zeros(0, np.uint64), "idf": np.zeros(0)}
-    counts = stored(counts, "buckets")  # 65,537 rows at most
+    counts = steps.stored(counts, "buckets")  # 65,537 rows at most
     total = next((r.n for r in counts.where("key = -1").collect()), 0)
     least = max(2.0, floor * total)
     heavy = np.zeros(1 << BUCKET_BITS, bool)
@@ -277,19 +277,20 @@ def inverse_frequencies(docs: DataFrame, k: int, floor: float) -> dict[str, np.n
     return {"hash": h[order], "idf": (1 + share) / 2}
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, steps: Steps | None = None) -> DataFrame:
     """id and class_id (the smallest id it is connected with) of every node of links (a, b).
 
     Every node takes the smallest label around it, then that label's own label, until nothing changes:
     a number of rounds that grows as the logarithm of the longest chain.
     """
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "id"), "labels")
+    steps = steps or Steps()
+    both = steps.stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = steps.stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "id"), "labels")
     while True:
         around = both.join(labels.withColumnsRenamed({"id": "b", "label": "near"}), "b").groupBy("a").agg(F.min("near").alias("near"))
         least = labels.join(around.withColumnRenamed("a", "id"), "id").select("id", "label", F.least("label", "near").alias("next"))
         jump = labels.withColumnsRenamed({"id": "next", "label": "far"})
-        after = stored(least.join(jump, "next").select("id", "label", F.least("next", "far").alias("next")), "labels")
+        after = steps.stored(least.join(jump, "next").select("id", "label", F.least("next", "far").alias("next")), "labels")
         if after.where("label != next").isEmpty():
             return labels.withColumnRenamed("label", "class_id")
         labels = after.select("id", F.col("next").alias("label"))
@@ -298,14 +299,14 @@ def components(links: DataFrame) -> DataFrame:
 class NearDuplicates:
     """The steps of this operator over one table of id and text."""
 
-    def __init__(self, docs: DataFrame, threshold: float, k: int, bands: int, rows: int, floor: float):
-        self.docs, self.threshold, self.k = docs, threshold, k
-        self.idf = inverse_frequencies(docs, k, floor)
+    def __init__(self, docs: DataFrame, threshold: float, k: int, bands: int, rows: int, floor: float, steps: Steps | None = None):
+        self.docs, self.threshold, self.k, self.steps = docs, threshold, k, steps or Steps()
+        self.idf = inverse_frequencies(docs, k, floor, self.steps)
         digests = docs.select("id", "text", F.xxhash64("text").alias("digest"), F.xxhash64("text", F.lit(1)).alias("digest2"))
-        signed = stored(map_columns(digests, SIGNATURES, _signatures(k, bands, rows, self.idf)), "signatures")
+        signed = self.steps.stored(map_columns(digests, SIGNATURES, _signatures(k, bands, rows, self.idf)), "signatures")
         one = signed.groupBy("digest", "digest2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.min("total").alias("total"))
         self.copies = signed.select("id", "digest", "digest2")
-        self.reps = stored(one, "texts")
+        self.reps = self.steps.stored(one, "texts")
         self.members = self.reps.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
@@ -314,7 +315,7 @@ class NearDuplicates:
         The pairs of an `a` are dealt by a salt into parts of about PART pairs; each part gets the text
         of `a` once, so no text is repeated for each pair and no part is large.
         """
-        parts = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts")
+        parts = self.steps.stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts")
         text = self.docs.select(F.col("id").alias("of"), "text")
         salts = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("of"))
         salted = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), "b", F.col("b").alias("of"))
@@ -326,51 +327,51 @@ class NearDuplicates:
     def classes(self) -> DataFrame:
         """id and class_id of every document that is a copy or has a link."""
         # What is counted per bucket is stored before it is joined: a join of two plain tables can be split where a bucket is large.
-        sizes = stored(self.members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-        shared = stored(self.members.join(sizes, ["band", "key"]), "shared")
+        sizes = self.steps.stored(self.members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+        shared = self.steps.stored(self.members.join(sizes, ["band", "key"]), "shared")
         met = shared.groupBy("id").agg(F.sum("n").alias("met"))
-        members = stored(shared.join(met, "id").select("band", "key", "id", (-F.col("met")).alias("less")), "members")
-        leader = stored(members.groupBy("band", "key").agg(F.min(F.struct("less", "id")).alias("x")).select("band", "key", F.col("x.id").alias("leader")), "leaders")
-        tested = stored(_ordered(members.join(leader, ["band", "key"]), "id", "leader"), "pairs")
-        links = stored(self.verify(tested), "linked").select("a", "b")
-        new = stored(self._across(members, components(links)).join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = stored(links.unionByName(stored(self.verify(new), "linked").select("a", "b")), "links")
-        labels = components(links)
-        rest = stored(self._rest(members, labels), "linked").select("a", "b")
+        members = self.steps.stored(shared.join(met, "id").select("band", "key", "id", (-F.col("met")).alias("less")), "members")
+        leader = self.steps.stored(members.groupBy("band", "key").agg(F.min(F.struct("less", "id")).alias("x")).select("band", "key", F.col("x.id").alias("leader")), "leaders")
+        tested = self.steps.stored(_ordered(members.join(leader, ["band", "key"]), "id", "leader"), "pairs")
+        links = self.steps.stored(self.verify(tested), "linked").select("a", "b")
+        new = self.steps.stored(self._across(members, components(links, self.steps)).join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = self.steps.stored(links.unionByName(self.steps.stored(self.verify(new), "linked").select("a", "b")), "links")
+        labels = components(links, self.steps)
+        rest = self.steps.stored(self._rest(members, labels), "linked").select("a", "b")
         if not rest.isEmpty():
-            labels = components(links.unionByName(rest))
+            labels = components(links.unionByName(rest), self.steps)
         rep = self.reps.select("digest", "digest2", "rep")
         named = rep.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "digest2", F.coalesce("class_id", "rep").alias("class_id"))
         return self.copies.join(named, ["digest", "digest2"]).groupBy("id").agg(F.min("class_id").alias("class_id"))
 
     def _across(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs (a < b) of the second leader of a bucket, and the members of other classes than its own."""
-        known = stored(members.join(labels, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "band", "key", "less"), "known")
+        known = self.steps.stored(members.join(labels, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "band", "key", "less"), "known")
         first = F.min_by("class_id", F.struct("less", "id")).alias("first")
-        mixed_up = stored(known.groupBy("band", "key").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most"), first).where("least != most").select("band", "key", "first"), "mixed")
-        inside = stored(known.join(mixed_up, ["band", "key"]), "mixed")
+        mixed_up = self.steps.stored(known.groupBy("band", "key").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most"), first).where("least != most").select("band", "key", "first"), "mixed")
+        inside = self.steps.stored(known.join(mixed_up, ["band", "key"]), "mixed")
         second = inside.where("class_id != first").groupBy("band", "key").agg(F.min(F.struct("less", "id", "class_id")).alias("x"))
-        lead = stored(second.select("band", "key", F.col("x.id").alias("leader"), F.col("x.class_id").alias("of")), "leaders")
+        lead = self.steps.stored(second.select("band", "key", F.col("x.id").alias("leader"), F.col("x.class_id").alias("of")), "leaders")
         return _ordered(inside.join(lead, ["band", "key"]).where("class_id != of"), "id", "leader")
 
     def _rest(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """The links of all pairs of a bucket's members that are in different classes, but for those that other such links connect."""
-        known = stored(members.select("band", "key", "id").join(labels, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")), "known")
+        known = self.steps.stored(members.select("band", "key", "id").join(labels, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")), "known")
         buckets = known.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("class_id").alias("least"), F.max("class_id").alias("most"))
-        buckets = stored(buckets.where("least != most").select("band", "key", "n"), "mixed")
+        buckets = self.steps.stored(buckets.where("least != most").select("band", "key", "n"), "mixed")
         known = known.join(buckets, ["band", "key"]).join(self.reps.select(F.col("rep").alias("id"), "bands", "total"), "id")
         # Linked texts are in the same or in adjacent levels: a level's totals differ by the threshold.
         level = F.when(F.col("n") > CELL, F.floor(F.log("total") / -math.log(self.threshold - 1e-6))).otherwise(0).cast("int")
-        known = stored(known.withColumn("level", level), "rest")
+        known = self.steps.stored(known.withColumn("level", level), "rest")
         at = ["band", "key", "level"]
-        sizes = stored(known.groupBy(*at).agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")), "sizes")
-        parted = stored(known.join(sizes, at).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("n", "parts"), "rest")
+        sizes = self.steps.stored(known.groupBy(*at).agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")), "sizes")
+        parted = self.steps.stored(known.join(sizes, at).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("n", "parts"), "rest")
         at = [*at, "part"]
-        parts = stored(parted.groupBy(*at).agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")), "parts")
+        parts = self.steps.stored(parted.groupBy(*at).agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")), "parts")
         other = parts.withColumnsRenamed({"level": "level2", "part": "part2", "least": "least2", "most": "most2"})
         cells = parts.join(other, ["band", "key"]).where("(level2 = level and part2 >= part or level2 = level + 1) and least(least, least2) != greatest(most, most2)")
         cells = cells.withColumn("cell", F.monotonically_increasing_id()).withColumn("alone", F.expr("level = level2 and part = part2"))
-        cells = stored(cells.select("cell", "band", "key", "level", "part", "level2", "part2", "alone"), "cells")
+        cells = self.steps.stored(cells.select("cell", "band", "key", "level", "part", "level2", "part2", "alone"), "cells")
         left = cells.select("cell", *at, "alone", F.lit(False).alias("right"))
         right = cells.where("not alone").select("cell", "band", "key", F.col("level2").alias("level"), F.col("part2").alias("part"), "alone", F.lit(True).alias("right"))
         text = self.docs.select("id", "text")
@@ -387,7 +388,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     """id and class_id (the smallest id of its class) of each row."""
     ids = df.select(F.col(id_col).cast("long").alias("id"))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = NearDuplicates(docs.where("id is not null"), threshold, k, bands, rows, floor).classes()
+    with Steps() as steps:
+        found = stored(NearDuplicates(docs.where("id is not null"), threshold, k, bands, rows, floor, steps).classes(), "classes")
     return ids.join(found, "id", "left")
 
 

@@ -2,6 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from corpusloom.sources.scratch import folder, forget, new_path, stored
 
-__all__ = ["folder", "forget", "new_path", "stored"]
+__all__ = ["Steps", "folder", "forget", "new_path", "stored"]
+
+
+class Steps:
+    """The tables stored on the way to a result; they go together, once the result is stored itself or has failed."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(stored(df, name))
+        return self.tables[-1]
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def __exit__(self, *_) -> None:
+        forget(*self.tables)
+        self.tables.clear()
