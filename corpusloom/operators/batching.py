@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import truncate_pad_mask
 from corpusloom.operators.rank import bucketed_rank, hashed
 
+BUCKET_IDS = 4 << 20
+"""Token ids that one window may hold at most, as rows are ranked together with their ids."""
+
 
 def assemble_batches(df: DataFrame, id_col: str, ids_col: str, batch_size: int = 8, limit: int = 4096, pad: int = 0, side: str = "right", seed: int | None = None, by_length: bool = False) -> DataFrame:
     """batch_id, row_id, input_ids and attention_mask, padded to the longest row of the batch; the last batch may be short.
@@ -17,9 +20,9 @@ def assemble_batches(df: DataFrame, id_col: str, ids_col: str, batch_size: int =
     rows = df.select(F.col(id_col).alias("row_id"), F.slice(ids_col, 1, limit).alias("ids"))
     place = hashed(seed or 0, F.col("row_id"))
     if by_length:
-        # Longest first: the length, as hexadecimal digits counted down, before the hash.
-        place = F.concat(F.lpad(F.hex(F.lit(limit) - F.size("ids")), 8, "0"), place)
-    ranked = bucketed_rank(rows, [], place, "row_id", "rank", digits=8 if by_length else 2)
+        # Longest first: the length, as hexadecimal digits counted down, before the hash, which parts rows of one length.
+        place = F.concat(F.lpad(F.hex(F.lit(limit) - F.size("ids")), len(f"{limit:x}"), "0"), place)
+    ranked = bucketed_rank(rows, [], place, "row_id", "rank", max(batch_size, BUCKET_IDS // limit))
     numbered = ranked.withColumn("batch_id", F.floor((F.col("rank") - 1) / batch_size).cast("long"))
     longest = numbered.groupBy("batch_id").agg(F.max(F.size("ids")).alias("to"))
     padded, mask = truncate_pad_mask(F.col("ids"), limit, F.col("to"), pad, side)

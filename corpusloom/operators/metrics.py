@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.rank import cumulative_counts
+from corpusloom.operators.sides import few
 
 KEYS = ["exp_id", "fold"]
 
@@ -92,7 +93,7 @@ def class_weights(df: DataFrame, label_col: str, k: int | None = None) -> DataFr
 
 def attach_class_weight(df: DataFrame, weights: DataFrame, label_col: str) -> DataFrame:
     """The rows with the weight of their class. weights: one row per class."""
-    return df.join(weights.select(F.col("label").alias("__l"), "weight"), F.col(label_col) == F.col("__l"), "left").drop("__l")
+    return df.join(few(weights.select(F.col("label").alias("__l"), "weight")), F.col(label_col) == F.col("__l"), "left").drop("__l")
 
 
 def weighted_log_loss(probabilities: DataFrame, weights: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -107,7 +108,7 @@ def minmax_scores(scores: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Scores scaled to [0, 1] per run; unchanged where all are equal."""
     span = scores.groupBy(*keys).agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"))
     scaled = F.when(F.col("__hi") > F.col("__lo"), (F.col("score") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.col("score"))
-    return scores.join(span, keys).withColumn("score", scaled).drop("__lo", "__hi")  # one row per run
+    return scores.join(few(span), keys).withColumn("score", scaled).drop("__lo", "__hi")
 
 
 def results_table(metrics: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import approx_token_len, label_name
+from corpusloom.operators.sides import few
 
 THRESHOLDS = (512, 1024, 2048, 4096, 8192)
 
@@ -65,7 +66,7 @@ def length_histogram(df: DataFrame, label_col: str, tokens: Column, bins: int =
     """Label, bin (from 0) and n, in bins of equal width per class; the last one is closed."""
     rows = df.select(F.col(label_col).alias("label"), tokens.alias("len"))
     span = rows.groupBy(F.col("label").alias("of")).agg(F.min("len").alias("lo"), F.max("len").alias("hi"))
-    wide = rows.join(span, F.col("label").eqNullSafe(F.col("of")))  # one row per class
+    wide = rows.join(few(span), F.col("label").eqNullSafe(F.col("of")))
     at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("len") - F.col("lo")) * F.lit(float(bins)) / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))).otherwise(F.lit(0))
     return wide.groupBy("label", at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.rank import bucketed_rank, hashed
+from corpusloom.operators.sides import few
 
 
 def stratified_holdout(df: DataFrame, id_col: str, label_col: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
@@ -24,7 +25,7 @@ def stratified_holdout(df: DataFrame, id_col: str, label_col: str, test_size: fl
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("part") - F.col("base")), "label")  # one row per class
     quota = parts.crossJoin(left).withColumn("q", F.col("base") + (F.row_number().over(order) <= F.col("left")).cast("long")).select("label", "q")
     ranked = bucketed_rank(rows, ["label"], hashed(seed, F.col("row_id")), "row_id", "rank")
-    joined = ranked.join(quota.withColumnRenamed("label", "__l"), F.col("label").eqNullSafe(F.col("__l")))
+    joined = ranked.join(few(quota.withColumnRenamed("label", "__l")), F.col("label").eqNullSafe(F.col("__l")))
     return joined.select("row_id", "label", F.when(F.col("rank") <= F.col("q"), F.lit("holdout")).otherwise(F.lit("train")).alias("split"))
 
 
@@ -43,7 +44,7 @@ def stratified_kfold(split: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     before = Window.partitionBy(F.lit(0)).orderBy("label").rowsBetween(Window.unboundedPreceding, -1)  # one row per class
     offsets = each.select(F.col("label").alias("__l"), F.coalesce(F.sum("n_c").over(before), F.lit(0)).alias("offset"))
     ranked = bucketed_rank(train, ["label"], hashed(f"fold:{seed}", F.col("row_id")), "row_id", "rank")
-    joined = ranked.join(F.broadcast(offsets), F.col("label").eqNullSafe(F.col("__l")))
+    joined = ranked.join(few(offsets), F.col("label").eqNullSafe(F.col("__l")))
     return joined.select("row_id", "label", ((F.col("offset") + F.col("rank") - 1) % k).cast("int").alias("fold"))
 
 
