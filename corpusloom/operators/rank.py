@@ -82,7 +82,7 @@ def _with_offsets(rows: DataFrame, keys: list[str], bucket: str, totals: DataFra
     """Sums inside buckets, on top of the totals of the key's buckets before."""
     before = Window.partitionBy(*keys or [F.lit(0)]).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
     offsets = totals.select(*_renamed([*keys, bucket]), *(F.coalesce(F.sum(f"__v{i}").over(before), F.lit(0)).alias(f"__o{i}") for i in range(len(outs))))
-    joined = rows.join(offsets, _same([*keys, bucket])).select(*rows.columns, *(f"__o{i}" for i in range(len(outs))))
+    joined = rows.join(few(offsets), _same([*keys, bucket])).select(*rows.columns, *(f"__o{i}" for i in range(len(outs))))
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = {out: F.col(f"__o{i}") + F.sum(f"__v{i}").over(inside) for i, out in enumerate(outs)}
     return joined.withColumns(sums).drop(*(f"__o{i}" for i in range(len(outs))))

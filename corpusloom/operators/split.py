@@ -17,15 +17,14 @@ def stratified_holdout(df: DataFrame, id_col: str, label_col: str, test_size: fl
     that come first by a seeded hash are held out, whatever the order or partitioning of the rows.
     """
     rows = df.select(F.col(id_col).alias("row_id"), F.col(label_col).alias("label"))
-    each = rows.groupBy("label").agg(F.count("*").alias("n_c"))
-    total = each.agg(F.sum("n_c").alias("n"))
-    n_test = F.ceil(F.col("n") * F.lit(float(test_size)))
-    parts = each.crossJoin(total).withColumn("part", F.col("n_c") * n_test / F.col("n")).withColumn("base", F.floor("part"))
-    left = parts.agg((F.max(n_test) - F.sum("base")).alias("left"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("part") - F.col("base")), "label")  # one row per class
-    quota = parts.crossJoin(left).withColumn("q", F.col("base") + (F.row_number().over(order) <= F.col("left")).cast("long")).select("label", "q")
+    all_classes = Window.partitionBy(F.lit(0))  # one row per class
+    n = F.sum("n_c").over(all_classes)
+    parts = rows.groupBy("label").agg(F.count("*").alias("n_c")).withColumn("n_test", F.ceil(n * F.lit(float(test_size)))).withColumn("part", F.col("n_c") * F.col("n_test") / n)
+    based = parts.withColumn("base", F.floor("part")).withColumn("left", F.col("n_test") - F.sum(F.floor("part")).over(all_classes))
+    first = F.row_number().over(all_classes.orderBy(F.desc(F.col("part") - F.col("base")), "label")) <= F.col("left")
+    quota = few(based.select(F.col("label").alias("__l"), (F.col("base") + first.cast("long")).alias("q")))
     ranked = bucketed_rank(rows, ["label"], hashed(seed, F.col("row_id")), "row_id", "rank")
-    joined = ranked.join(few(quota.withColumnRenamed("label", "__l")), F.col("label").eqNullSafe(F.col("__l")))
+    joined = ranked.join(quota, F.col("label").eqNullSafe(F.col("__l")))
     return joined.select("row_id", "label", F.when(F.col("rank") <= F.col("q"), F.lit("holdout")).otherwise(F.lit("train")).alias("split"))
 
 
