@@ -46,15 +46,15 @@ def map_columns(df: DataFrame, schema: StructType, fn: Callable[[list[pa.Array]]
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of rows with at most SLICE_BYTES of text each."""
+def slices(batch: pa.RecordBatch, column: int = 1, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch into runs of rows with at most `size` bytes of text each."""
     if not batch.num_rows:
         return
     ends = offsets_of(batch.column(column))
     ends = ends - ends[0]
     at = 0
     while at < batch.num_rows:
-        to = int(np.searchsorted(ends, ends[at] + SLICE_BYTES, side="right")) - 1
+        to = int(np.searchsorted(ends, ends[at] + size, side="right")) - 1
         to = min(max(to, at + 1), batch.num_rows)
         yield batch.slice(at, to - at)
         at = to

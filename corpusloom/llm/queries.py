@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, chat, html_text, mixing, near_dup, ogg, quality, secrets, suffix_dedup, token_counts
+from corpusloom.llm import byte_bpe, chat, collocations, html_text, line_dedup, merkle, mixing, near_dup, ogg, quality, secrets, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,18 @@ def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.described(ogg.to_media(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
@@ -73,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_html_text": op9_html_text,
     "op10_ogg_media": op10_ogg_media,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_collocations": op12_collocations,
+    "op13_line_dedup": op13_line_dedup,
 }
 
-SQL: dict[str, str] = {"op8_chat_format": chat.SQL}
+SQL: dict[str, str] = {"op8_chat_format": chat.SQL, "op11_merkle_manifest": merkle.SQL, "op12_collocations": collocations.SQL, "op13_line_dedup": line_dedup.SQL}
