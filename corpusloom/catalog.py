@@ -790,7 +790,9 @@ def i6(spark, d):
 
 @query("i7_evaluate_holdout")
 def i7(spark, d):
-    return _cv(spark, d).holdout("EXP_0", _logistic)
+    path = new_path(spark, "metrics")
+    _cv(spark, d).holdout("EXP_0", _logistic, path)
+    return files.load_metrics(spark, path, holdout=True)
 
 
 @query("i9_assemble_batches", f"""WITH {_IDS}, r AS (SELECT row_id, ids[1:4096] AS ids, (row_number() OVER (ORDER BY md5('5:' || row_id), row_id) - 1) // 8 AS batch_id FROM ids), m AS (SELECT batch_id, max(len(ids)) AS t FROM r GROUP BY 1)

@@ -5,10 +5,14 @@ A dataset is a file or a folder of shards. Schemas are explicit; nothing is infe
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.sources.claims import claim, claim_of, exists, hadoop_path, publish, remove
+
 #: The keys under which a wrapped file may hold its rows, first one present wins.
 WRAPPERS = ("data", "samples", "entries", "records")
 
@@ -24,21 +28,32 @@ def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType, glob: str =
 
 
 def discover(spark: SparkSession, path: str, schema: T.StructType, filename: str | None = None) -> DataFrame:
-    """A3: the CSV shards of a folder, or its JSON-lines shards if it has none; an error if it has neither.
+    """A3: the CSV shards of a folder and those below it, or its JSON-lines shards if it has none; an error if it has neither, a warning if it has both.
 
-    filename narrows the choice to a name or pattern.
+    filename narrows the choice to a name. Just what is listed is read, wherever it lies.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = sorted(str(s.getPath().getName()) for s in fs.listStatus(hadoop) if s.isFile())
+    names = shard_names(spark, path)
     if filename:
-        names = [n for n in names if n == filename]
-    for suffix, scan in ((".csv", scan_csv), (".jsonl", scan_jsonl)):
-        if any(n.endswith(suffix) for n in names):
-            return scan(spark, path, schema, filename or f"*{suffix}")
+        names = {n for n in names if n == filename}
+    kinds = [(suffix, scan) for suffix, scan in ((".csv", scan_csv), (".jsonl", scan_jsonl)) if any(n.endswith(suffix) for n in names)]
+    if len(kinds) > 1:
+        warnings.warn(f"{path} has .csv and .jsonl files; the .csv files are read", stacklevel=2)
+    for suffix, scan in kinds:
+        return scan(spark, path, schema, filename or f"*{suffix}")
     raise FileNotFoundError(f"no .csv or .jsonl file in {path}" + (f" named {filename}" if filename else ""))
 
 
+def shard_names(spark: SparkSession, path: str) -> set[str]:
+    """The names of the files of a folder and those below it, but for hidden ones."""
+    at, fs = hadoop_path(spark, path)
+    found, files = set(), fs.listFiles(at, True)
+    while files.hasNext():
+        below = files.next().getPath().toUri().getPath()[len(at.toUri().getPath()) :].strip("/") or at.getName()
+        if not any(part.startswith(("_", ".")) for part in below.split("/")):
+            found.add(below.rsplit("/", 1)[-1])
+    return found
+
+
 def scan_json_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A4: each file is a JSON array of objects."""
     return spark.read.schema(schema).json(path, multiLine=True, recursiveFileLookup=True)
@@ -98,37 +113,67 @@ def sink_json_files(df: DataFrame, path: str, layout: str, shard: str, key: str,
     df.groupBy(shard).agg(value.alias("value")).write.mode(mode).partitionBy(shard).text(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop))
-
-
 def save_split(split: DataFrame, path: str, overwrite: bool = False) -> None:
-    """A split is written once; a second time only with overwrite."""
-    if not overwrite and _exists(split.sparkSession, path):
-        raise FileExistsError(f"there is a split at {path}; pass overwrite=True to replace it")
-    split.write.mode("overwrite").parquet(path)
+    """A split is written once, as a whole; a second time only with overwrite. Of two jobs at once, one gets a FileExistsError."""
+    spark, lock = split.sparkSession, claim_of(path, "split")
+    if overwrite:
+        split.write.mode("overwrite").parquet(path)
+        return
+    claim(spark, lock)
+    try:
+        if exists(spark, path):
+            raise FileExistsError(f"there is a split at {path}; pass overwrite=True to replace it")
+        publish(split, path)
+    finally:
+        remove(spark, lock)
 
 
 def load_split(spark: SparkSession, path: str) -> DataFrame:
     """A saved split; an error if there is none."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(f"no split at {path}")
     return spark.read.parquet(path)
 
 
+class Claims:
+    """Claims of (experiment, fold) pairs of a table of metrics. They stay, so that a pair is written once; those of a failed job go."""
+
+    def __init__(self, spark: SparkSession, path: str, pairs: list[tuple[str, int]]):
+        self.spark, self.path, self.pairs, self.taken = spark, path, sorted(pairs), []
+
+    def __enter__(self) -> Claims:
+        try:
+            for pair in self.pairs:
+                if exists(self.spark, f"{self.path}/exp_id={pair[0]}/fold={pair[1]}"):
+                    raise FileExistsError("written before there were claims")
+                claim(self.spark, claim_of(self.path, *pair))
+                self.taken.append(pair)
+        except FileExistsError as e:
+            self.release()
+            raise FileExistsError(f"metrics of {pair[0]}, fold {pair[1]} are there, or being made ({e}); pass overwrite=True to replace them") from None
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind:
+            self.release()
+
+    def release(self) -> None:
+        for pair in self.taken:
+            remove(self.spark, claim_of(self.path, *pair))
+        self.taken.clear()
+
+
+def _pairs(metrics: DataFrame) -> list[tuple[str, int]]:
+    return [(r.exp_id, r.fold) for r in metrics.select("exp_id", "fold").distinct().collect()]  # one per run
+
+
 def save_metrics(metrics: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Metrics rows by (exp_id, fold), each pair written once unless overwrite, which replaces just these pairs."""
-    spark = metrics.sparkSession
-    if not overwrite and _exists(spark, path):
-        clash = metrics.select("exp_id", "fold").distinct().join(spark.read.parquet(path).select(F.col("exp_id").cast("string"), "fold"), ["exp_id", "fold"], "left_semi").first()
-        if clash:
-            raise FileExistsError(f"metrics of {clash.exp_id}, fold {clash.fold} are there; pass overwrite=True to replace them")
-    writer = metrics.write.partitionBy("exp_id", "fold")
+    """Metrics rows by (exp_id, fold), each pair written once, as a whole, unless overwrite, which replaces just these pairs."""
     if overwrite:
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    else:
-        writer.mode("append").parquet(path)
+        metrics.write.partitionBy("exp_id", "fold").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        return
+    with Claims(metrics.sparkSession, path, _pairs(metrics)):
+        publish(metrics, path, ["exp_id", "fold"])
 
 
 def load_metrics(spark: SparkSession, path: str, holdout: bool | None = None) -> DataFrame:
