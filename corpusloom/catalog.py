@@ -734,16 +734,37 @@ def probe(spark, d) -> DataFrame:
     return models.embedding_features(rows, "embedding")
 
 
-def _probe_scores(spark, d, fit) -> DataFrame:
+PROBE = "probe AS (SELECT vec_id AS row_id, (label = 1)::INT AS target FROM embeddings)"
+
+
+def _probe_sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Training rows and holdout."""
     rows = stored(probe(spark, d), "probe")
     sides = split.stratified_holdout(rows, "row_id", "label")
-    both = rows.join(sides.select("row_id", "split"), "row_id")
-    scored = models.predict_proba(fit(both.where("split = 'train'")), both.where("split = 'holdout'"))
+    both = stored(rows.join(sides.select("row_id", "split"), "row_id"), "probe-sides")
+    return both.where("split = 'train'"), both.where("split = 'holdout'")
+
+
+def _probe_scores(spark, d, fit) -> DataFrame:
+    train, held = _probe_sides(spark, d)
+    scored = models.predict_proba(fit(train), held)
     return scored.select(F.lit("EXP_2").alias("exp_id"), F.lit(-1).alias("fold"), "row_id", "label", "score")
 
 
-@query("i2_weighted_logistic")
+#: A gradient per row below which a model counts as the solution; the solver stops at a relative change of 1e-9.
+SOLVED = 1e-6
+
+
+@query("i2_weighted_logistic", f"""WITH {PROBE}, {_split_sql('probe')} SELECT count(*) AS n, sum(label)::BIGINT AS n_pos, round(count(*) / (2.0 * sum(1 - label)), 6) AS weight_0,
+ round(count(*) / (2.0 * sum(label)), 6) AS weight_1, true AS solved FROM split WHERE split = 'train'""")
 def i2(spark, d):
+    """The fit, and the proof that it solves the weighted objective."""
+    train, _ = _probe_sides(spark, d)
+    return models.certificate(models.weighted_logistic(train), train).withColumn("solved", F.col("gradient") < SOLVED).drop("gradient")
+
+
+@query("i2_holdout_metrics")
+def i2b(spark, d):
     return metrics.evaluate(_probe_scores(spark, d, models.weighted_logistic))
 
 
@@ -752,13 +773,32 @@ def i3(spark, d):
     return metrics.evaluate(_probe_scores(spark, d, models.weighted_random_forest))
 
 
-@query("i4_predict_proba")
+@query("i4_predict_proba", f"WITH {PROBE}, {_split_sql('probe')} SELECT row_id, label, true AS proven FROM split WHERE split = 'holdout'")
 def i4(spark, d):
+    """The scored rows; proven where the score is the logistic function of the margin summed up from the coefficients."""
+    train, held = _probe_sides(spark, d)
+    model = models.weighted_logistic(train)
+    scored = models.predict_proba(model, held).join(models.margins(model, held), "row_id")
+    return scored.select("row_id", "label", (F.abs(F.col("score") - F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))) < 1e-9).alias("proven"))
+
+
+@query("i4_scores")
+def i4b(spark, d):
     return _probe_scores(spark, d, models.weighted_logistic)
 
 
-@query("i8_embedding_probe")
+@query("i8_embedding_probe", f"""WITH {PROBE}, {_split_sql('probe')} SELECT count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'holdout') AS n_holdout,
+ round(avg(label) FILTER (split = 'holdout'), 6) AS baseline, (SELECT max(len(embedding)) FROM embeddings)::INT AS dimensions, true AS solved FROM split""")
 def i8(spark, d):
+    """A probe of the embeddings: its sizes, the holdout's baseline, and the proof of the fit."""
+    train, held = _probe_sides(spark, d)
+    model = models.weighted_logistic(train)
+    proof = models.certificate(model, train).select(F.col("n").alias("n_train"), F.lit(model.numFeatures).alias("dimensions"), (F.col("gradient") < SOLVED).alias("solved"))
+    return held.agg(F.count("*").alias("n_holdout"), F.avg("label").alias("baseline")).crossJoin(F.broadcast(proof))  # a row each
+
+
+@query("i8_average_precision")
+def i8b(spark, d):
     return metrics.average_precision(_probe_scores(spark, d, models.weighted_logistic))
 
 
