@@ -8,12 +8,15 @@ its cell's probability: the same choice at any partitioning.
 
 Targets are shares of a category by name, or an exponent: a share grows as the category's share of all tokens to
 this power (1 keeps the mix, 0 makes it even). A category that named targets don't list keeps its own share; the others divide the rest.
+A share by exponent that exceeds all tokens of its category is all of them, and the other categories fill what is left of the budget. If the
+margins still can't be met together, shares by exponent are eased towards the categories' own ones in the steps of EASE, as little as
+does; `eased` tells how far. A named share is demanded as it stands.
 
 A topic is a column, or else one of `topics` groups of words of five or more bytes, by their hash: the one in
 which the document exceeds the whole corpus the most.
 
 Cells are summed where they are; up to Mix.max_cells of them are raked on the driver, more of them as a table, by the same steps.
-The sweeps end unconverged if a target can't be met (a category would need more than all its tokens): its
+The sweeps end unconverged if a named target can't be met (a category would need more than all its tokens): its
 probabilities are then 1, `converged` is false, and margins() tells how far each category is from its target.
 
 Null source, language or topic: a category of its own. Null text: empty, of 0 tokens. A cell without tokens has
@@ -36,6 +39,7 @@ from corpusloom.llm.batches import Words, map_columns, slices
 from corpusloom.llm.shared import stored
 
 MARGINS = ("source", "lang", "topic")
+EASE = (0.0, 0.125, 0.25, 0.5, 1.0)
 LEAST_BYTES = 5
 
 MEASURED = T.StructType(
@@ -119,21 +123,32 @@ def cells(measured: DataFrame) -> DataFrame:
     return measured.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
 
 
-def shares(names: list, tokens: np.ndarray, target: dict[str, float] | float) -> np.ndarray:
-    """Target shares of the categories of a margin, in the order of names."""
+def filled(weight: np.ndarray, cap: np.ndarray) -> np.ndarray:
+    """Shares in proportion to weights that add up to 1, each held at its cap, as far as the caps let them."""
+    held = np.zeros(len(weight), bool)
+    while True:
+        left = weight[~held].sum()
+        scale = (1.0 - cap[held].sum()) / left if left > 0 else 0.0
+        over = ~held & (weight * scale > cap)
+        if not over.any():
+            return np.where(held, cap, weight * scale)
+        held |= over
+
+
+def shares(names: list, tokens: np.ndarray, target: dict[str, float] | float, fraction: float = 1.0, ease: float = 0.0) -> np.ndarray:
+    """Target shares of the categories of a margin, in the order of names, of a budget that is a fraction of all tokens. ease: how far shares by exponent are moved to the own ones."""
     own = tokens / max(tokens.sum(), 1)
-    if isinstance(target, dict):
-        named = np.array([n in target for n in names], bool)
-        want = np.where(named, [target.get(n, 0.0) for n in names], own)
-        rest = 1.0 - want[~named].sum()
-        if want[named].sum() > 0:
-            want[named] *= rest / want[named].sum()
-    else:
-        want = np.where(own > 0, own, 0.0) ** target * (own > 0)
+    if not isinstance(target, dict):
+        return (1 - ease) * filled(np.where(own > 0, own, 0.0) ** target * (own > 0), own / fraction) + ease * own
+    named = np.array([n in target for n in names], bool)
+    want = np.where(named, [target.get(n, 0.0) for n in names], own)
+    rest = 1.0 - want[~named].sum()
+    if want[named].sum() > 0:
+        want[named] *= rest / want[named].sum()
     return want / max(want.sum(), 1e-300)
 
 
-def rake(table: pd.DataFrame, mix: Mix) -> tuple[np.ndarray, bool]:
+def rake(table: pd.DataFrame, mix: Mix, ease: float = 0.0) -> tuple[np.ndarray, bool]:
     """Sampling probability of each cell of a small table (source, lang, topic, tokens), and whether all margins are met."""
     tokens = table["tokens"].to_numpy(float)
     p = np.where(tokens > 0, min(1.0, mix.fraction), 0.0)
@@ -141,7 +156,7 @@ def rake(table: pd.DataFrame, mix: Mix) -> tuple[np.ndarray, bool]:
     for m in MARGINS:
         names, code = np.unique(table[m].fillna("\0").to_numpy(str), return_inverse=True)
         sums = np.bincount(code, tokens, len(names))
-        margins.append((code, len(names), mix.fraction * tokens.sum() * shares([None if x == "\0" else x for x in names], sums, mix.targets[m])))
+        margins.append((code, len(names), mix.fraction * tokens.sum() * shares([None if x == "\0" else x for x in names], sums, mix.targets[m], mix.fraction, ease)))
     for _ in range(mix.sweeps):
         before = p
         for code, n, want in margins:
@@ -153,7 +168,18 @@ def rake(table: pd.DataFrame, mix: Mix) -> tuple[np.ndarray, bool]:
     return p, met
 
 
-def rake_table(table: DataFrame, mix: Mix) -> tuple[DataFrame, bool]:
+def _filled(own: DataFrame) -> DataFrame:
+    """filled() for a table with weight and cap. A category is held if cap / weight is below the scale of the others, which grows as more are held."""
+    own = stored(own, "shares")
+    scale, before = 0.0, None
+    while scale != before:
+        held = F.col("cap") < F.col("weight") * scale
+        sums = own.agg(F.sum(F.when(held, F.col("cap"))), F.sum(F.when(~held, F.col("weight")))).first()
+        before, scale = scale, (1.0 - (sums[0] or 0.0)) / sums[1] if sums[1] else scale
+    return own.withColumn("want", F.least("cap", F.col("weight") * scale))
+
+
+def rake_table(table: DataFrame, mix: Mix, ease: float = 0.0) -> tuple[DataFrame, bool]:
     """rake() for cells of any number, as a table with p; each sweep is three aggregations over the cells."""
     total = table.agg(F.sum("tokens")).first()[0] or 0
     p = stored(table.withColumn("p", F.when(F.col("tokens") > 0, F.lit(min(1.0, mix.fraction))).otherwise(F.lit(0.0))), "cells")
@@ -168,7 +194,8 @@ def rake_table(table: DataFrame, mix: Mix) -> tuple[DataFrame, bool]:
             scale = (1.0 - (sums[0] or 0.0)) / sums[1] if sums[1] else 0.0
             own = own.withColumn("want", F.coalesce(F.col("share") * scale, F.col("own")))
         else:
-            own = own.withColumn("want", F.when(F.col("own") > 0, F.pow("own", F.lit(float(target)))).otherwise(F.lit(0.0)))
+            own = _filled(own.where("own > 0").withColumn("weight", F.pow("own", F.lit(float(target)))).withColumn("cap", F.col("own") / mix.fraction))
+            own = own.withColumn("want", (1 - ease) * F.col("want") + ease * F.col("own"))
         norm = own.agg(F.sum("want")).first()[0] or 1.0
         wants[m] = stored(own.select(F.col(m).alias("of"), (F.col("want") / norm * mix.fraction * float(total)).alias("want")), "targets")
     for _ in range(mix.sweeps):
@@ -190,30 +217,43 @@ def rake_table(table: DataFrame, mix: Mix) -> tuple[DataFrame, bool]:
     return p, met
 
 
+def _eased(fit, mix: Mix) -> tuple:
+    """p, whether all margins are met, and the least step of EASE with which they are (the first one, if none does)."""
+    first = None
+    for ease in EASE:
+        p, met = fit(ease)
+        if met:
+            return p, met, ease
+        first = first or (p, met, ease)
+        if all(isinstance(t, dict) or t == 1 for t in mix.targets.values()):  # nothing to ease
+            break
+    return first
+
+
 def probabilities(measured: DataFrame, mix: Mix) -> DataFrame:
-    """source, lang, topic, p and converged of each cell; marked for broadcast if there are max_cells at most."""
+    """source, lang, topic, p, converged and eased of each cell; marked for broadcast if there are max_cells at most."""
     table = stored(cells(measured), "cells")
     if table.limit(mix.max_cells + 1).count() > mix.max_cells:
-        p, met = rake_table(table, mix)
-        return p.select(*MARGINS, "p", F.lit(met).alias("converged"))
+        p, met, ease = _eased(lambda ease: rake_table(table, mix, ease), mix)
+        return p.select(*MARGINS, "p", F.lit(met).alias("converged"), F.lit(ease).alias("eased"))
     small = table.orderBy(*MARGINS).toPandas()
-    each, met = rake(small, mix)
-    rows = [(*(None if pd.isna(x) else x for x in row), float(p), met) for row, p in zip(small[list(MARGINS)].itertuples(index=False), each, strict=True)]
-    return F.broadcast(table.sparkSession.createDataFrame(rows, "source string, lang string, topic string, p double, converged boolean"))
+    each, met, ease = _eased(lambda ease: rake(small, mix, ease), mix)
+    rows = [(*(None if pd.isna(x) else x for x in row), float(p), met, ease) for row, p in zip(small[list(MARGINS)].itertuples(index=False), each, strict=True)]
+    return F.broadcast(table.sparkSession.createDataFrame(rows, "source string, lang string, topic string, p double, converged boolean, eased double"))
 
 
 def _with_p(rows: DataFrame, p: DataFrame, source: str, lang: str, topic: str) -> DataFrame:
-    named = p.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("p").alias("__p"), F.col("converged").alias("__converged"))
+    named = p.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("p").alias("__p"), F.col("converged").alias("__converged"), F.col("eased").alias("__eased"))
     on = [rows[c].eqNullSafe(named[f"__{m}"]) for m, c in zip(MARGINS, (source, lang, topic), strict=True)]
     return rows.join(named, on[0] & on[1] & on[2], "left").drop(*(f"__{m}" for m in MARGINS))
 
 
 def calibrated(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """id, source, lang, topic, n_tokens, probability, sampled and converged (the same in all rows) of each row."""
+    """id, source, lang, topic, n_tokens, probability, sampled, converged and eased (both the same in all rows) of each row."""
     measured, _ = measure(df, mix, id_col, text_col, source_col, lang_col)
     out = _with_p(measured, probabilities(measured, mix), *MARGINS)
     p = F.coalesce("__p", F.lit(0.0))
-    return out.select("id", *MARGINS, "n_tokens", p.alias("probability"), (F.col("u") < p).alias("sampled"), F.coalesce("__converged", F.lit(True)).alias("converged"))
+    return out.select("id", *MARGINS, "n_tokens", p.alias("probability"), (F.col("u") < p).alias("sampled"), F.coalesce("__converged", F.lit(True)).alias("converged"), F.coalesce("__eased", F.lit(0.0)).alias("eased"))
 
 
 def margins(calibrated: DataFrame, mix: Mix) -> DataFrame:

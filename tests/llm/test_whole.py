@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from dataclasses import replace
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -339,3 +340,40 @@ def test_margins(spark):
             assert {r.converged for r in out.select("converged").distinct().collect()} == {converged} and b.target == want
             assert (abs(b.expected - want) < 1e-6) == converged and abs(b.sampled - b.expected) < 0.05
             out.unpersist()
+
+
+def test_even_shares_that_a_category_cannot_fill():
+    # A topic of 5 of 1,000 tokens can't be a third of a sample of half of them: it is taken whole, the others share the rest.
+    assert mixing.shares(list("abc"), np.array([5.0, 400, 595]), 0.0, 0.5) == pytest.approx([0.01, 0.495, 0.495])
+    assert mixing.shares(list("abc"), np.array([5.0, 100, 895]), 0.0, 0.5) == pytest.approx([0.01, 0.2, 0.79])
+    assert mixing.shares(list("ab"), np.array([0.0, 10]), 0.0, 1.0) == pytest.approx([0, 1])
+    assert mixing.shares(list("ab"), np.array([4.0, 6]), 0.0, 1.0) == pytest.approx([0.4, 0.6])
+    assert mixing.shares(list("ab"), np.array([100.0, 300]), 0.5, 0.1) == pytest.approx([1 / (1 + 3**0.5), 3**0.5 / (1 + 3**0.5)])
+
+
+def test_even_shares_as_a_table(spark):
+    rng = random.Random(2)
+    cells = [(s, g, t, rng.randint(50, 900) if t != "-1" else 2) for s in "abc" for g in ("en", "de") for t in ("0", "1", "-1")]
+    mix = mixing.Mix(targets={"source": 0.5, "lang": {"en": 0.6, "de": 0.4}, "topic": 0.0}, fraction=0.4)
+    small = pd.DataFrame(cells, columns=["source", "lang", "topic", "tokens"])
+    frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    for ease in (0.0, 0.25):  # a few sweeps, which take the same steps
+        table, _ = mixing.rake_table(frame, replace(mix, sweeps=3), ease)
+        got = {(r.source, r.lang, r.topic): r.p for r in table.collect()}
+        assert [got[c[:3]] for c in cells] == pytest.approx(mixing.rake(small, replace(mix, sweeps=3), ease)[0], abs=1e-9)
+    p, met = mixing.rake(small, mix)
+    assert met and (p * small["tokens"]).sum() == pytest.approx(0.4 * small["tokens"].sum(), rel=1e-6)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_the_query_meets_its_targets(spark, sf):
+    from corpusloom.llm import queries
+
+    out = queries.op5_source_mix(spark, f"/root/testdata/{sf}").toPandas()
+    assert out["converged"].all() and (out["eased"] == (0 if sf != "sf0.001" else out["eased"][0])).all()  # 200 documents can't have even topics
+    tokens, p = out["n_tokens"], out["probability"]
+    assert (tokens * p).sum() == pytest.approx(tokens.sum() / 2, rel=1e-6)
+    spread = math.sqrt((tokens**2 * p * (1 - p)).sum())
+    assert abs((tokens * out["sampled"]).sum() - tokens.sum() / 2) < 4 * spread
+    languages = (tokens * p).groupby(out["lang"]).sum() / (tokens * p).sum()
+    assert languages.to_dict() == pytest.approx({"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, abs=1e-5)
