@@ -674,12 +674,11 @@ def h13(spark, d):
 # TF-IDF: fitted on the documents whose id is no multiple of 5
 
 
-def _fitted(spark, d, keep: bool = False, **more) -> tuple[tfidf.TfidfPipeline, DataFrame]:
-    """The pipeline with its defaults, and the counts of all documents. keep: these are stored, as they are read twice."""
+def _fitted(spark, d, **more) -> tuple[tfidf.TfidfPipeline, DataFrame]:
+    """The pipeline with its defaults, and the counts of all documents, which are some forty times as large as the texts: made again, not stored."""
     docs = _docs(spark, d).select(F.col("doc_id").alias("row_id"), F.col("text").alias("func"))
     p, train = tfidf.TfidfPipeline(**more), F.col("row_id") % 5 != 0
-    counts = stored(p.counts(docs), "terms") if keep else p.counts(docs.where(train))
-    return p.fit(docs.where(train), counts.where(train)), counts
+    return p.fit(docs.where(train), p.counts(docs.where(train))), p.counts(docs)
 
 
 @query("d16_build_vocabulary", f"WITH {_COUNTS}, {_VOCAB} SELECT term, idx, total_tf, df FROM vocab")
@@ -704,25 +703,25 @@ def f6(spark, d):
 
 @query("c3_vocab_lookup", f"WITH {_COUNTS}, {_VOCAB} SELECT c.row_id, v.idx, c.tf FROM counts c JOIN vocab v ON c.term = v.term")
 def c3(spark, d):
-    p, counts = _fitted(spark, d, keep=True)
+    p, counts = _fitted(spark, d)
     return tfidf.lookup(counts, p.vocabulary, p.max_features).select("row_id", "idx", "tf")
 
 
 @query("i1_tfidf_pipeline", f"WITH {_COUNTS}, {_VOCAB}, {_WEIGHTS} SELECT row_id, term, idx, tf, round(w, 6) AS w FROM weights")
 def i1(spark, d):
-    p, counts = _fitted(spark, d, keep=True)
+    p, counts = _fitted(spark, d)
     return p.transform(counts=counts)
 
 
 @query("h6_l2_normalize", f"WITH {_COUNTS}, {_VOCAB}, {_WEIGHTS} SELECT row_id, round(sqrt(sum(w * w)), 6) AS norm FROM weights GROUP BY 1")
 def h6(spark, d):
-    p, counts = _fitted(spark, d, keep=True)
+    p, counts = _fitted(spark, d)
     return p.transform(counts=counts).groupBy("row_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
 @query("d18_max_abs_scale", f"WITH {_COUNTS}, {_VOCAB}, {_WEIGHTS}, s AS (SELECT term, max(abs(w)) AS m FROM weights WHERE row_id % 5 <> 0 GROUP BY 1) SELECT row_id, w.term, round(w / m, 6) AS w FROM weights w JOIN s ON w.term = s.term")
 def d18(spark, d):
-    p, counts = _fitted(spark, d, keep=True, scale=True)
+    p, counts = _fitted(spark, d, scale=True)
     return p.transform(counts=counts).select("row_id", "term", "w")
 
 

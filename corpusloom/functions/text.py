@@ -33,8 +33,12 @@ def code_tokens(text: Column) -> Column:
 
 def word_ngrams(tokens: Column, low: int, high: int) -> Column:
     """H3: runs of low to high tokens, joined by spaces. tokens: a column without Python functions (they can't stand in a lambda)."""
-    sizes = F.filter(F.sequence(F.lit(low), F.lit(high)), lambda n: n <= F.size(tokens))
-    return F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))))
+    # Each token with its n - 1 successors, found by their places.
+    return F.flatten(F.array(*(F.transform(F.slice(tokens, F.lit(1), F.greatest(F.lit(0), F.size(tokens) - n + 1)), _followed(tokens, n)) for n in range(low, high + 1))))
+
+
+def _followed(tokens: Column, n: int):
+    return lambda t, i: F.concat_ws(" ", t, *(F.get(tokens, i + j) for j in range(1, n)))
 
 
 def _joined(parts: list[str]):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import char_ngrams, code_tokens, normalize_text, sublinear_tf, word_ngrams
@@ -18,9 +18,14 @@ BROADCAST_TERMS = 200_000
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, low: int = 1, high: int = 3, analyzer: str = "word") -> DataFrame:
-    """row_id, term and tf of each text (H1-H4). analyzer: word (tokens of code) or char."""
+    """row_id, term and tf of each text (H1-H4). analyzer: word (tokens of code) or char.
+
+    Texts are dealt by row_id once, before they grow into n-grams: these are sorted and counted inside the row, as runs of equal ones, and
+    what follows per row (norms, vectors) finds its rows together, so no pair of row and term is ever shuffled. row_id must be unique.
+    """
     text = normalize_text(F.coalesce(F.col(text_col), F.lit("")))
-    rows = df.select(F.col(id_col).alias("row_id"), text.alias("__text"))
+    # After the Python function, behind which the planner would no longer know how rows are dealt.
+    rows = df.select(F.col(id_col).alias("row_id"), text.alias("__text")).repartition("row_id")
     if analyzer == "word":
         rows = rows.select("row_id", code_tokens(F.col("__text")).alias("__tokens"))
         grams = word_ngrams(F.col("__tokens"), low, high)
@@ -28,7 +33,17 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, low: int = 1, high: i
         grams = char_ngrams(F.col("__text"), low, high)
     else:
         raise ValueError(f"analyzer must be word or char, not {analyzer!r}")
-    return rows.select("row_id", F.explode(grams).alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
+    return rows.select("row_id", F.sort_array(grams).alias("__g")).select("row_id", "__g", _starts(F.col("__g")).alias("__s")).select("row_id", F.inline(_runs(F.col("__g"), F.col("__s"))))
+
+
+def _starts(grams: Column) -> Column:
+    """Where a run of equal ones begins in a sorted array."""
+    return F.filter(F.transform(grams, lambda g, i: F.when((i == 0) | (g != F.get(grams, i - 1)), i)), lambda i: i.isNotNull())
+
+
+def _runs(grams: Column, starts: Column) -> Column:
+    end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(grams))
+    return F.transform(starts, lambda s, k: F.struct(F.get(grams, s).alias("term"), (end(k) - s).cast("long").alias("tf")))
 
 
 def build_vocabulary(counts: DataFrame, n_rows: int | None = None, max_features: int = 50_000, row_count: DataFrame | None = None) -> DataFrame:

@@ -110,3 +110,16 @@ def test_whole_runs(run):
     assert best.exp_id in fits
     with pytest.raises(ValueError, match="unknown"):
         cv.run("EXP_7")
+
+
+def test_terms_are_counted_and_weighted_where_their_rows_are(spark):
+    docs = spark.createDataFrame([(i, f"a b a b c{i} a") for i in range(20)] + [(99, None), (98, "")], "row_id long, func string")
+    pipeline = tfidf.TfidfPipeline()
+    counts = {(r.row_id, r.term): r.tf for r in pipeline.counts(docs).collect()}
+    assert {t: n for (i, t), n in counts.items() if i == 3} == {"a": 3, "b": 2, "c3": 1, "a b": 2, "b a": 1, "b c3": 1, "c3 a": 1, "a b a": 1, "b a b": 1, "a b c3": 1, "b c3 a": 1}
+    assert not {i for i, _ in counts} & {98, 99}
+    out = pipeline.fit(docs).transform(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("BroadcastHashJoin")]
+    assert "Exchange" not in after and "Window" in after  # the norm needs no shuffle of (row, term) pairs
+    assert sum(r.w**2 for r in out.where("row_id = 3").collect()) == pytest.approx(1)
