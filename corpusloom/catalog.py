@@ -850,7 +850,7 @@ def i9b(spark, d):
 
 @query("i10_experiment_grid")
 def i10(spark, d):
-    out = _cv(spark, d).run_all(experiment.grid("lr_sweep", models.weighted_logistic, c=[0.1, 1.0], tol=[1e-4]))
+    out = _cv(spark, d).run_all(experiment.grid("lr_sweep", models.weighted_logistic, c=[0.01, 0.1, 1.0, 10.0], tol=[1e-4]))
     return metrics.select_best_config(out.withColumn("family", X.experiment_family(F.col("exp_id"))))
 
 

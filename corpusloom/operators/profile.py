@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import approx_token_len, label_name
@@ -33,16 +33,37 @@ def ordered_value_counts(df: DataFrame, value_col: str) -> DataFrame:
     return df.groupBy(F.col(value_col).alias("value")).agg(F.count("*").alias("n")).orderBy("value")
 
 
+def quantiles_of_counts(each: DataFrame, keys: list[str], at: tuple[float, ...]) -> DataFrame:
+    """Per keys: n, mean_len, max_len and p, the exact quantiles by linear interpolation, from the number of rows (n) of each len.
+
+    Rows are counted by value first, so a window holds the distinct lengths of a key, which the longest text bounds, not its rows.
+    """
+    key = Window.partitionBy(*keys or [F.lit(0)])
+    upto = F.sum("n").over(key.orderBy("len").rowsBetween(Window.unboundedPreceding, 0))
+    rows = each.where("len is not null").withColumns({"__upto": upto, "__total": F.sum("n").over(key)})
+    place = lambda q: (F.col("__total") - 1) * F.lit(float(q))
+    value = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col("len")))
+    parts = [c for i, q in enumerate(at) for c in (value(F.floor(place(q))).alias(f"__lo{i}"), value(F.ceil(place(q))).alias(f"__hi{i}"), F.max(place(q) - F.floor(place(q))).alias(f"__at{i}"))]
+    stats = rows.groupBy(*keys).agg(F.sum("n").alias("n"), (F.sum(F.col("len") * F.col("n")) / F.sum("n")).alias("mean_len"), F.max("len").cast("long").alias("max_len"), *parts)
+    p = F.array(*(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__at{i}") for i in range(len(at))))
+    return stats.select(*keys, "n", "mean_len", "max_len", p.alias("p"))
+
+
 def length_stats(df: DataFrame, label_col: str, text_col: str, tokens: Column | None = None, exact: bool = True) -> DataFrame:
     """Mean, median, p95, p99 and max length per class and overall (label null), and int(p95) as suggested limit.
 
     tokens: the length of a row, a quarter of the characters by default. exact=False: approximate percentiles.
     """
     n = tokens if tokens is not None else approx_token_len(F.col(text_col))
-    at = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
+    quantiles = (0.5, 0.95, 0.99)
     rows = df.select(F.col(label_col).alias("label"), n.alias("len"))
-    cut = F.percentile("len", at) if exact else F.percentile_approx("len", at, 10000)
-    stats = rows.groupingSets([["label"], []], "label").agg(F.avg("len").alias("mean_len"), cut.alias("p"), F.max("len").cast("long").alias("max_len"), F.grouping("label").alias("is_all"))
+    if exact:
+        each = rows.groupBy("label", "len").agg(F.count("*").alias("n")).withColumn("is_all", F.lit(0))
+        whole = each.groupBy("len").agg(F.sum("n").alias("n")).select(F.lit(None).cast(each.schema["label"].dataType).alias("label"), "len", "n", F.lit(1).alias("is_all"))
+        stats = quantiles_of_counts(each.unionByName(whole), ["label", "is_all"], quantiles)
+    else:
+        cut = F.percentile_approx("len", F.array(*map(F.lit, quantiles)), 10000)
+        stats = rows.groupingSets([["label"], []], "label").agg(F.avg("len").alias("mean_len"), cut.alias("p"), F.max("len").cast("long").alias("max_len"), F.grouping("label").alias("is_all"))
     p = lambda i: F.col("p")[i].cast("double")
     return stats.select("label", F.col("is_all").cast("int").alias("is_all"), "mean_len", p(0).alias("median_len"), p(1).alias("p95_len"), p(2).alias("p99_len"), "max_len", F.floor(p(1)).cast("long").alias("suggested_len"))
 
@@ -56,10 +77,10 @@ def truncation_rate(df: DataFrame, tokens: Column, thresholds: tuple[int, ...] =
 
 def clipped_length_stats(df: DataFrame, tokens: Column, limit: int) -> DataFrame:
     """Mean, median, p95 and max of the lengths cut to a limit, and percent of rows over it."""
-    rows = df.select(F.least(tokens, F.lit(limit)).alias("len"), (tokens > limit).cast("int").alias("cut"))
-    at = F.array(F.lit(0.5), F.lit(0.95))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"), F.percentile("len", at).alias("p"), F.max("len").cast("long").alias("max_len"), (F.avg("cut") * 100).alias("pct_truncated"))
-    return stats.select("n", "mean_len", F.col("p")[0].alias("median_len"), F.col("p")[1].alias("p95_len"), "max_len", "pct_truncated")
+    each = df.groupBy(F.least(tokens, F.lit(limit)).alias("len")).agg(F.count("*").alias("n"), F.count_if(tokens > limit).alias("cut"))
+    stats = quantiles_of_counts(each, [], (0.5, 0.95))
+    cut = each.agg((F.sum("cut") * 100 / F.sum("n")).alias("pct_truncated"))  # a row each
+    return stats.crossJoin(F.broadcast(cut)).select("n", "mean_len", F.col("p")[0].alias("median_len"), F.col("p")[1].alias("p95_len"), "max_len", "pct_truncated")
 
 
 def length_histogram(df: DataFrame, label_col: str, tokens: Column, bins: int = 80) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,16 +29,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_lock, _writing = threading.Lock(), {"n": 0, "before": "false"}
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """The setting CLEANUP while some thread writes; the last one puts it back."""
+    with _lock:
+        if not _writing["n"]:
+            _writing["before"] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _writing["n"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing["n"] -= 1
+            if not _writing["n"]:
+                spark.conf.set(CLEANUP, _writing["before"])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a DataFrame to the shared folder and gives the written table. The shuffle files of the write go with its end."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_path = path
     return table
