@@ -170,6 +170,14 @@ def a1(spark, d):
     return _scanned(files.scan_csv(spark, path, _SCHEMA))
 
 
+@query("a1_scan_csv_ranges", _SCANNED)
+def a1b(spark, d):
+    """As a file of any size is read: by byte ranges."""
+    path = new_path(spark, "csv")
+    _corpus_rows(spark, d).write.csv(path, header=True, escape='"', quoteAll=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return _scanned(files.scan_csv(spark, path, _SCHEMA, whole=0))
+
+
 @query("a2_scan_jsonl", _SCANNED)
 def a2(spark, d):
     path = new_path(spark, "jsonl")

@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.rank import cumulative_counts
 from corpusloom.operators.sides import few
+from corpusloom.sources.scratch import forget, stored
 
 KEYS = ["exp_id", "fold"]
 
 
 def pair_scores(labels: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
-    """C4: labels and scores joined by keys; an error if a key is on one side only."""
-    both = labels.withColumn("__l", F.lit(1)).join(scores.withColumn("__s", F.lit(1)), keys, "full")
+    """C4: labels and scores joined by keys; an error if a key is on one side only. The join is made once, and stored for the check and the result."""
+    both = stored(labels.withColumn("__l", F.lit(1)).join(scores.withColumn("__s", F.lit(1)), keys, "full"), "pairs")
     alone = both.agg(F.count_if(F.col("__l").isNull()).alias("no_label"), F.count_if(F.col("__s").isNull()).alias("no_score")).first()
     if alone.no_label or alone.no_score:
+        forget(both)
         raise ValueError(f"{alone.no_score} labels without a score, {alone.no_label} scores without a label")
-    return labels.join(scores, keys)
+    return both.drop("__l", "__s")
 
 
 def threshold_predict(scores: DataFrame, threshold: float = 0.5) -> DataFrame:

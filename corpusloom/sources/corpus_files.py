@@ -11,15 +11,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.sources import csv_ranges
 from corpusloom.sources.claims import claim, claim_of, exists, hadoop_path, publish, remove
 
 #: The keys under which a wrapped file may hold its rows, first one present wins.
 WRAPPERS = ("data", "samples", "entries", "records")
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.csv") -> DataFrame:
-    """A1: CSV with a header; values may span lines, quotes are doubled."""
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', pathGlobFilter=glob, recursiveFileLookup=True, emptyValue="")
+WHOLE_CSV = 256 << 20
+"""Bytes of a CSV file up to which one task reads it."""
+
+
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.csv", whole: int = WHOLE_CSV) -> DataFrame:
+    """A1: CSV with a header; values may span lines, quotes are doubled. Files are read whole, each by a task, or all by ranges if one is larger than `whole` bytes; the rows are the same."""
+    options = {"escape": '"', "emptyValue": ""}
+    if _largest(spark, path) > whole:
+        return csv_ranges.scan(spark, path, schema, glob, options)
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, pathGlobFilter=glob, recursiveFileLookup=True, **options)
+
+
+def _largest(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file of a folder and those below it."""
+    at, fs = hadoop_path(spark, path)
+    most, files = 0, fs.listFiles(at, True)
+    while files.hasNext():
+        most = max(most, files.next().getLen())
+    return most
 
 
 def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.json*") -> DataFrame:

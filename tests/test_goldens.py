@@ -138,3 +138,12 @@ def test_write_once(spark):
     assert [r.f1 for r in files.load_metrics(spark, path, holdout=True).collect()] == [0.7]
     with pytest.raises(FileNotFoundError):
         files.load_split(spark, new_path(spark, "none"))
+
+
+def test_pairs_of_labels_and_scores(spark):
+    labels = spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "row_id long, fold int, label int")
+    scores = spark.createDataFrame([(2, 0, 0.25), (1, 0, 0.5)], "row_id long, fold int, score double")
+    out = metrics.pair_scores(labels, scores, ["row_id", "fold"])
+    assert out.columns == ["row_id", "fold", "label", "score"] and sorted(map(tuple, out.collect())) == [(1, 0, 1, 0.5), (2, 0, 0, 0.25)]
+    with pytest.raises(ValueError, match="1 labels without a score, 0 scores"):
+        metrics.pair_scores(labels, scores.where("row_id = 1"), ["row_id", "fold"])
