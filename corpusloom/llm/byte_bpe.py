@@ -81,6 +81,7 @@ class BytePairs:
             vocabulary[rank] = token
         self.vocabulary = pa.array(vocabulary, pa.binary())
         self.rank = {token.decode("latin-1"): rank for token, rank in ranks.items()}
+        self.longest = max(map(len, self.rank), default=1)
         self.trie = ahocorasick.Automaton()
         for token in self.rank:
             self.trie.add_word(token, token)
@@ -158,7 +159,8 @@ class BytePairs:
             pos += len(trial)
             if pos == len(text):
                 return [rank[x] for x in out]
-            trial = next(self.trie.iter_long(text, pos))[1]  # the longest token that starts here, as every byte is one
+            # The longest token that starts here, as every byte is one; a search over more than it costs as much as all that is left.
+            trial = next(self.trie.iter_long(text[pos : pos + self.longest]))[1]
 
     def segment(self, data: bytes) -> bytes:
         """The ids of a segment's pieces, as 32-bit numbers."""
