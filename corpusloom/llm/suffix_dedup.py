@@ -18,7 +18,8 @@ Rows between rounds are segments, not strings; all groupings are aggregations th
 content hashes, so that reranking needs no global numbering; from the second round on, contents are compared byte by byte.
 
 Null text: empty. A null id comes before all others. Rows of equal id and text are the same document: none
-of them is earlier than the other at the same place. Rows of equal id and other text come by a hash of their text.
+of them is earlier than the other at the same place. Rows of equal id (or none) and other text come by a hash of their text,
+of 64 bits for equal ids, 128 without one.
 Texts shorter than `size` lose nothing. A long text is ranked in parts that overlap. Empty table: none. Other columns are not read.
 """
 
@@ -36,6 +37,8 @@ from corpusloom.llm.shared import forget, stored
 GRAM = 32
 SPLIT = 3
 _NONE = -(1 << 63)
+ROW = ("id", "tag", "mark")
+"""What tells texts apart: the id, and 128 bits of the text's hashes where there is none, 64 where ids repeat."""
 _CODES = np.random.default_rng(7001).integers(0, 2**64, (2, 256), dtype=np.uint64)
 _BASES = (0xD1B54A32D192ED03, 0xABC98388FB8FAC03)
 _PLACES = np.uint64(0xFFFFFFFF)
@@ -108,7 +111,7 @@ def _segments(column: pa.Array, size: int, most: int):
             yield found | {"row": found["row"] + i, "lo": found["lo"] + at - offsets[i]}
 
 
-_SEGMENT = [T.StructField("id", T.LongType()), T.StructField("tag", T.IntegerType()), T.StructField("lo", T.IntegerType()), T.StructField("n", T.ShortType()), T.StructField("d", T.ShortType())]
+_SEGMENT = [*(T.StructField(f, T.LongType()) for f in ROW), T.StructField("lo", T.IntegerType()), T.StructField("n", T.ShortType()), T.StructField("d", T.ShortType())]
 RANKS = T.StructType([T.StructField("core", T.LongType()), T.StructField("n", T.IntegerType())])
 ANCHORS = T.StructType([*_SEGMENT, T.StructField("core", T.LongType()), T.StructField("content", T.LongType()), T.StructField("again", T.BooleanType())])
 OPEN = T.StructType([*_SEGMENT, T.StructField("bytes", T.BinaryType())])
@@ -132,26 +135,26 @@ def _ranks(size: int, most: int):
     return run
 
 
-def _again(a: dict[str, np.ndarray], ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+def _again(a: dict[str, np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
     """Which segments have an equal one earlier in these very rows; that needs no shuffle to be known."""
-    order = np.lexsort((a["lo"], tags, ids, a["pair"], a["rank"]))
+    order = np.lexsort((a["lo"], *reversed(keys), a["pair"], a["rank"]))
     out = np.zeros(len(order), bool)
     if len(order) > 1:
         x, y = order[1:], order[:-1]
         same = np.append(False, (a["rank"][x] == a["rank"][y]) & (a["pair"][x] == a["pair"][y]))
         head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-        out[order] = same & ((ids[order] != ids[head]) | (tags[order] != tags[head]) | (a["lo"][order] != a["lo"][head]))
+        out[order] = same & np.logical_or.reduce([x[order] != x[head] for x in (*keys, a["lo"])])
     return out
 
 
 def _anchors(size: int, most: int):
     def run(columns):
         for a in _segments(columns[1], size, most):
-            ids, tags = columns[0].to_numpy()[a["row"]], columns[2].to_numpy()[a["row"]]
-            again = _again(a, ids, tags)
+            keys = [columns[i].to_numpy()[a["row"]] for i in (0, 2, 3)]
+            again = _again(a, keys)
             # Known repeats are settled; a rank of their own keeps them out of the way of what is not.
-            lone = mixed(ids.view(np.uint64) * np.uint64(_BASES[0]) + a["lo"].astype(np.uint64)).view(np.int64)
-            yield {"id": ids, "tag": tags, "lo": a["lo"], "n": a["n"], "d": a["d"], "core": np.where(again, lone, a["rank"]), "content": np.where(again, 0, a["pair"]), "again": again}
+            lone = mixed(keys[0].view(np.uint64) * np.uint64(_BASES[0]) + a["lo"].astype(np.uint64)).view(np.int64)
+            yield dict(zip(ROW, keys, strict=True)) | {"lo": a["lo"], "n": a["n"], "d": a["d"], "core": np.where(again, lone, a["rank"]), "content": np.where(again, 0, a["pair"]), "again": again}
 
     return run
 
@@ -161,13 +164,12 @@ def _opened(size: int):
 
     def run(columns):
         flat, offsets = bytes_of(columns[1])
-        row = np.repeat(np.arange(len(columns[0])), np.diff(columns[3].offsets.to_numpy()))
-        lo, n, d = (columns[3].flatten().field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("lo", "n", "d"))
+        row = np.repeat(np.arange(len(columns[0])), np.diff(columns[4].offsets.to_numpy()))
+        lo, n, d = (columns[4].flatten().field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("lo", "n", "d"))
         start = lo + offsets[row]
         data = memoryview(flat)
         yield {
-            "id": columns[0].to_numpy()[row],
-            "tag": columns[2].to_numpy()[row],
+            **{f: columns[i].to_numpy()[row] for f, i in zip(ROW, (0, 2, 3), strict=True)},
             "lo": lo,
             "n": n,
             "d": d,
@@ -179,7 +181,7 @@ def _opened(size: int):
 
 def _removed(size: int):
     def run(columns):
-        ids, lists = columns[0], columns[3]
+        ids, lists = columns[0], columns[4]
         out: dict[str, list] = {f: [] for f in RESULT.names[1:]}
         for text, marks in zip(columns[1], lists, strict=True):
             data = text.as_buffer().to_pybytes()
@@ -222,14 +224,14 @@ def _parted(open_: DataFrame, width: int, size: int) -> DataFrame:
     far = F.least(F.col("d").cast("long"), F.col("cell") * width + width - 1).cast("int")
     near = F.greatest(F.col("d").cast("long") - F.col("n"), F.col("cell") * width).cast("int")
     rows = rows.withColumns({"far": far, "near": near})
-    rows = rows.select("id", "tag", (F.col("lo") + F.col("d") - F.col("far")).alias("lo"), (F.col("far") - F.col("near")).cast("short").alias("n"), F.col("far").cast("short").alias("d"), "cell", F.substring("bytes", F.col("d") - F.col("far") + 1, F.col("far") - F.col("near") + size).alias("content"))
+    rows = rows.select(*ROW, (F.col("lo") + F.col("d") - F.col("far")).alias("lo"), (F.col("far") - F.col("near")).cast("short").alias("n"), F.col("far").cast("short").alias("d"), "cell", F.substring("bytes", F.col("d") - F.col("far") + 1, F.col("far") - F.col("near") + size).alias("content"))
     common = F.substring("content", (F.col("d") - F.col("cell") * width + 1).cast("int"), F.lit(size + 1 - width))
-    return rows.select("id", "tag", "lo", "n", "d", F.xxhash64(F.lit(width), "cell", common).alias("core"), "content")
+    return rows.select(*ROW, "lo", "n", "d", F.xxhash64(F.lit(width), "cell", common).alias("core"), "content")
 
 
 def _firsts(segments: DataFrame) -> DataFrame:
     """The first segment of each content, as a table; open, if its core has other contents too."""
-    first = segments.groupBy("core", "content").agg(F.min(F.struct("id", "tag", "lo", "n", "d")).alias("x")).select("core", "content", "x.*")
+    first = segments.groupBy("core", "content").agg(F.min(F.struct(*ROW, "lo", "n", "d")).alias("x")).select("core", "content", "x.*")
     several = first.groupBy("core").agg(F.count("*").alias("__n")).where("__n > 1").select("core", F.lit(True).alias("open"))
     return stored(first.join(several, "core", "left").withColumn("open", F.coalesce("open", F.lit(False))), "firsts")
 
@@ -243,28 +245,29 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not 2 * GRAM <= size <= 32767:
         raise ValueError(f"size must be from {2 * GRAM} to 32767")
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("tag", F.shiftright(F.xxhash64("text"), 32).cast("int"))  # parts texts of equal id
+    # Part texts of equal id; the second hash is only kept where there is none, as constants take next to no room.
+    docs = docs.withColumn("tag", F.xxhash64("text")).withColumn("mark", F.when(F.col("id") == _NONE, F.xxhash64(F.lit(SPLIT), "text")).otherwise(0).cast("long"))
 
     # Round 1: anchors whose rank occurs again. A rank is counted first, so that only these are stored.
     twice = map_columns(docs.select("id", "text"), RANKS, _ranks(size, part_bytes)).groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core", F.lit(True).alias("twice"))
     found = stored(map_columns(docs, ANCHORS, _anchors(size, part_bytes)).join(twice, "core", "left").where("again or twice").drop("twice"), "anchors")
     first = _firsts(found.where("not again"))
-    marks = [found.select("id", "tag", _packed(0)), first.where("not open").select("id", "tag", _packed(1))]
+    marks = [found.select(*ROW, _packed(0)), first.where("not open").select(*ROW, _packed(1))]
 
-    lists = first.where("open").groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "n", "d")).alias("x"))
-    opened = open_ = stored(map_columns(docs.join(lists, ["id", "tag"]).select("id", "text", "tag", "x"), OPEN, _opened(size)), "open")
+    lists = first.where("open").groupBy(*ROW).agg(F.collect_list(F.struct("lo", "n", "d")).alias("x"))
+    opened = open_ = stored(map_columns(docs.join(lists, [*ROW]).select("id", "text", "tag", "mark", "x"), OPEN, _opened(size)), "open")
     for width in widths(size):
         first = _firsts(_parted(open_, width, size))
         # Parts of one distance are strings: what shares a rank with others then only has their hash.
-        marks.append((first.where("not open") if width > 1 else first).select("id", "tag", _packed(1)))
-        open_ = first.where("open").select("id", "tag", "lo", "n", "d", F.col("content").alias("bytes"))
+        marks.append((first.where("not open") if width > 1 else first).select(*ROW, _packed(1)))
+        open_ = first.where("open").select(*ROW, "lo", "n", "d", F.col("content").alias("bytes"))
 
     forget(opened)
     packed = marks[0]
     for more in marks[1:]:
         packed = packed.unionByName(more)
-    lists = packed.groupBy("id", "tag").agg(F.collect_set("x").alias("x"))
-    marked = docs.join(lists, ["id", "tag"], "left").select("id", "text", "tag", "x")
+    lists = packed.groupBy(*ROW).agg(F.collect_set("x").alias("x"))
+    marked = docs.join(lists, [*ROW], "left").select("id", "text", "tag", "mark", "x")
     return map_columns(marked, RESULT, _removed(size)).withColumn("id", F.nullif("id", F.lit(_NONE)))
 
 
