@@ -4,11 +4,14 @@ Patterns find the base spans: assignments to secret-like names (assign), access
 and long hexadecimal runs (hex). Then every run of base64, base64url or hexadecimal characters is
 decoded, and reported as well if its bytes *are* a secret by their structure:
 
-der      a private key in DER (PKCS#1, PKCS#8 with the inner key of its algorithm or encrypted by password, SEC 1), each nested length exact
+der      a private key in DER (PKCS#1 whose modulus is the product of its primes, PKCS#8 with the inner key of its algorithm or encrypted
+         by password, SEC 1, DSA), each nested length exact
 openssh  an OpenSSH private key, its length-prefixed fields filling the block exactly
 jwt      a signed or encrypted token: JSON headers that name an algorithm, parts that decode
 
-A key may start anywhere in a run, and ends where its lengths say; a run may hold several keys and tokens.
+A key or token may start anywhere in a run; a key ends where its lengths say, and a run may hold several keys and tokens.
+A run is decoded once for each place in a group of characters that a key may start at; lengths are then read where they
+stand, and the first that doesn't fit ends it, so that the time grows with the text only.
 PEM lines are joined before they are decoded. Spans are in code points, ends exclusive, and cover
 the whole match of their pattern, the whole key (with its padding or PEM lines) or token.
 
@@ -23,6 +26,7 @@ import base64
 import binascii
 import hashlib
 import json
+import math
 import re
 
 import numpy as np
@@ -47,6 +51,8 @@ _PEM = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY-----")
 _PIECE = re.compile(r"([A-Za-z0-9+/_-]{32,})={0,2}")
 _PARTS = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*){2,4}")
 _HEXADECIMAL = re.compile(r"[0-9A-Fa-f]*")
+_MOST_FIELDS = 10  # no private key has more: PKCS#1 with further primes
+_MOST_BYTES = 2049  # of a modulus, 16,384 bits; common libraries refuse longer ones
 _MAGIC = b"openssh-key-v1\0"
 # Object identifiers of algorithms, in DER.
 _RSA = bytes.fromhex("2a864886f70d010101")
@@ -93,7 +99,7 @@ def structural_spans(text: str) -> list[Span]:
             if begin:
                 body = re.sub(r"\\[rn]|\s", "", re.sub(r"(?m)^[A-Za-z-]+:.*$", "", text[begin.end() : m.start()]))
                 data = _base64(body)
-                if data and (kind := _key(data)) and (kind, begin.start(), m.end()) not in out:
+                if data and (kind := _key(data, 0, len(data))) and (kind, begin.start(), m.end()) not in out:
                     out.append((kind, begin.start(), m.end()))
             begin = None
     return out
@@ -117,38 +123,54 @@ def _keys(run: str, at: int, to: int):
     """(start, end, kind) of the keys in a part of a run, in base64 or hexadecimal, wherever they start; their own lengths tell where they end."""
     for piece in _PIECE.finditer(run, at, to):
         value, at = piece[1], 0
+        decoded = _Decoded(value)
         while mark := _START.search(value, at):
             start = mark.start()
-            found = _sized(value, start, hexadecimal=mark[0][0] in "36")
+            data, offset, group = decoded.at(start, mark[0][0] in "36")
+            found = _sized(data, offset)
             if found is None:
                 at = start + 1
                 continue
-            kind, at = found
+            kind, end = found
+            at = start + (2 * (end - offset) if group == 2 else -(-4 * (end - offset) // 3))
             # The padding belongs to a key that ends with its piece.
             yield piece.start() + start, piece.end() if at == len(value) else piece.start() + at, kind
 
 
-def _sized(value: str, start: int, hexadecimal: bool) -> tuple[str, int] | None:
+class _Decoded:
+    """The bytes of a piece, decoded once for each place in a group of characters (4 in base64, 2 in hexadecimal) that a key may start at."""
+
+    def __init__(self, value: str):
+        self.value = value
+        self.digits = (0, 0)
+        self.made: dict[tuple[int, int, int], bytes] = {}
+
+    def at(self, start: int, hexadecimal: bool) -> tuple[bytes, int, int]:
+        """The bytes that hold those of a start, where these begin, and how many characters make a group."""
+        if not hexadecimal:
+            return self._read(0, len(self.value), start % 4, 4), start // 4 * 3, 4
+        if start >= self.digits[1]:  # starts ascend
+            self.digits = _HEXADECIMAL.match(self.value, start).span()
+        first, end = self.digits
+        return self._read(first, end, (start - first) % 2, 2), (start - first) // 2, 2
+
+    def _read(self, first: int, end: int, shift: int, group: int) -> bytes:
+        key = (first, shift, group)
+        if key not in self.made:
+            part = self.value[first + shift : end]
+            part = part[: len(part) - (len(part) % 2 if group == 2 else len(part) % 4 == 1)]
+            self.made[key] = (_hexadecimal if group == 2 else _base64)(part) or b""
+        return self.made[key]
+
+
+def _sized(data: bytes, at: int) -> tuple[str, int] | None:
     """Kind and end of the key that starts at a place."""
-    read = _hexadecimal if hexadecimal else _base64
-    chars = (lambda n: 2 * n) if hexadecimal else (lambda n: -(-4 * n // 3))
-    head = read(value[start : start + chars(15)])
-    if not head:
-        return None
-    if head == _MAGIC:
-        rest = _HEXADECIMAL.match(value, start)[0] if hexadecimal else value[start:]
-        size = _openssh(read(rest[: len(rest) - (len(rest) % 2 if hexadecimal else len(rest) % 4 == 1)]))
-    else:
-        size = _extent(head)
-        inner = head[2 + (head[1] & 0x7F if head[1] >= 0x80 else 0) :][:3] if size else b""
-        # A version of 0 or 1, or the algorithm of an encrypted key, comes first: else nothing more is decoded.
-        if inner not in (b"\2\1\0", b"\2\1\1") and inner[:1] != b"\x30":
-            return None
-    if size is None or start + chars(size) > len(value):
-        return None
-    data = read(value[start : start + chars(size)])
-    kind = _key(data) if data else None
-    return (kind, start + chars(size)) if kind else None
+    if data.startswith(_MAGIC, at):
+        end = _openssh(data, at)
+        return ("openssh", end) if end else None
+    top = _field(data, at, len(data))
+    kind = _key(data, at, top[2]) if top and top[0] == 0x30 else None
+    return (kind, top[2]) if kind else None
 
 
 def _hexadecimal(run: str) -> bytes | None:
@@ -158,16 +180,6 @@ def _hexadecimal(run: str) -> bytes | None:
         return None
 
 
-def _extent(head: bytes) -> int | None:
-    """The bytes of the DER SEQUENCE that starts so, with tag and length."""
-    if len(head) < 6 or head[0] != 0x30:
-        return None
-    size = head[1] & 0x7F
-    if head[1] < 0x80:
-        return 2 + size
-    return 2 + size + int.from_bytes(head[2 : 2 + size], "big") if 1 <= size <= 4 else None
-
-
 def _field(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     """Tag, start and end of the DER field at a place; None if it doesn't fit before end."""
     if at + 2 > end:
@@ -184,50 +196,92 @@ def _field(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
 
 
 def _fields(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """The DER fields that fill a range exactly."""
+    """The DER fields that fill a range exactly; None if they don't, or are more than any key has."""
     out = []
     while at < end:
         field = _field(data, at, end)
-        if field is None:
+        if field is None or len(out) == _MOST_FIELDS:
             return None
         out.append(field)
         at = field[2]
     return out
 
 
-def _key(data: bytes) -> str | None:
-    if data.startswith(_MAGIC):
-        return "openssh" if _openssh(data) == len(data) else None
-    top = _field(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] != len(data):
+def _numbers(data: bytes, parts: list[tuple[int, int, int]]) -> list[int]:
+    return [int.from_bytes(data[start:end], "big") for _, start, end in parts]
+
+
+def _rsa(data: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    """Whether fields are those of PKCS#1: version, modulus, exponents, primes, ..., and the modulus is the product of the primes."""
+    if len(parts) < 9 or {t for t, _, _ in parts[:9]} != {0x02} or data[parts[0][1] : parts[0][2]] not in (b"\0", b"\1"):
+        return False
+    primes = parts[4:6]
+    if data[parts[0][1]] == 1:  # further primes
+        more = _fields(data, *parts[9][1:]) if len(parts) == 10 and parts[9][0] == 0x30 else None
+        each = [_fields(data, *m[1:]) for m in more or [] if m[0] == 0x30]
+        if not each or len(each) < len(more) or not all(e and [t for t, _, _ in e] == [0x02] * 3 for e in each):
+            return False
+        primes = primes + [e[0] for e in each]
+    elif len(parts) != 9:
+        return False
+    # Lengths and last bytes are compared first, as products take long; a number may start with a zero byte.
+    modulus, size = parts[1], sum(end - start for _, start, end in primes)
+    if not 0 <= size - (modulus[2] - modulus[1]) <= 2 * len(primes):
+        return False
+    if modulus[2] - modulus[1] > _MOST_BYTES:
+        return False
+    ends = _numbers(data, [(t, max(start, end - 8), end) for t, start, end in (modulus, *primes)])
+    if (math.prod(ends[1:]) - ends[0]) % (1 << 64):
+        return False
+    numbers = _numbers(data, primes)
+    return min(numbers) > 1 and math.prod(numbers) == _numbers(data, [modulus])[0]
+
+
+def _dsa(data: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    """Whether fields are those of a DSA key: version, p, q that divides p - 1, generator, public and private number."""
+    if [t for t, _, _ in parts] != [0x02] * 6 or data[parts[0][1] : parts[0][2]] != b"\0":
+        return False
+    sizes = [end - start for _, start, end in parts[1:]]
+    if not 64 <= sizes[0] <= _MOST_BYTES or not 20 <= sizes[1] <= sizes[0] or max(sizes[2:4]) > sizes[0] or sizes[4] > sizes[1]:
+        return False
+    p, q, g, y, x = _numbers(data, parts[1:])
+    return 0 < x < q and max(g, y) < p and (p - 1) % q == 0
+
+
+def _key(data: bytes, at: int, end: int) -> str | None:
+    """The kind of the key that fills a range exactly."""
+    if data.startswith(_MAGIC, at):
+        return "openssh" if _openssh(data, at) == end else None
+    top = _field(data, at, end)
+    if top is None or top[0] != 0x30 or top[2] != end:
         return None
     parts = _fields(data, top[1], top[2])
     if not parts:
         return None
     tags = [t for t, _, _ in parts]
-    value = data[parts[0][1] : parts[0][2]]
-    if len(parts) >= 9 and set(tags[:9]) == {0x02} and value in (b"\0", b"\1"):
-        return "der"  # PKCS#1: version, modulus, exponents, primes, ...
+    value = data[parts[0][1] : min(parts[0][2], parts[0][1] + 2)]
+    if _rsa(data, parts) or _dsa(data, parts):
+        return "der"
     if tags[:3] == [0x02, 0x30, 0x04] and value in (b"\0", b"\1"):  # PKCS#8
-        algorithm = _fields(data, parts[1][1], parts[1][2])
+        algorithm = _fields(data, *parts[1][1:])
         if not algorithm or algorithm[0][0] != 0x06:
             return None
-        return "der" if _inner(data[algorithm[0][1] : algorithm[0][2]], data[parts[2][1] : parts[2][2]]) else None
+        return "der" if _inner(data[algorithm[0][1] : min(algorithm[0][2], algorithm[0][1] + 16)], data, *parts[2][1:]) else None
     if tags[:2] == [0x02, 0x04] and value == b"\1" and parts[1][2] - parts[1][1] >= 16:
         return "der"  # SEC 1
     if tags == [0x30, 0x04]:  # PKCS#8, encrypted
-        algorithm = _fields(data, parts[0][1], parts[0][2])
-        return "der" if algorithm and algorithm[0][0] == 0x06 and data[algorithm[0][1] : algorithm[0][2]].startswith(_ENCRYPTION) else None
+        algorithm = _fields(data, *parts[0][1:])
+        return "der" if algorithm and algorithm[0][0] == 0x06 and data.startswith(_ENCRYPTION, algorithm[0][1], algorithm[0][2]) else None
     return None
 
 
-def _inner(algorithm: bytes, data: bytes) -> bool:
+def _inner(algorithm: bytes, data: bytes, at: int, end: int) -> bool:
     """Whether the key inside PKCS#8 has the structure of its algorithm; that of an unknown algorithm is not looked at."""
-    field = _field(data, 0, len(data))
-    fills = field is not None and field[2] == len(data)
+    field = _field(data, at, end)
+    fills = field is not None and field[2] == end
     parts = _fields(data, field[1], field[2]) if fills and field[0] == 0x30 else None
     if algorithm == _RSA:
-        return bool(parts) and len(parts) >= 9 and {t for t, _, _ in parts[:9]} == {0x02}
+        return bool(parts) and _rsa(data, parts)
     if algorithm == _EC:
         return bool(parts) and [t for t, _, _ in parts[:2]] == [0x02, 0x04] and data[parts[0][1] : parts[0][2]] == b"\1"
     if algorithm in _CURVES:
@@ -237,17 +291,17 @@ def _inner(algorithm: bytes, data: bytes) -> bool:
     return True
 
 
-def _openssh(data: bytes) -> int | None:
-    """The bytes of the OpenSSH key that some bytes start with."""
-    at = len(_MAGIC)
+def _openssh(data: bytes, at: int = 0) -> int | None:
+    """Where the OpenSSH key ends that starts at a place."""
+    at += len(_MAGIC)
 
-    def take() -> bytes | None:
+    def take() -> int | None:
         nonlocal at
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + n > len(data):
             return None
         at += 4 + n
-        return data[at - n : at]
+        return n
 
     if any(take() is None for _ in range(3)):  # cipher, key derivation, its options
         return None
@@ -263,19 +317,55 @@ def _token(run: str, at: int = 0) -> tuple[int, int] | None:
         at = m.start() + len(parts[0])  # where it is no header, the next part may be one
         if len(parts) == 4:
             parts = parts[:3]
-        header = _json(parts[0])
-        if not isinstance(header, dict) or not isinstance(header.get("alg"), str):
+        found = _header(parts[0])
+        if found is None:
             continue
+        start, header = found
         if len(parts) == 5 and not ("enc" in header and all(_base64(p) is not None for p in parts[1:])):
             parts = parts[:3]
         if len(parts) == 3 and not (isinstance(_json(parts[1]), dict) and _base64(parts[2]) is not None):
             continue
-        return m.start(), m.start() + len(".".join(parts))
+        return m.start() + start, m.start() + len(".".join(parts))
     return None
 
 
+def _header(part: str) -> tuple[int, dict] | None:
+    """The JSON header that names an algorithm and ends with a part, wherever in the part it starts, and its start; the leftmost one."""
+    whole = _json(part)
+    if isinstance(whole, dict) and isinstance(whole.get("alg"), str):
+        return 0, whole
+    found = []
+    for shift in range(4):
+        length = len(part) - shift
+        if length % 4 == 1 or length < 8 or (_base64(part[shift + max(length // 4 - 1, 0) * 4 :]) or b"")[-1:] != b"}":
+            continue
+        data = _base64(part[shift:]) or b""
+        start = _opened(data)
+        if start is not None and start % 3 == 0 and (start or shift):
+            header = _parsed(data[start:])
+            if isinstance(header, dict) and isinstance(header.get("alg"), str):
+                found.append((shift + start // 3 * 4, header))
+    return min(found, key=lambda f: f[0], default=None)
+
+
+def _opened(data: bytes) -> int | None:
+    """Where the JSON object starts that ends with the last byte, found from behind by quotes that no backslash escapes and by braces outside strings."""
+    flat = np.frombuffer(data, np.uint8)
+    at = np.arange(len(flat))
+    plain = np.maximum.accumulate(np.where(flat != 0x5C, at, -1))  # the last place up to here that is no backslash
+    slashes = np.append(0, (at - plain)[:-1])
+    quote = (flat == 0x22) & (slashes % 2 == 0)
+    outside = np.cumsum(quote[::-1])[::-1] % 2 == 0
+    step = np.where(np.isin(flat, (0x7D, 0x5D)), 1, np.where(np.isin(flat, (0x7B, 0x5B)), -1, 0)) * outside
+    closed = np.flatnonzero((np.cumsum(step[::-1]) == 0) & (step[::-1] == -1))
+    return len(flat) - 1 - int(closed[0]) if len(closed) else None
+
+
 def _json(part: str):
-    data = _base64(part)
+    return _parsed(_base64(part))
+
+
+def _parsed(data: bytes | None):
     try:
         return json.loads(data) if data else None
     except (ValueError, UnicodeDecodeError, RecursionError):

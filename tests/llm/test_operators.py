@@ -101,8 +101,8 @@ def der(*parts, tag=0x30):
 
 def test_secrets(spark):
     rng = random.Random(2)
-    number = lambda n: der(bytes([1, *rng.randbytes(n - 1)]), tag=2)
-    pkcs1 = der(der(b"\0", tag=2), *(number(32) for _ in range(8)))
+    p, q = rng.getrandbits(256), rng.getrandbits(256)
+    pkcs1 = der(*(der(n.to_bytes(n.bit_length() // 8 + 1, "big"), tag=2) for n in (0, p * q, 65537, 5, p, q, 1, 2, 3)))
     pkcs8 = der(der(b"\0", tag=2), der(der(b"\x2a\x86\x48", tag=6)), der(pkcs1, tag=4))
     string = lambda x: struct.pack(">I", len(x)) + x
     ssh = b"openssh-key-v1\0" + string(b"none") + string(b"none") + string(b"") + struct.pack(">I", 1) + string(b"pub") + string(b"private" * 20)
