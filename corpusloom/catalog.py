@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from corpusloom.functions import text as X
 from corpusloom.operators import batching, clean, metrics, models, profile, rank, split, tfidf
+from corpusloom.operators.token_ids import encode_tokens, word_ids
 from corpusloom.plans import experiment
 from corpusloom.sources import corpus_files as files
 from corpusloom.sources.scratch import new_path, stored
@@ -662,13 +663,15 @@ def h12(spark, d):
 
 
 def token_ids(spark, d) -> DataFrame:
-    """A row of lengths of tokens per document, to stand for token ids."""
+    """The first 4096 token ids of each document, by the words of documents whose id is no multiple of 5."""
     plain = _docs(spark, d).select(F.col("doc_id").alias("row_id"), X.normalize_text(F.col("text")).alias("plain"))
     tokens = plain.select("row_id", X.code_tokens(F.col("plain")).alias("tokens"))
-    return tokens.select("row_id", F.transform("tokens", lambda x: F.length(x)).alias("ids"))
+    return encode_tokens(tokens, "row_id", "tokens", word_ids(tokens.where("row_id % 5 <> 0"), "tokens"), 4096)
 
 
-_IDS = _TOKENS + ", ids AS (SELECT d.doc_id AS row_id, coalesce(list(length(term)::INT ORDER BY pos) FILTER (term IS NOT NULL), []) AS ids FROM documents d LEFT JOIN tokens ON d.doc_id = tokens.row_id GROUP BY 1)"
+_IDS = _TOKENS + """, frequent AS (SELECT term, count(*) AS n FROM tokens WHERE row_id % 5 <> 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50000),
+ words AS (SELECT term, (row_number() OVER (ORDER BY n DESC, term) + 1)::INT AS id FROM frequent),
+ ids AS (SELECT d.doc_id AS row_id, coalesce(list(coalesce(w.id, 1) ORDER BY pos) FILTER (t.term IS NOT NULL), []) AS ids FROM documents d LEFT JOIN tokens t ON d.doc_id = t.row_id LEFT JOIN words w ON t.term = w.term GROUP BY 1)"""
 
 
 @query("h13_truncate_pad_mask", f"""WITH {_IDS} SELECT row_id, array_to_string(list_concat(ids[1:4096], list_transform(range(4096 - len(ids[1:4096])), lambda x: 0)), ',') AS input_ids,
