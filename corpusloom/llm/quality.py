@@ -1,14 +1,13 @@
 """Operator 3: quality rules, with repetition found by suffix arrays.
 
 The rules count words, symbols, repeated lines and words in repeated windows. The verdict then
-looks at the longest common prefixes of each text's sorted suffixes (of words; a word of over 40
-code points counts by its code points, so that unspaced text is seen too). Wherever a suffix
-shares a prefix of at least `least` code points with a neighbour, a repeated substring starts; those
-that can't be extended to the left are maximal. Their spans are united; a text is kept if they
-cover no more than a fraction of it and none is too long.
+looks at the longest common prefixes of each text's sorted suffixes, of characters: the code points of its words, with one
+separator behind each word, which counts nothing. Wherever a suffix shares a prefix of at least `least` code points with a
+neighbour, a repeated substring starts; those that can't be extended to the left are maximal. They may begin and end inside words.
+Their spans are united; a text is kept if they cover no more than a fraction of it and none is too long.
 
-Suffixes of all texts of a slice are sorted together, each word marked by its text, so that no prefix leaves
-its text. Words are compared by content: equal numbers are equal words.
+Suffixes of all texts of a slice are sorted together, by text first, so that no prefix leaves its text. Words of windows are
+compared by content, too: equal numbers are equal words.
 
 Null text: no words, so it fails. Null id: kept. Repeated rows: one result each. Empty table: none.
 measure() does not read other columns; keep() returns them all unchanged.
@@ -24,12 +23,12 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.batches import Words, map_columns, slices, texts
 
-LONG_WORD = 40
 WINDOW = 5
-_POINTS = 0x110000
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 _WHITE = " \t\n\v\f\r"
+_WHITE_BYTES = np.zeros(256, bool)
+_WHITE_BYTES[[ord(c) for c in _WHITE]] = True
 
 SCHEMA = T.StructType(
     [
@@ -47,46 +46,109 @@ SCHEMA = T.StructType(
 )
 
 
-def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted order of a sequence's suffixes, and each one's common prefix with the one before it (0 for the first).
+def suffix_array(tokens: np.ndarray, row: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted order of all suffixes of some sequences, and each one's common prefix with the one before it (0 for a sequence's first).
 
-    A rank is the place of the first suffix that agrees in as many tokens; each round looks at twice as many, and only
-    at suffixes that still share a rank.
+    tokens: the sequences end to end, as small integers; row: the number of each token's sequence, ascending (none: there is one).
+    A suffix ends with its sequence. A rank is the place of the first suffix that agrees in as many tokens; the first ranks see as many tokens as
+    a 64-bit key holds, each round sees twice as many, and only suffixes that still share a rank are sorted again.
     """
     n = len(tokens)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(tokens, kind="stable")
+    row = np.zeros(n, np.int64) if row is None else row
+    end = np.cumsum(np.bincount(row))[row]
+    packed, step = _packed(tokens, row)
+    order = np.argsort(packed)
+    place = _heads(packed[order])
     rank = np.empty(n, np.int64)
-    rank[order] = _heads(tokens[order])
-    levels, step = [rank], 1
-    while True:
-        size = np.bincount(rank, minlength=n)
-        open_ = np.flatnonzero(size[rank] > 1)
-        if not len(open_):
-            break
-        after = np.where(open_ + step < n, rank[np.minimum(open_ + step, n - 1)] + 1, 0)
-        key = rank[open_] * (n + 1) + after
-        by = np.argsort(key, kind="stable")
-        open_, key = open_[by], key[by]
+    rank[order] = place
+    open_ = order[_several(place)]
+    done = step
+    while len(open_):
+        to = open_ + done
         old = rank[open_]
-        rank = rank.copy()
-        rank[open_] = old + _heads(key) - _heads(old)
-        levels.append(rank)
-        step *= 2
+        key = old * (n + 1) + np.where(to < end[open_], rank[np.minimum(to, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        open_, key, old = open_[by], key[by], old[by]
+        place = _heads(key)
+        rank[open_] = old + place - _heads(old)
+        open_ = open_[_several(place)]
+        done *= 2
     order = np.empty(n, np.int64)
     order[rank] = np.arange(n)
-    a, b = order[:-1].copy(), order[1:].copy()
-    lcp = np.zeros(n, np.int64)
-    # Suffixes of equal rank at 2^k agree in 2^k tokens, and neither has ended before.
-    for k in range(len(levels) - 1, -1, -1):
-        size = 1 << k
-        live = np.flatnonzero((a + size <= n) & (b + size <= n))
-        same = live[levels[k][a[live]] == levels[k][b[live]]]
-        lcp[same + 1] += size
-        a[same] += size
-        b[same] += size
-    return order, lcp
+    return order, _prefixes(tokens, row, end, order, packed, step)
+
+
+def _packed(tokens: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, int]:
+    """A 63-bit number of each place: its row, then as many tokens as fit (0: past the row's end); and how many these are."""
+    n, base = len(tokens), int(tokens.max()) + 2
+    room, step = (int(row[-1]) + 1) * base, 1
+    while room * base < 1 << 62 and step < n:
+        room, step = room * base, step + 1
+    packed = row.astype(np.int64)
+    for j in range(step):
+        packed *= base
+        packed[: n - j] += np.where(row[: n - j] == row[j:], tokens[j:] + 1, 0)
+    return packed, step
+
+
+def _prefixes(tokens: np.ndarray, row: np.ndarray, end: np.ndarray, order: np.ndarray, packed: np.ndarray, step: int) -> np.ndarray:
+    """The common prefix of each suffix with the one sorted before it, in sorted order.
+
+    In order of the text, a suffix's prefix is one shorter than that of the suffix a token longer, if both neighbours have the
+    same token before them. Only the others are compared, by packed tokens; their prefixes sum up to 2 n log n at most.
+    """
+    n = len(tokens)
+    before = np.empty(n, np.int64)
+    before[order[1:]] = order[:-1]
+    before[order[0]] = order[0]
+    within = row[before] == row
+    within[order[0]] = False
+    at = np.arange(n)
+    follows = within & (at > 0) & (before > 0)
+    follows &= (row[at - 1] == row) & (row[before - 1] == row) & (tokens[at - 1] == tokens[before - 1])
+    a = np.flatnonzero(within & ~follows)
+    b = before[a]
+    most = np.minimum(end[a] - a, end[b] - b)
+    size = np.zeros(len(a), np.int64)
+    live = np.arange(len(a))
+    while len(live) > 16:
+        x = size[live]
+        live, x = live[x < most[live]], x[x < most[live]]
+        live = live[packed[a[live] + x] == packed[b[live] + x]]
+        size[live] += step
+    for i in live.tolist():
+        size[i] += _common(tokens, int(a[i] + size[i]), int(b[i] + size[i]), int(most[i] - size[i]))
+    live = np.flatnonzero(size < most)
+    for _ in range(step):
+        live = live[size[live] < most[live]]
+        live = live[tokens[a[live] + size[live]] == tokens[b[live] + size[live]]]
+        size[live] += 1
+    length = np.zeros(n, np.int64)
+    length[a] = size
+    last = np.maximum.accumulate(np.where(follows, 0, at))
+    return (length[last] - (at - last))[order]
+
+
+def _common(tokens: np.ndarray, a: int, b: int, most: int) -> int:
+    """How many tokens agree from two places on, up to `most`."""
+    size, chunk = 0, 1024
+    while size < most:
+        chunk = min(chunk * 2, most - size)
+        other = tokens[a + size : a + size + chunk] != tokens[b + size : b + size + chunk]
+        if other.any():
+            return size + int(other.argmax())
+        size += chunk
+    return size
+
+
+def _several(place: np.ndarray) -> np.ndarray:
+    """For _heads(), whether others have the same place."""
+    out = np.zeros(len(place), bool)
+    out[1:] = place[1:] == place[:-1]
+    out[:-1] |= out[1:]
+    return out
 
 
 def _heads(values: np.ndarray) -> np.ndarray:
@@ -98,7 +160,7 @@ def _heads(values: np.ndarray) -> np.ndarray:
 
 def shared(tokens: np.ndarray, row: np.ndarray) -> np.ndarray:
     """For each token, the longest sequence from it on that occurs elsewhere in its row, too, in tokens."""
-    order, lcp = suffix_array(row * (int(tokens.max(initial=0)) + 1) + tokens)
+    order, lcp = suffix_array(tokens, row)
     longest = np.zeros(len(tokens), np.int64)
     longest[order] = np.maximum(lcp, np.append(lcp[1:], 0))
     return longest
@@ -130,19 +192,23 @@ def _repeats(length: np.ndarray, chars: np.ndarray, row: np.ndarray, first: np.n
     return covered[first[1:]] - covered[first[:-1]], longest
 
 
-def _tokens(words: Words, row: int, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of a text and their code points; the code points of long words are tokens of their own."""
-    here = slice(words.first[row], words.first[row + 1])
-    parts, lengths = [], []
-    for w, size, s, e in zip(words.id[here].tolist(), chars[here].tolist(), words.start[here].tolist(), words.end[here].tolist(), strict=True):
-        if size > LONG_WORD:
-            points = np.frombuffer(words.flat[s:e].tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.int32)
-            parts.append(points.astype(np.int64))
-            lengths.append(np.ones(len(points), np.int64))
-        else:
-            parts.append(np.array([w + _POINTS]))
-            lengths.append(np.array([size]))
-    return np.concatenate(parts), np.concatenate(lengths)
+def _characters(words: Words, chars: np.ndarray) -> np.ndarray:
+    """The code points of all words, numbered as they occur in this slice, with a 0 behind each word; chars: code points by word."""
+    at = np.flatnonzero((words.flat & 0xC0 != 0x80) & ~_WHITE_BYTES[words.flat])
+    byte = np.concatenate([words.flat, np.zeros(3, np.uint8)]).astype(np.int32)
+    point = byte[at]
+    for least, marks, more in ((0xC0, 0x1F, 1), (0xE0, 0x0F, 2), (0xF0, 0x07, 3)):
+        wide = np.flatnonzero(byte[at] >= least)
+        value = byte[at[wide]] & marks
+        for j in range(1, more + 1):
+            value = value << 6 | byte[at[wide] + j] & 0x3F
+        point[wide] = value
+    number = np.cumsum(np.bincount(point) > 0)
+    out = np.zeros(len(at) + len(chars), np.int64)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(chars + 1) - 1] = False
+    out[inside] = number[point]
+    return out
 
 
 def measured(column: pa.Array, least: int, most_covered: float, most_long: int) -> dict:
@@ -169,9 +235,9 @@ def measured(column: pa.Array, least: int, most_covered: float, most_long: int)
         lines = [x for x in text.split("\n") if x.strip(_WHITE)]
         n_dup[i] = len(lines) - len(set(lines))
 
-    covered, longest = _repeats(length, chars, words.doc, words.first, least, 1)
-    for i in np.flatnonzero(by_row(chars > LONG_WORD) > 0).tolist():
-        covered[i], longest[i] = repeats(*_tokens(words, i, chars), least, 1)
+    points = _characters(words, chars)
+    row = np.repeat(words.doc, chars + 1)
+    covered, longest = _repeats(shared(points, row), (points > 0).astype(np.int64), row, sums(chars + 1)[words.first], least, 1)
     failed = (words.count < 10) | (100 * n_repeat > 20 * words.count)
     return {
         "n_words": words.count,

@@ -3,6 +3,7 @@
 import base64
 import json
 import math
+import os
 import random
 import re
 import time
@@ -41,29 +42,49 @@ def test_near_duplicates_many_clusters_in_a_bucket(spark, monkeypatch):
 
 
 def brute_repeats(text, least):
-    words, covered, longest = re.findall(r"[^\x20\x09-\x0D]+", text), set(), 0
-    tokens = [t for w in words for t in (w if len(w) > 40 else [w])]
-    for i in range(len(tokens)):
-        for j in range(len(tokens)):
+    """By comparing all pairs of places: code points of words, and a separator behind each word, which counts nothing."""
+    points, covered, longest = "".join(w + "\n" for w in re.findall(r"[^\x20\x09-\x0D]+", text)), set(), 0
+    n = len(points)
+    for i in range(n):
+        for j in range(n):
+            if i == j or points[i] != points[j] or (i and j and points[i - 1] == points[j - 1]):
+                continue
             k = 0
-            while i != j and max(i, j) + k < len(tokens) and tokens[i + k] == tokens[j + k]:
+            while max(i, j) + k < n and points[i + k] == points[j + k]:
                 k += 1
-            if (n := sum(map(len, tokens[i : i + k]))) >= least:
+            if (size := k - points.count("\n", i, i + k)) >= least:
                 covered |= set(range(i, i + k))
-                longest = max(longest, n)
-    return sum(len(tokens[p]) for p in covered), longest
+                longest = max(longest, size)
+    return sum(points[p] != "\n" for p in covered), longest
 
 
-def test_repeats_of_few_words():
+def test_repeats_of_characters():
     rng = random.Random(7)
     phrase = [c * 20 for c in "abcd"]
-    texts = [" ".join(w for i in range(12) for w in [*phrase, f"x{i}"]), " ".join(w for i in range(12) for w in ["e" * 31, "f" * 29, f"x{i}"])]
-    texts += [" ".join(rng.choices(["g" * 35, "h" * 25, "日" * 30, "i", "j" * 45, "k" * 12], k=rng.randint(2, 16))) for _ in range(150)]
-    for least in (60, 30):
+    texts = [" ".join(w for i in range(6) for w in [*phrase, f"x{i}"]), " ".join(w for i in range(6) for w in ["e" * 31, "f" * 29, f"x{i}"]), "", " \n ", "a"]
+    parts = ["g" * 35, "h" * 25, "日本" * 15, "i", "jé" * 22, "k" * 12, "\U0001f600x", " ", "  \n", " "]
+    texts += ["".join(rng.choices(parts, k=rng.randint(2, 24))) for _ in range(60)]
+    texts += ["".join(rng.choices("ab c", k=rng.randint(2, 200))) for _ in range(40)]
+    for least in (60, 30, 7):
         got = quality.measured(pa.array(texts), least, 0.2, 1000)
         assert list(zip(got["repeat_chars"].tolist(), got["longest_repeat"].tolist(), strict=True)) == [brute_repeats(t, least) for t in texts]
-    got = quality.measured(pa.array(texts), 60, 0.2, 1000)
-    assert got["longest_repeat"].tolist()[:2] == [80, 60] and not got["kept"][:2].any()
+    assert not quality.measured(pa.array(texts), 60, 0.2, 1000)["kept"][:2].any()
+
+
+def test_repeats_inside_words():
+    """A repeat of 68 letters that begins and ends inside words is seen; so is a passage of a long text that is its second half, too."""
+    rng = random.Random(8)
+    other = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    middle = f"{'q' * 34} {'r' * 34}"
+    text = f"x{middle}y {other(9)} z{middle}w"
+    got = quality.measured(pa.array([text]), 60, 0.2, 1000)
+    assert (got["repeat_chars"][0], got["longest_repeat"][0]) == (136, 68) == brute_repeats(text, 60)
+    half = " ".join(other(rng.randint(2, 9)) for _ in range(50_000))
+    size = len(half.replace(" ", ""))
+    got = quality.measured(pa.array([half, f"{half} {half}", half]), 60, 0.2, 1000)
+    assert got["longest_repeat"].tolist() == [0, size, 0] and got["repeat_chars"].tolist() == [0, 2 * size, 0] and got["kept"].tolist() == [True, False, True]
+    same = quality.measured(pa.array(["a" * 300_000]), 60, 0.2, 1000)
+    assert (same["repeat_chars"][0], same["longest_repeat"][0]) == (300_000, 299_999)
 
 
 def der(*parts, tag=0x30):
@@ -180,7 +201,7 @@ def test_repeated_phrase_of_four_long_words():
     phrase = ["a" * 39, "b" * 39, "c" * 39, "d" * 39]
     text = " ".join(w for i in range(30) for w in [*phrase, f"x{i}"])
     got = quality.measured(pa.array([text]), 60, 0.2, 1000)
-    assert got["n_repeat_words"][0] == 0 and got["repeat_chars"][0] == 30 * 156 and not got["kept"][0]
+    assert got["n_repeat_words"][0] == 0 and 30 * 156 <= got["repeat_chars"][0] < got["word_chars"][0] and not got["kept"][0]
 
 
 def test_words_are_compared_by_content():
@@ -200,6 +221,12 @@ def test_suffix_array():
         want = sorted(range(n), key=lambda i: tokens[i:])
         assert order.tolist() == want
         assert lcp.tolist()[1:] == [next((k for k in range(n) if max(i, j) + k >= n or tokens[i + k] != tokens[j + k]), 0) for i, j in zip(want, want[1:], strict=False)]
+        row = sorted(rng.randint(0, 4) for _ in range(n))
+        order, lcp = quality.suffix_array(pa.array(tokens, pa.int64()).to_numpy(), pa.array(row, pa.int64()).to_numpy())
+        ends = {r: n - row[::-1].index(r) for r in row}
+        tails = [(row[i], tokens[i : ends[row[i]]]) for i in order.tolist()]
+        assert tails == sorted(tails)
+        assert lcp.tolist()[1:] == [len(os.path.commonprefix([a, b])) if r == q else 0 for (r, a), (q, b) in zip(tails, tails[1:], strict=False)]
 
 
 def brute_base(text):
