@@ -186,19 +186,21 @@ def a2(spark, d):
     return _scanned(files.scan_jsonl(spark, path, _SCHEMA))
 
 
-def _layout(layout: str, name: str):
+def _layout(layout: str, name: str, **options):
     @query(name, _SCANNED)
     def scan(spark, d):
         path = new_path(spark, layout)
         rows = _corpus_rows(spark, d).withColumn("shard", F.floor(F.col("row_id") / 250))
         files.sink_json_files(rows, path, layout, "shard", "row_id")
-        return _scanned(files.SCANS[layout](spark, path, _SCHEMA))
+        return _scanned(files.SCANS[layout](spark, path, _SCHEMA, **options))
 
 
 _layout("records", "a4_scan_json_records")
 _layout("wrapped", "a5_scan_json_wrapped")
 _layout("columnar", "a6_scan_json_columnar")
 _layout("rowkeyed", "a7_scan_json_rowkeyed")
+_layout("columnar", "a6_scan_json_columnar_ranges", whole=0)
+_layout("rowkeyed", "a7_scan_json_rowkeyed_ranges", whole=0)
 
 
 @query("a3_discover_files", _SCANNED)

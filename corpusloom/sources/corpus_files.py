@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.sources import csv_ranges
+from corpusloom.sources import csv_ranges, json_ranges
 from corpusloom.sources.claims import claim, claim_of, exists, hadoop_path, publish, remove
 
 #: The keys under which a wrapped file may hold its rows, first one present wins.
@@ -21,6 +21,9 @@ WRAPPERS = ("data", "samples", "entries", "records")
 WHOLE_CSV = 256 << 20
 """Bytes of a CSV file up to which one task reads it."""
 
+WHOLE_JSON = 64 << 20
+"""Bytes of a JSON file in the column or row layout up to which it is one value of one task."""
+
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.csv", whole: int = WHOLE_CSV) -> DataFrame:
     """A1: CSV with a header; values may span lines, quotes are doubled. Files are read whole, each by a task, or all by ranges if one is larger than `whole` bytes; the rows are the same."""
@@ -87,8 +90,10 @@ def scan_json_wrapped(spark: SparkSession, path: str, schema: T.StructType) -> D
     return rows.select(F.inline("rows"))
 
 
-def scan_json_columnar(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Each file is an object {column: {row: value}}; rows are those of the first column."""
+def scan_json_columnar(spark: SparkSession, path: str, schema: T.StructType, whole: int = WHOLE_JSON) -> DataFrame:
+    """Each file is an object {column: {row: value}}; rows are those of the first column. All are read by ranges if one is larger than `whole` bytes; the rows are the same."""
+    if _largest(spark, path) > whole:
+        return json_ranges.columnar(spark, path, schema)
     outer = T.StructType([T.StructField(f.name, T.MapType(T.StringType(), f.dataType)) for f in schema])
     columns = _whole(spark, path).select(F.from_json("value", outer).alias("j")).select("j.*")
     first, *rest = schema.names
@@ -96,8 +101,10 @@ def scan_json_columnar(spark: SparkSession, path: str, schema: T.StructType) ->
     return exploded.select(first, *(F.col(f"__{c}")[F.col("__row")].alias(c) for c in rest))
 
 
-def scan_json_rowkeyed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Each file is an object {row: {column: value}}."""
+def scan_json_rowkeyed(spark: SparkSession, path: str, schema: T.StructType, whole: int = WHOLE_JSON) -> DataFrame:
+    """Each file is an object {row: {column: value}}. All are read by ranges if one is larger than `whole` bytes; the rows are the same."""
+    if _largest(spark, path) > whole:
+        return json_ranges.rowkeyed(spark, path, schema)
     rows = _whole(spark, path).select(F.explode(F.from_json("value", T.MapType(T.StringType(), schema))).alias("row", "v"))
     return rows.select("v.*")
 
