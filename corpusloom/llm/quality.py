@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from corpusloom.llm.batches import Words, map_columns, slices, texts
 
 WINDOW = 5
+PART_BYTES = 256 << 10
+"""Text bytes whose suffixes are sorted together (a longer text is sorted alone): this many arrays of 8 bytes a character are small."""
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 _WHITE = " \t\n\v\f\r"
@@ -213,6 +215,12 @@ def _characters(words: Words, chars: np.ndarray) -> np.ndarray:
 
 def measured(column: pa.Array, least: int, most_covered: float, most_long: int) -> dict:
     """The columns of SCHEMA but id for some texts."""
+    rows = pa.RecordBatch.from_arrays([column], names=["text"])
+    parts = [_measured(part.column(0), least, most_covered, most_long) for part in slices(rows, 0, PART_BYTES)] or [_measured(column, least, most_covered, most_long)]
+    return {name: np.concatenate([part[name] for part in parts]) for name in parts[0]}
+
+
+def _measured(column: pa.Array, least: int, most_covered: float, most_long: int) -> dict:
     words = Words(column)
     rows = len(column)
     before = np.concatenate([[0], np.cumsum((words.flat & 0xC0) != 0x80)])
@@ -230,7 +238,7 @@ def measured(column: pa.Array, least: int, most_covered: float, most_long: int)
     np.add.at(edge, at + WINDOW, -1)
     n_repeat = by_row(np.cumsum(edge[:-1]) > 0)
 
-    n_dup = [0] * rows
+    n_dup = np.zeros(rows, np.int64)
     for i, text in enumerate(column.to_pylist()):
         lines = [x for x in text.split("\n") if x.strip(_WHITE)]
         n_dup[i] = len(lines) - len(set(lines))
