@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import catalog
 from corpusloom.functions import text as X
+from corpusloom.operators import tfidf
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -35,3 +36,20 @@ def test_ngrams_are_counted_in_their_rows(spark):
 def test_no_python_in_texts(spark):
     for name in ("h1_normalize_text", "h2_code_tokens", "h5_sublinear_tf", "h13_truncate_pad_mask"):
         assert "Python" not in plan(catalog.QUERIES[name](spark, SMALL)), name
+
+
+def test_terms_are_dealt_by_size_and_made_once(spark):
+    df = spark.createDataFrame([(i, "a b c " * 50) for i in range(40)], "row_id long, func string")
+    assert tfidf.parts_of(df, "func", 1_000) == 12
+    counts = tfidf.term_counts(df, "row_id", "func", parts=12)
+    assert plan(counts).count("0x[0-9a-fA-F]+") == 1  # tokens are found once, not again in a filter
+    assert counts.rdd.getNumPartitions() == 12  # not joined by their size before they grow
+    built = plan(tfidf.build_vocabulary(counts, 40, parts=7))
+    assert "hashpartitioning(term" in built and ", 7)" in built
+
+
+def test_scales_are_broadcast(spark):
+    w = spark.createDataFrame([(1, "a", 2.0), (2, "a", -4.0), (2, "b", 0.0)], "row_id long, term string, w double")
+    out = tfidf.max_abs_scale(w, tfidf.max_abs(w))
+    assert "BroadcastHashJoin" in plan(out) and "SortMergeJoin" not in plan(out)
+    assert sorted(tuple(r) for r in out.select("row_id", "term", "w").collect()) == [(1, "a", 0.5), (2, "a", -1.0), (2, "b", 0.0)]
