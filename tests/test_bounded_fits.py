@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import metrics, models
+from corpusloom.operators import batching, metrics, models
 from corpusloom.plans import experiment
 from tests.test_models import points
 
@@ -34,3 +34,16 @@ def test_cross_validation_keeps_known_terms_only(spark):
         inside = [t.split() for i, t, _, s, f in rows if s == "train" and f != fold]
         counts = {w: sum(t.count(w) for t in inside) for t in inside for w in t}
         assert terms == set(sorted(counts, key=lambda w: (-counts[w], w))[:4])
+
+
+def test_batches_make_their_ids_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def ids(n):
+        made.add(1)
+        return [n] * (n % 5)
+
+    df = spark.range(40).withColumn("ids", F.udf(ids, "array<int>").asNondeterministic()("id"))
+    out = batching.assemble_batches(df, "id", "ids", seed=5)
+    assert out.count() == 40 and len(out.collect()) == 40
+    assert made.value == 40
