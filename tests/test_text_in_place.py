@@ -38,6 +38,12 @@ def test_no_python_in_texts(spark):
         assert "Python" not in plan(catalog.QUERIES[name](spark, SMALL)), name
 
 
+def test_tokens_of_ids_are_made_twice_only(spark):
+    """Once for the vocabulary, once for the ids; no filter makes them again, and no Python worker."""
+    got = plan(catalog.QUERIES["h13_truncate_pad_mask"](spark, SMALL))
+    assert got.count("0x[0-9a-fA-F]+") == 2 and "Python" not in got
+
+
 def test_terms_are_dealt_by_size_and_made_once(spark):
     df = spark.createDataFrame([(i, "a b c " * 50) for i in range(40)], "row_id long, func string")
     assert tfidf.parts_of(df, "func", 1_000) == 12
